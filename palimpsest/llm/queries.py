@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import drop_repeated_lines
+from .packing import pack_documents
+from .piece_encoding import encode_digests
 from .suffix_dedup import remove_repeats
-from .textblocks import read_documents
+from .textblocks import read_documents, tokenizer_file
 from .url_rules import judge_urls
 
 #: The four rules that op10 judges by.
@@ -18,6 +21,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_documents(spark, sf_dir), with_bytes=False)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(read_documents(spark, sf_dir), with_text=False)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
@@ -25,10 +40,27 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_packing": op3_packing,
+    "op5_piece_encoding": op5_piece_encoding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, i, line, lower_ascii AS key
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+                 LATERAL (SELECT translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii)
+        ), owners AS (
+            SELECT key, max(doc_id) AS owner FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+        ), judged AS (
+            SELECT l.doc_id, i, line, coalesce(o.owner <> l.doc_id, false) AS gone FROM lines l LEFT JOIN owners o ON l.key = o.key
+        )
+        SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
     "op10_url_filters": r"""
         WITH parts AS (
             SELECT page_id,

@@ -28,6 +28,13 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public tokenizers has the file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
