@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import drop_repeated_lines
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .piece_encoding import encode_digests
 from .suffix_dedup import remove_repeats
@@ -25,6 +26,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_documents(spark, sf_dir))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
@@ -41,6 +46,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_packing": op3_packing,
+    "op4_near_dedup": op4_near_dedup,
     "op5_piece_encoding": op5_piece_encoding,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
