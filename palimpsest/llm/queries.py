@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import edited_likeness
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -34,6 +35,10 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(read_documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(read_documents(spark, sf_dir), with_text=False)
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
     "op5_piece_encoding": op5_piece_encoding,
+    "op7_fingerprints": op7_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
 }
