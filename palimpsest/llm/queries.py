@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import edited_likeness
+from .flac import media_digests
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -39,6 +40,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read_documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(read_documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(read_documents(spark, sf_dir), with_text=False)
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_piece_encoding": op5_piece_encoding,
     "op7_fingerprints": op7_fingerprints,
+    "op8_media": op8_media,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
 }
