@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .piece_encoding import encode_digests
 from .suffix_dedup import remove_repeats
 from .textblocks import read_documents, tokenizer_file
+from .toxicity import toxicity
 from .url_rules import judge_urls
 
 #: The four rules that op10 judges by.
@@ -36,6 +37,10 @@ def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read_documents(spark, sf_dir))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
     "op5_piece_encoding": op5_piece_encoding,
+    "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_media": op8_media,
     "op9_line_dedup": op9_line_dedup,
