@@ -307,16 +307,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = AN
     marked = kept_on_disk(marked)
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep).repartition(F.col("doc_id"))
     edges = marked.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "more", "anchor")).alias("runs"))
-    contexts = carried.join(edges, "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut_contexts(window), "anchor long, doc_id long, start long, bytes binary")
-    refined = kept_on_disk(
-        contexts.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_radix(window, most_runs), "doc_id long, start long, stop long, one long, two long")
-    )
-    again = Window.partitionBy("one", "two").orderBy("doc_id", "start")
-    large = refined.where("one is not null").withColumn("opens", F.first(place).over(again) == place).where("not opens")
+    # A left join puts no filter below the exchange of the texts, so both joins read the same one.
+    edged = carried.join(edges, "doc_id", "left").select("doc_id", F.when(F.col("runs").isNotNull(), F.col("text")).otherwise("").alias("text"), "runs")
+    contexts = edged.mapInArrow(_cut_contexts(window), "anchor long, doc_id long, start long, bytes binary")
+    refined = contexts.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_radix(window, most_runs), "doc_id long, start long, stop long, one long, two long")
+    # Settled spans have no hashes; each stands alone here.
+    again = Window.partitionBy(F.coalesce("one", F.xxhash64("doc_id", "start")), "two").orderBy("doc_id", "start")
+    later = refined.withColumn("opens", F.first(place).over(again) == place).where("one is null or not opens")
     spans = (
         marked.where("anchor is null").select("doc_id", "start", (F.col("start") + F.col("more") + window).alias("stop"))
-        .unionByName(refined.where("one is null").select("doc_id", "start", "stop"))
-        .unionByName(large.select("doc_id", "start", "stop"))
+        .unionByName(later.select("doc_id", "start", "stop"))
         .groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     )
     names = ["doc_id", *keep]
