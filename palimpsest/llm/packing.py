@@ -36,9 +36,13 @@ BLOCK_DOCS = 1024
 MOST_PADDING = 0.01
 END_ID = 2
 #: Words whose ids a worker remembers; at the bound it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 1_000_000
 
-#: str.split() splits at these, the tokenizer's white space does not.
+#: Texts of these characters only (ASCII and composed Latin letters) are split here as the tokenizer splits them.
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f"[\t-\r -~{_LETTERS}]*")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+#: Others at white space. str.split() splits at these too, the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r ]+")
 
@@ -161,18 +165,32 @@ def word_ids(path: str) -> Callable[[str], bytes]:
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, bytes] = {}
+    closes = np.zeros(tokenizer.get_vocab_size(), bool)
+    closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def learn(parts: list[str], plain: bool) -> None:
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        new = [w for w in dict.fromkeys(parts) if w not in known]
+        if plain:  # each part gives one token with a word end, its last
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(closes[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            known.update(zip(new, [data[i:j] for i, j in zip([0, *stops], stops)], strict=True))
+        else:
+            for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(text: str) -> bytes:
-        words = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
+        if plain := _PLAIN.fullmatch(lower := text.lower()) is not None and "<|" not in text and len(lower) == len(text):
+            parts = _PARTS.findall(lower)
+        else:
+            parts = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[w] for w in parts])
         except KeyError:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for word, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+            learn(parts, plain)
+            return b"".join([known[w] for w in parts])
 
     return encode
 
@@ -185,7 +203,9 @@ def _pack(path: str, end_id: int, capacity: int, block_docs: int):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.setdefault(path, word_ids(path))
+        if path not in _ENCODERS:
+            _ENCODERS[path] = word_ids(path)
+        encode = _ENCODERS[path]
         serial = TaskContext.get().partitionId() << 36
 
         def sequences(ids: list, encoded: list[bytes]) -> pa.RecordBatch:
