@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import edited_likeness
 from .flac import media_digests
+from .language_model import score_texts
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -25,6 +26,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_documents(spark, sf_dir), with_bytes=False)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -58,8 +63,15 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_language_model": op2_language_model,
     "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
     "op5_piece_encoding": op5_piece_encoding,
@@ -68,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

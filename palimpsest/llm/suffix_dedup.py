@@ -274,8 +274,8 @@ def _apply(names: list[str], with_bytes: bool):
             out += [pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
             labels = [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_bytes:
-                out.append(pa.array(kept, pa.binary()))
-                labels.append("kept")
+                out += [pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
+                labels += ["kept", "kept_text"]
             yield pa.RecordBatch.from_arrays(out, labels)
 
     return apply
@@ -286,7 +286,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = AN
 
     docs: doc_id and text; other columns named in `keep` are carried, the rest ignored, whatever
     their names. Returns doc_id, the columns of `keep`, n_bytes, n_removed, n_spans (maximal
-    removed runs), kept_sha256 and, with_bytes, kept (the bytes left, which need not be UTF-8).
+    removed runs), kept_sha256 and, with_bytes, kept (the bytes left, which need not be UTF-8) and
+    kept_text (these without the parts of cut characters).
 
     A null text counts as empty; texts under `window` bytes lose nothing. A place is (doc_id,
     start): rows that repeat a doc_id share their places, so a whole row given twice does not
@@ -321,5 +322,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = AN
     )
     names = ["doc_id", *keep]
     kinds = dict(docs.dtypes) | {"doc_id": "long"}
-    schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in names), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["kept binary"] * with_bytes])
+    schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in names), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["kept binary, kept_text string"] * with_bytes])
     return carried.join(spans, "doc_id", "left").select(*names, "text", "spans").mapInArrow(_apply(names, with_bytes), schema)

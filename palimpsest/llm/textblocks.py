@@ -62,16 +62,17 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int, text: str = "text") ->
             start = stop
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once into the folder that spark.checkpoint.dir names, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share; one below the warehouse where it is unset (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
 
-    Only where the session names none (tests), a folder below the warehouse is set.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once into the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir")
-        context.setCheckpointDir(named or f"{warehouse}/_checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
