@@ -11,12 +11,15 @@ SIDE_CAR = ".meta.json"
 def _files(spark: SparkSession, root: str) -> DataFrame:
     # Hadoop may write the scheme with one or three slashes.
     bare = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    key = F.regexp_replace(F.substring_index(F.col("path"), F.lit(f"{bare}/"), -1), "^/+", "")
+    key = F.regexp_replace(F.substr(F.col("path"), F.locate(f"{bare}/", F.col("path")) + F.lit(len(bare) + 1)), "^/+", "")
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("key", key)
 
 
 def object_inventory(spark: SparkSession, root: str, prefix: str = "", limit: int | None = 1000) -> DataFrame:
-    """(key, size, modified) of objects whose key starts with the prefix, by key; contents are not read."""
+    """(key, size, modified) of objects whose key starts with the prefix, by key; contents are not read.
+
+    Spark's file sources skip empty files, so empty objects are not listed.
+    """
     out = _files(spark, root).where(~F.col("key").endswith(SIDE_CAR) & F.col("key").startswith(prefix)).select("key", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     return out if limit is None else out.orderBy("key").limit(limit)
 
