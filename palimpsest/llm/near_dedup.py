@@ -8,10 +8,12 @@ defaults, a pair at similarity 0.85 meets in no table with probability 1.5e-4.
 
 Documents with equal sets are one class and are linked without being compared.
 Between classes, each table bucket first compares all its members with its least
-one only; the links make components. Buckets that still hold members of several
-components then compare just the pairs between these, so a large group of copies
-costs a number of comparisons in proportion to its size, and no link is assumed
-or capped. Components come from label propagation with pointer jumping.
+one only; the links make components. Documents that share a bucket's least member
+and are not all in one component by then are compared in blocks: a task gets two
+blocks of at most about BLOCK_DOCS documents, counts the intersections of all their
+sets by a matrix product, and gives a spanning forest of the links. So no link is
+assumed or capped, and no list of a group's pairs is ever made. Components come
+from label propagation with pointer jumping.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ SHINGLE_WORDS = 5
 PERCENT = 85
 HALF_KEYS = 10
 ROWS_A_HALF = 3
+BLOCK_DOCS = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -131,6 +134,72 @@ def _confirm(words: int, percent: int):
     return confirm
 
 
+def _links_of(ids: np.ndarray, component: np.ndarray, texts: list[bytes], words: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between different components among the documents."""
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    sets, bounds = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, words)
+    size = np.diff(bounds)
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(sets, kind="stable")
+    sets, row = sets[order], row[order]
+    opens = np.append(True, sets[1:] != sets[:-1])
+    column = np.cumsum(opens) - 1
+    shared = np.bincount(column)[column] > 1
+    row, column = row[shared], column[shared]
+    common = np.zeros((len(size), len(size)), np.float32)
+    width = 4096
+    dense = np.zeros((len(size), width), np.float32)
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + width, width))
+    for i, j in zip(cuts, cuts[1:]):
+        dense[:] = 0
+        dense[row[i:j], column[i:j] % width] = 1
+        common += dense @ dense.T
+    union = size[:, None] + size[None, :] - common
+    one, two = np.nonzero(np.triu((100 * common >= percent * union) & (component[:, None] != component[None, :]), 1))
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(one.tolist(), two.tolist(), strict=True):
+        a, b = find(component[i].item()), find(component[j].item())
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i].item(), ids[j].item()))
+    return out
+
+
+def _compare_blocks(words: int, percent: int):
+    """Rows (least, low, high, id, component, text) sorted by the first three to links."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            ids, component, texts = zip(*held, strict=True)
+            links = _links_of(np.array(ids), np.array(component), list(texts), words, percent) if len(set(component)) > 1 else []
+            a, b = zip(*links, strict=True) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            texts = batch.column(5).cast(pa.binary()).to_pylist()
+            for *key, i, component, text in zip(*(batch.column(k).to_pylist() for k in range(5)), texts, strict=True):
+                if key != now:
+                    if held:
+                        yield flush()
+                    now, held = key, []
+                held.append((i, component, text))
+        if held:
+            yield flush()
+
+    return compare
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all ids in edges (a, b): the least id that is reachable."""
     both = kept_on_disk(edges.select("a", "b").union(edges.select("b", "a")))
@@ -145,7 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("id", "component")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, half_keys: int = HALF_KEYS, rows: int = ROWS_A_HALF) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, half_keys: int = HALF_KEYS, rows: int = ROWS_A_HALF, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Groups of near-duplicate documents.
 
     Returns doc_id, n_shingles (size of its set), component_id (the least doc_id reachable over
@@ -185,17 +254,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     links = checkpointed(confirmed(first.select(F.col("least").alias("a"), F.col("id").alias("b"))))
     labels = components(links)
 
-    labelled = members.join(labels, "id", "left").select("table", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("table").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("table")
-    rest = kept_on_disk(labelled.join(mixed, "table"))
-    other = rest.select("table", F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("component_b"))
-    second = (
-        rest.withColumnRenamed("id", "a").join(other, "table")
-        .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & alike(F.col("n_shingles"), F.col("n_b")))
-        .select("a", "b").distinct()
-        .join(first.select(F.col("least").alias("a"), F.col("id").alias("b")), ["a", "b"], "left_anti")
-    )
-    more = checkpointed(confirmed(second))
+    # Any two that share a table share its least member. Groups by it that are in one component are done.
+    grouped = members.select("least", "id").distinct().join(labels, "id", "left").select("least", "id", F.coalesce("component", "id").alias("component"))
+    mixed = grouped.groupBy("least").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+    parts = mixed.select("least", F.ceil(F.col("n") / block_docs).cast("int").alias("parts"))
+    placed_ = grouped.join(parts, "least").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # A block meets each block of its group once: with itself, or in a task of the two.
+    dealt = placed_.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("least", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", "component")
+    texted = dealt.join(own.select(F.col("doc_id").alias("id"), "text"), "id").select("least", "low", "high", "id", "component", "text")
+    compared = texted.repartition(F.col("least"), F.col("low"), F.col("high")).sortWithinPartitions("least", "low", "high").mapInArrow(_compare_blocks(words, percent), "a long, b long")
+    more = checkpointed(compared)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     found = classes.select("set_1", "set_2", "id").join(labels, "id", "left").select("set_1", "set_2", F.coalesce("component", "id").alias("component"))
