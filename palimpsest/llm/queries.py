@@ -84,6 +84,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM words
+        ), shingles AS (
+            SELECT doc_id, unnest(s) AS g FROM sets
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sets x ON a = x.doc_id JOIN sets y ON b = y.doc_id WHERE 100 * c >= 85 * (len(x.s) + len(y.s) - c)
+        ), ways AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON r.other = w.a
+        ), least AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
+    """,
     "op9_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i, line, lower_ascii AS key
