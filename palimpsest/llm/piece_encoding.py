@@ -26,7 +26,7 @@ from .textblocks import blocks, ids_and_texts
 
 SPACE = "▁"
 #: Words whose encodings a worker remembers; at the bound it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 PAIRS_KEPT = 1_000_000
 
 
@@ -54,7 +54,11 @@ class PieceModel:
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.stable: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.letters = {p for p in self.ids if len(p) == 1}
+        #: Of each id: its decimal, and the bytes it decodes to after the text's first space mark.
+        self.numbers = [str(i).encode() for i in range(len(self.pieces))]
+        self.decoded = [self.byte_of[i] if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.words: dict[str, tuple[bytes, bytes]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -90,32 +94,40 @@ class PieceModel:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the two pieces' texts gives the two pieces."""
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > PAIRS_KEPT:
-                self.pairs.clear()
-            one, two = self.pieces[a], self.pieces[b]
-            known = self.pairs[a, b] = self.merge(one + two) == [one, two]
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs.clear()
+        one, two = self.pieces[a], self.pieces[b]
+        known = self.pairs[a << 32 | b] = self.merge(one + two) == [one, two]
         return known
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a stretch of known characters."""
-        at: list[list[tuple[int, int]]] = [[] for _ in text]
+        size, stable, pairs = len(text), self.stable, self.pairs
+        at: list[list[tuple[int, int]]] = [[] for _ in range(size)]
         for end, (length, i) in self.automaton.iter(text):
-            at[end + 1 - length].append((length, i))  # ends ascend, so the longest comes last
+            if (known := stable.get(i)) is None:
+                known = self.alone(i)
+            if known:
+                at[end + 1 - length].append((end + 1, i))  # ends ascend, so the longest comes last
         failed = 0
         tokens: list[int] = []
         starts: list[int] = []
-        place, tries = 0, [len(x) for x in at]
-        while place < len(text):
-            while tries[place]:
-                tries[place] -= 1
-                length, i = at[place][tries[place]]
-                end = place + length
-                if not failed >> end & 1 and self.alone(i) and (not tokens or self.fits(tokens[-1], i)):
-                    tokens.append(i)
-                    starts.append(place)
-                    place = end
-                    break
+        place = 0
+        while place < size:
+            options = at[place]
+            while options:
+                end, i = options.pop()
+                if failed and failed >> end & 1:
+                    continue
+                if tokens:
+                    if (known := pairs.get(tokens[-1] << 32 | i)) is None:
+                        known = self.fits(tokens[-1], i)
+                    if not known:
+                        continue
+                tokens.append(i)
+                starts.append(place)
+                place = end
+                break
             else:
                 failed |= 1 << place
                 if not tokens:
@@ -130,8 +142,10 @@ class PieceModel:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one independent word."""
-        if word.startswith(SPACE * 2) or not self.inner.isdisjoint(word):
+        if word.startswith(SPACE * 2) or self.inner and not self.inner.isdisjoint(word):
             return [i for p in self.merge(word) for i in ([self.ids[p]] if p in self.ids else self._fallback(p))]
+        if self.letters.issuperset(word):
+            return self.backtrack(word)
         out: list[int] = []
         start = 0
         for end in range(len(word) + 1):
@@ -145,7 +159,7 @@ class PieceModel:
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         """Of ids that begin after the text's first space mark."""
-        return b"".join(self.byte_of[i] if i in self.byte_of else self.pieces[i].replace(SPACE, " ").encode() for i in ids)
+        return b"".join([self.decoded[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The text of all ids: without the space that encoding put before it."""
@@ -194,7 +208,7 @@ class PieceModel:
             for w in words:
                 if w not in known:
                     ids = self.encode_word(w)
-                    known[w] = ",".join(map(str, ids)).encode(), self.decode_bytes(ids)
+                    known[w] = b",".join([self.numbers[i] for i in ids]), self.decode_bytes(ids)
             found = [known[w] for w in words]
         ids, decoded = zip(*found, strict=True)
         joined = b"".join(decoded)
