@@ -16,6 +16,9 @@ windows. The passes are arranged so that almost no suffix is ever shuffled:
 * Passes 2 and 3, single suffixes of those runs only: first by the W // 2
   bytes at the window's start, and where these occur again by all W bytes.
 
+A block of documents settles its own repeats before anything is shuffled, so of
+a hot anchor only one run for each block meets the others'.
+
 Places are ordered by (doc_id, start); the first window of a group stays.
 Equality is that of two independent 64-bit hashes of the bytes.
 """
@@ -127,8 +130,20 @@ def runs_of_block(data: np.ndarray, offsets: np.ndarray, window: int, anchor: in
     return row, first - offsets[row], last - first, grams[at], whole
 
 
+def _repeats_here(ids: np.ndarray, start: np.ndarray, anchors: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Runs that an earlier place of the same block has too: they need no comparing any more."""
+    order = np.lexsort((start, ids, whole, anchors))
+    a, w, i, s = anchors[order], whole[order], ids[order], start[order]
+    opens = np.ones(len(order), bool)
+    opens[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+    lead = np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0)) if len(order) else order
+    out = np.zeros(len(order), bool)
+    out[order] = (i != i[lead]) | (s != s[lead])
+    return out
+
+
 def _scan_runs(window: int, anchor: int):
-    names = ["doc_id", "start", "more", "anchor", "whole"]
+    names = ["doc_id", "start", "more", "anchor", "whole", "known"]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_BYTES):
@@ -139,7 +154,8 @@ def _scan_runs(window: int, anchor: int):
                 piece = data[low : low + BLOCK_BYTES + window - 1] if len(ids) == 1 else data
                 at = np.array([0, len(piece)]) if len(ids) == 1 else offsets
                 row, start, more, anchors, whole = runs_of_block(piece, at, window, anchor)
-                columns = [ids[row], start + low, more.astype(np.int16), anchors.view(np.int64), whole.view(np.int64)]
+                start = start + low
+                columns = [ids[row], start, more.astype(np.int16), anchors.view(np.int64), whole.view(np.int64), _repeats_here(ids[row], start, anchors, whole)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     return scan
@@ -295,12 +311,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = AN
     An empty table gives an empty result. Texts of any length go in pieces of BLOCK_BYTES.
     """
     texts = ids_and_texts(docs)
-    runs = texts.where("doc_id is not null").mapInArrow(_scan_runs(window, anchor), "doc_id long, start long, more short, anchor long, whole long").repartition(F.col("anchor"))
-    same = Window.partitionBy("anchor", "whole").orderBy("doc_id", "start")
-    group = Window.partitionBy("anchor")
+    runs = texts.where("doc_id is not null").mapInArrow(_scan_runs(window, anchor), "doc_id long, start long, more short, anchor long, whole long, known boolean")
+    # Runs that their own block has already settled are dealt by their place, so that a hot anchor's rows do not meet.
+    runs = runs.withColumn("slot", F.when(F.col("known"), F.xxhash64("doc_id", "start")).otherwise(F.col("anchor"))).repartition(F.col("slot"))
+    same = Window.partitionBy("slot", "known", "whole").orderBy("doc_id", "start")
+    group = Window.partitionBy("slot", "known")
     place = F.struct("doc_id", "start")
     marked = (
-        runs.withColumn("opens", F.first(place).over(same) == place)
+        runs.withColumn("opens", ~F.col("known") & (F.first(place).over(same) == place))
         .withColumn("mixed", F.min("whole").over(group) != F.max("whole").over(group))
         .where("not opens or mixed")
         .select("doc_id", "start", "more", F.when(F.col("opens"), F.col("anchor")).alias("anchor"))
