@@ -21,6 +21,9 @@ from palimpsest.llm.toxicity import fit_grammar, score_toxicity
 
 #: Documents with this score or more are rejected.
 TOXIC = 0.5
+#: Documents are near copies from this similarity on, in percent; a pair at exactly that shares no table with probability 8.7e-5.
+NEAR_PERCENT = 80
+NEAR_HALF_KEYS = 14
 CARRIED = ("lang", "source")
 
 
@@ -43,7 +46,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the least doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    gone = near_duplicates(docs, percent=NEAR_PERCENT, half_keys=NEAR_HALF_KEYS).where("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", *CARRIED, F.col("n_chars").cast("long").alias("n_chars"))
 
 

@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     )
     tables = open_.withColumn("l", F.explode("left")).withColumn("r", F.explode("right")).select("id", F.xxhash64("l.half", "l.value", "r.half", "r.value").alias("table"))
     buckets = tables.groupBy("table").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = kept_on_disk(tables.join(buckets, "table").join(classes.select("id", "n_shingles"), "id"))
+    members = kept_on_disk(tables.join(buckets, "table").select("id", "least").distinct().join(classes.select("id", "n_shingles"), "id"))
 
     # The texts of the documents that share a table with another, read once for both rounds.
     used = members.select(F.col("id").alias("doc_id")).distinct()
@@ -250,12 +250,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
 
     sizes = classes.select(F.col("id").alias("least"), F.col("n_shingles").alias("n_least"))
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  else no union can be small enough
-    first = members.where("id != least").select("id", "least", "n_shingles").distinct().join(sizes, "least").where(alike(F.col("n_shingles"), F.col("n_least")))
+    first = members.where("id != least").join(sizes, "least").where(alike(F.col("n_shingles"), F.col("n_least")))
     links = checkpointed(confirmed(first.select(F.col("least").alias("a"), F.col("id").alias("b"))))
     labels = components(links)
 
     # Any two that share a table share its least member. Groups by it that are in one component are done.
-    grouped = members.select("least", "id").distinct().join(labels, "id", "left").select("least", "id", F.coalesce("component", "id").alias("component"))
+    grouped = members.select("least", "id").join(labels, "id", "left").select("least", "id", F.coalesce("component", "id").alias("component"))
     mixed = grouped.groupBy("least").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
     parts = mixed.select("least", F.ceil(F.col("n") / block_docs).cast("int").alias("parts"))
     placed_ = grouped.join(parts, "least").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))

@@ -1,6 +1,8 @@
 import corpus_pipeline
 from palimpsest.llm.queries import QUERIES
 
+from .test_dedup import shingles
+
 
 def test_stages_and_rows(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "suffix_dedup", "packing"]
@@ -20,5 +22,20 @@ def test_each_stage_keeps_the_columns(spark, docs, sf_dir):
         assert out.count() <= docs.count()
 
 
+def test_near_copies_from_four_fifths_on_go(spark):
+    texts = []
+    for k in range(12):
+        # Each changed word changes five shingles: similarities from 0.75 to 0.85, two pairs at exactly 0.8.
+        base = [f"w{k}x{j}" for j in range((184, 196, 215)[k % 3])]
+        near = [f"new{j}" if j % 30 == 10 and j < 30 * (4 + k // 6) else w for j, w in enumerate(base)]
+        texts += [" ".join(base), " ".join(near)]
+    sets = [shingles(t) for t in texts]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert 0.8 in share and any(0.8 < s < 0.85 for s in share) and any(s < 0.8 for s in share)
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()}
+    assert left == {2 * k for k in range(12)} | {2 * k + 1 for k in range(12) if share[k] < 0.8}
+
+
 def test_queries_are_named():
     assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
