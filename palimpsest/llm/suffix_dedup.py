@@ -248,16 +248,17 @@ def _radix(window: int, most: int):
             while i < len(edges) - 1:
                 # Whole groups, and the last of the batch alone: it may go on in the next batch.
                 j = i + 1
-                while j < len(edges) - 2 and edges[j + 1] - edges[i] + size <= most:
+                while not large and j < len(edges) - 2 and edges[j + 1] - edges[i] + size <= most:
                     j += 1
                 held.append(batch.slice(edges[i], edges[j] - edges[i]))
                 size += edges[j] - edges[i]
                 i = j
+                # What was held before is of the first group here, so more than `most` runs are one group, of any batches.
+                large = large or size > most
                 if i < len(edges) - 1:
                     yield from flush()
                     large = False
-                elif size > most and edges[j] - edges[j - 1] == size or large:
-                    large = True
+                elif large:
                     yield from flush()
             last = anchors[-1]
         yield from flush()

@@ -2,12 +2,13 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm.line_dedup import drop_repeated_lines
 from palimpsest.llm.near_dedup import components, near_duplicates
-from palimpsest.llm.suffix_dedup import remove_repeats
+from palimpsest.llm.suffix_dedup import _radix, remove_repeats
 
 
 def sha(b):
@@ -43,6 +44,32 @@ def test_suffix_dedup_against_brute_force(docs, rows, window, anchor, most):
     assert Counter(tuple(r) for r in found) == Counter(removed(unique, window))
 
 
+def test_suffix_dedup_of_groups_over_many_batches(spark, docs, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        test_suffix_dedup_against_brute_force(docs, rows, 20, 8, 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_large_anchor_group_is_not_held():
+    taken = 0
+
+    def batches(anchors):
+        nonlocal taken
+        for low in range(0, len(anchors), 2):
+            taken += 1
+            part = range(low, min(low + 2, len(anchors)))
+            yield pa.RecordBatch.from_arrays([pa.array([anchors[k] for k in part]), pa.array(list(part)), pa.array([0 for _ in part]), pa.array([b"x%03d" % k + b"y" * 20 for k in part])], ["anchor", "doc_id", "start", "bytes"])
+
+    out = _radix(20, 5)(batches([1] * 3 + [2] * 40 + [3] * 3))
+    assert next(out).column("one").null_count == 0 or next(out).column("one").null_count == 0
+    assert taken <= 6
+    rest = list(out)
+    singles = {d for b in rest for d, one in zip(b.column("doc_id").to_pylist(), b.column("one").to_pylist()) if one is not None}
+    assert singles >= set(range(12, 43)) and not singles & {0, 1, 2, 43, 44, 45}
+
+
 def test_suffix_dedup_carries_columns_and_takes_empty_tables(docs, rows, empty):
     assert remove_repeats(empty).count() == 0
     out = remove_repeats(docs, keep=("lang", "source"))
