@@ -193,6 +193,15 @@ def test_language_model_base_and_probabilities(spark, docs, rows, empty):
     assert all(r["score"] < 0 and r["train_tokens"] == n for r in got)
 
 
+def test_language_model_has_an_expert_for_every_training_text(spark):
+    table, names = [], [*(f"l{k}" for k in range(8)), None]
+    for k, lang in enumerate(names):
+        # No word comes twice in a document; the last languages have fewer documents.
+        table += [(100 * k + j, " ".join(f"{lang}{(7 * j + i) % 60}" for i in range(40)), lang) for j in range(24 - k)]
+    got = score_texts(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(table) and all(r["score"] > r["base_score"] for r in got)
+
+
 def test_spellings_are_probabilities():
     from palimpsest.llm.language_model import ORDERS, SLOTS, new_model
 
