@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -6,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -203,15 +205,178 @@ def test_language_model_has_an_expert_for_every_training_text(spark):
 
 
 def test_spellings_are_probabilities():
-    from palimpsest.llm.language_model import ORDERS, SLOTS, new_model
-
-    model = new_model(np.random.default_rng(3).integers(0, 9, (len(ORDERS), 2, SLOTS)).astype(np.float32))
-    model.learn([b"these", b"are", b"words"] * 40)
-    assert abs(sum(10 ** model.log10([bytes([b]) for b in range(256)])) / 1 - sum(10 ** model.log10([bytes([b]) for b in range(256)]))) < 1e-9
+    from palimpsest.llm.language_model import SpellingModel, grams
+
+    model = SpellingModel()
+    found, times = np.unique(grams([b"these", b"are", b"words", b"of", b"thee"] * 40), return_counts=True)
+    model.count(found, times)
+    model.learn(found, times)
+    # A word of one byte and its blank: all first bytes that aren't the end.
+    assert np.isclose(model.log10([b"these"])[0], model.log10([b"of", b"these", b"x"])[1])
     first = 10 ** model.log10([b""])[0]
     assert 0 < first < 1 and sum(10 ** model.log10([bytes([b]) for b in range(256) if b != 32])) < 1 - first + 1e-6
 
 
+def _plain_bit(weights, cells, x, gate, bit, taught):
+    """One bit's probability as it came, and what it teaches: added up in `cells` of the chunk."""
+    z = sum(w[gate] * v for w, v in zip(weights, [*x, 1.0]))
+    z = min(max(z, -12), 12)
+    one = 1 / (1 + math.exp(-z))
+    k = min(max(round(z * 2), -16), 16) + 16
+    p = min(max((one + cells["map"].setdefault((gate, k), 1 / (1 + math.exp(8 - k / 2)))) / 2, 1e-5), 1 - 1e-5)
+    if taught:
+        cells["gate"].setdefault(gate, []).append([(bit - one) * v for v in [*x, 1.0]])
+        cells["cell"].setdefault((gate, k), []).append(bit)
+    return p if bit else 1 - p
+
+
+def _plain_teach(weights, cells):
+    for gate, errors in cells["gate"].items():
+        for k in range(len(weights)):
+            weights[k][gate] += 0.02 * min(len(errors) ** 0.5, 16) / len(errors) * sum(e[k] for e in errors)
+    for cell, bits in cells["cell"].items():
+        cells["map"][cell] += (sum(bits) / len(bits) - cells["map"][cell]) * (1 - 0.98 ** len(bits))
+    cells["gate"], cells["cell"] = {}, {}
+
+
+def _plain_scores(texts, code_of, count_of, below, spelled, escape, chunk):
+    """log10 of each text's probability, token by token in plain Python; texts are (words, train)."""
+    places = [(d, i) for d, (ws, _) in enumerate(texts) for i in range(len(ws))]
+    logs = [0.0] * len(texts)
+    # Escapes.
+    for d, (ws, _) in enumerate(texts):
+        met, again, n = Counter(), 0, 0
+        for i, w in enumerate(ws):
+            p = (n + escape * 20) / (i + 20)
+            logs[d] += math.log10(1 - p if w in code_of else p)
+            if w not in code_of:
+                b = (again + 0.5) / (n + 2) if n else 0
+                logs[d] += math.log10((1 - b) * 10 ** spelled[w] + (b * met[w] / n if n else 0))
+                again += met[w] > 0
+                met[w] += 1
+                n += 1
+    # The word each context predicts, and its state.
+    says = []
+    for order in (1, 2, 3):
+        where = {}
+        for d, i in places:
+            ws = texts[d][0]
+            where.setdefault(tuple(ws[i - k] if i >= k else None for k in range(1, order + 1)), []).append((d, i))
+        runs, found = {}, {}
+        for d, i in places:
+            ws = texts[d][0]
+            same = where[tuple(ws[i - k] if i >= k else None for k in range(1, order + 1))]
+            own = [x for x in same if x[0] == d and x[1] < i]
+            before = [x for x in same if x[0] < d and texts[x[0]][1]]
+            after = [x for x in same if x[0] > d and texts[x[0]][1]]
+            at = own[-1] if own else before[-1] if before else after[0] if after else None
+            word = texts[at[0]][0][at[1]] if at else None
+            length = runs.get((d, i - 1), 0)
+            runs[d, i] = length + 1 if word == ws[i] and word is not None else 0
+            state = sum(length >= x for x in (1, 2, 3, 5, 9, 17, 33)) + 8 * bool(own)
+            found[d, i] = (word if word in code_of and ws[i] in code_of else None, state)
+        says.append(found)
+    weights, cells = [[w] * 48 for w in (0.3, 0.4, 0.5, 0.0)], {"map": {}, "gate": {}, "cell": {}}
+    every = [[4.0] * 16 for _ in range(3)]
+    right = [[4.0 * (0.1 + 0.88 * (s % 8) / 7) for s in range(16)] for _ in range(3)]
+    asked = [p for p in places if any(says[k][p][0] is not None for k in range(3))]
+    told = set()
+    for low in range(0, len(asked), chunk):
+        for d, i in asked[low : low + chunk]:
+            mine = [says[k][d, i] for k in range(3)]
+            chosen, gate = next((mine[k][0], 16 * k + mine[k][1]) for k in (2, 1, 0) if mine[k][0] is not None)
+            x = []
+            for k in range(3):
+                sure = math.log((right[k][mine[k][1]] + 0.02) / (every[k][mine[k][1]] - right[k][mine[k][1]] + 0.02))
+                x.append(0.0 if mine[k][0] is None else sure if mine[k][0] == chosen else -abs(sure))
+            came = chosen == texts[d][0][i]
+            logs[d] += math.log10(_plain_bit(weights, cells, x, gate, int(came), texts[d][1]))
+            if came:
+                told.add((d, i))
+        _plain_teach(weights, cells)
+        for d, i in asked[low : low + chunk]:
+            for k in range(3):
+                word, state = says[k][d, i]
+                if word is not None and texts[d][1]:
+                    every[k][state] += 1
+                    right[k][state] += word == texts[d][0][i]
+    # Codes, level by level: weights of a level are its own.
+    sums = {}
+    for code, n in below.items():
+        for level in range(21):
+            sums[level, code >> (20 - level)] = sums.get((level, code >> (20 - level)), 0) + n
+    left = [(d, i) for d, i in places if texts[d][0][i] in code_of and (d, i) not in told]
+    for level in range(20):
+        weights, cells = [[w] * 7 for w in (0.7, 0.3, 0.0)], {"map": {}, "gate": {}, "cell": {}}
+        met, asked = {}, 0
+        for d, i in left:
+            code = code_of[texts[d][0][i]]
+            node, bit = code >> (20 - level), code >> (19 - level) & 1
+            n = [met.get((d, node, b), 0) for b in (0, 1)]
+            met[d, node, bit] = n[bit] + 1
+            zero, one = (sums.get((level + 1, 2 * node + b), 0) for b in (0, 1))
+            if zero and one:
+                gate = sum(n[0] + n[1] >= x for x in (1, 2, 3, 5, 9, 33))
+                logs[d] += math.log10(_plain_bit(weights, cells, [math.log(one) - math.log(zero), math.log(n[1] + 0.4) - math.log(n[0] + 0.4)], gate, bit, texts[d][1]))
+                asked += 1
+                if asked % chunk == 0:
+                    _plain_teach(weights, cells)
+    for d, i in left:
+        w = texts[d][0][i]
+        logs[d] += math.log10(count_of[w] / below[code_of[w]])
+    return logs
+
+
+def test_scores_equal_plain_mixing(spark, monkeypatch):
+    from palimpsest.llm import context_mixing, language_model
+
+    rng = random.Random(8)
+    known = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    passage = " ".join(rng.choice(known) for _ in range(40))
+    texts = [" ".join(rng.choice(known) for _ in range(rng.randint(0, 60))) + (" " + passage if k % 3 == 0 else "") + (" new%d odd new%d" % (k, k) if k % 4 == 0 else "") for k in range(45)]
+    table = spark.createDataFrame([(k, t, "x" if k % 2 else "y") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    words = language_model.count_words(table.where(~language_model.held_out(F.col("doc_id"))))
+    shared = language_model.share_model(words)
+    code_of = {bytes(r["word"]): r["code"] for r in words.collect()}
+    count_of = {bytes(r["word"]): r["c"] for r in words.collect()}
+    below = Counter()
+    for w, code in code_of.items():
+        below[code] += count_of[w]
+    assert all(c & 4095 == xxhash.xxh64_intdigest(w, seed=42) & 4095 and c >> 12 & 31 == count_of[w].bit_length() - 1 for w, c in code_of.items())
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(45)]
+    for chunk in (8192, 50):
+        monkeypatch.setattr(context_mixing, "CHUNK", chunk)
+        scorer = language_model.BlockScorer(shared)
+        for k, t in enumerate(texts):
+            scorer.add(k, held[k], t)
+        got = [r["score"] for batch in scorer.rows() for r in batch.to_pylist()]
+        plain = [([*t.encode().split(), b""], not held[k]) for k, t in enumerate(texts)]
+        new = sorted({w for ws, _ in plain for w in ws if w not in code_of})
+        spelled = dict(zip(new, shared.spelling.log10(new)))
+        assert new and np.allclose(got, _plain_scores(plain, code_of, count_of, below, spelled, shared.escape, chunk), rtol=2e-3)
+    table_scores = {r["doc_id"]: r["score"] for r in score_texts(table).collect()}
+    base = {r["doc_id"]: r["base_score"] for r in score_texts(table).collect()}
+    assert sum(table_scores.values()) > sum(base.values())
+
+
+def test_placement_splits_hot_content():
+    from palimpsest.llm.language_model import Placement, content_key
+
+    copy = np.frombuffer(b"the same content in very many documents of the table", np.uint8)
+    key = content_key(copy)
+    assert content_key(np.concatenate([copy, copy[:3]])) >= -(2**63) and content_key(copy[:5]) != content_key(copy[:6])
+    blocks = Placement(4, {key: (4, 3)}).of(np.array([key] * 300 + [key + 1]), [*range(299), None, 5])
+    assert set(blocks[:300].tolist()) == {4, 5, 6} and blocks[300] < 4
+
+
+def test_long_texts_go_in_pieces():
+    from palimpsest.llm import language_model
+
+    text = "word Other\n" * 400_000
+    parts = list(language_model.pieces(text))
+    assert len(parts) == 3 and sum(map(len, parts)) == 800_000 and {w for p in parts for w in p} == {b"word", b"other"}
+
+
 def test_toxicity_grammar():
     g = Grammar({"moron$": 5.0, "scum": 5.0})
     found = g.automaton()
