@@ -6,6 +6,8 @@ of more than 20 delete it, a few rows come from a wrong tenant, clicks set the l
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value", "props")
+def feed(spark: SparkSession, sf_dir: str, days: bool = False) -> DataFrame:
+    """The feed; days cuts the instants to days, so that many changes of a record have the same one."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts") if days else F.col("ts"), "event_type", "value", "props")
     rid = (F.col("user_id") * 10 + F.col("event_id") % 10).cast("string")
     first = F.row_number().over(Window.partitionBy("id").orderBy("ts", "event_id")) == 1
     op = F.when(first, "create").when((F.col("event_type") == "error") & (F.col("value") > 20), "delete").when((F.col("event_type") == "signup") & (F.col("value") > 60), "create").otherwise("update")
@@ -40,8 +43,8 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_scd2(None, feed(spark, sf_dir), VERSIONED)["table"]
 
 
-def audited(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return apply_audited(None, feed(spark, sf_dir), AUDITED_SPEC)
+def audited(spark: SparkSession, sf_dir: str, days: bool = False) -> dict[str, DataFrame]:
+    return apply_audited(None, feed(spark, sf_dir, days), AUDITED_SPEC)
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,7 @@ WITH raw AS (
            last_value(CASE WHEN op IN ('create', 'update') THEN level END IGNORE NULLS) OVER w AS level,
            last_value(CASE WHEN op = 'create' OR op = 'update' AND event_type <> 'click' THEN props END IGNORE NULLS) OVER w AS props
     FROM judged WHERE reason IS NULL WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq)
-), accepted AS (
+), accepted AS MATERIALIZED (
     SELECT *, lag(event_type) OVER w AS old_event_type, lag(level) OVER w AS old_level, lag(props) OVER w AS old_props FROM states WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq)
 ), kept AS (
     SELECT * FROM accepted WHERE op IN ('create', 'delete') OR event_type <> old_event_type OR level <> old_level OR props <> old_props
@@ -103,7 +106,7 @@ WITH raw AS (
     UNION ALL SELECT id, op, change_ts, seq, user_id, 'props', o_props, j_props, props IS DISTINCT FROM old_props FROM encoded
 ), owners AS (
     SELECT id, tenant_id AS owner FROM accepted WHERE op = 'create'
-), audit AS (
+), audit AS MATERIALIZED (
     SELECT id AS record_id, owner AS tenant_id, field_name, CASE WHEN op = 'update' THEN old_value END AS old_value, new_value, CASE op WHEN 'create' THEN 'INSERT' ELSE 'UPDATE' END AS operation, change_ts AS changed_at, user_id AS changed_by, seq
     FROM entries JOIN owners USING (id) WHERE op = 'create' OR op = 'update' AND differs
     UNION ALL SELECT id, owner, 'deleted_at', NULL,
@@ -111,3 +114,12 @@ WITH raw AS (
     FROM accepted JOIN owners USING (id) WHERE op = 'delete'
 )
 """
+
+#: The same over the feed with instants cut to days.
+DAYS_SQL = CHAIN_SQL.replace("ts AS change_ts", "date_trunc('day', ts) AS change_ts")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for queries that write tables."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{named or spark.conf.get('spark.sql.warehouse.dir') + '/_checkpoints'}/{name}-{uuid.uuid4().hex}"

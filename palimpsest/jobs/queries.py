@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import casts, jsonval
+from ..functions import casts, jsonval, keys
 from ..operators import audit as A
 from ..operators import changes as C
 from ..operators import current as U
@@ -20,8 +20,11 @@ from ..operators import paging as L
 from ..operators import quality as V
 from ..operators import scd2 as H
 from ..operators import stats as G
+from ..sources import objects as O
 from ..sources import tables as S
-from .feeds import AUDITED_SPEC, CHAIN_SQL, CURRENT, FIELDS, VERSIONED, audited, current, feed, query_log, table, versions
+from ..streaming import feeds as R
+from ..spec import AUDITED, NONE, TableSpec
+from .feeds import AUDITED_SPEC, CHAIN_SQL, CURRENT, DAYS_SQL, FIELDS, VERSIONED, audited, current, feed, query_log, scratch, table, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,13 +154,13 @@ on_versions("version_info", "SELECT id, version, valid_from, valid_to, valid_to
 on_versions("compare_versions", """
     SELECT a.id, 'event_type' AS field_name, '"' || a.event_type || '"' AS old_value, '"' || b.event_type || '"' AS new_value, a.event_type <> b.event_type AS changed FROM versions a JOIN versions b ON a.id = b.id AND a.version = 1 AND b.version = 3
     UNION ALL SELECT a.id, 'level', CAST(a.level AS VARCHAR), CAST(b.level AS VARCHAR), a.level <> b.level FROM versions a JOIN versions b ON a.id = b.id AND a.version = 1 AND b.version = 3""", lambda v: H.compare_versions(v, 1, 3, ["event_type", "level"]))
-on_versions("version_deltas", "SELECT id, version, 'level' AS field_name, CAST(old AS VARCHAR) AS old_value, CAST(level AS VARCHAR) AS new_value FROM (SELECT id, version, level, lag(level) OVER (PARTITION BY id ORDER BY version) AS old FROM versions) WHERE old <> level",
-            lambda v: H.version_deltas(v, list(FIELDS)).where("field_name = 'level'"))
+on_versions("version_deltas", "SELECT record_id AS id, version, field_name, old_value, new_value FROM audit JOIN (SELECT id, version, seq FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_ts, seq) AS version FROM kept)) n ON record_id = n.id AND audit.seq = n.seq WHERE operation = 'UPDATE'",
+            lambda v: H.version_deltas(v, list(FIELDS)).withColumn("version", F.col("version").cast("long")))
 on_versions("version_count", "SELECT id, count(*) AS n_versions FROM versions GROUP BY id", H.version_count)
 on_versions("version_timeline", "SELECT id, version, valid_from, valid_to, epoch_us(valid_to) - epoch_us(valid_from) AS valid_micros FROM versions", H.version_timeline)
 on_versions("changes_between", f"SELECT id, version, valid_from FROM versions WHERE valid_from BETWEEN {FROM_} AND {TO}", lambda v: H.changes_between(v, T1, T2).select("id", "version", "valid_from"))
 on_versions("first_time_value", "SELECT id, min(valid_from) AS first_at FROM versions WHERE event_type = 'purchase' GROUP BY id", lambda v: H.first_time_value(v, "event_type", "purchase"))
-on_versions("histories_for", "SELECT id, version, level FROM versions WHERE id LIKE '%7'", lambda v: H.version_history(v, v.where("id like '%7'")).select("id", "version", "level"))
+on_versions("histories_for", "SELECT id, version, level FROM versions WHERE id IN (SELECT id FROM versions WHERE deleted_at IS NOT NULL)", lambda v: H.version_history(v, v.where("deleted_at is not null")).select("id", "version", "level"))
 
 
 # Joins.
@@ -229,12 +232,12 @@ on_versions("prune_versions", "SELECT id, version FROM (SELECT *, row_number() O
 on_versions("archive_versions", "SELECT id, version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM versions WHERE tenant_id = '1') WHERE rn > 2", lambda v: M.archive_versions(v, 2, "1")[1].select("id", "version"))
 on_versions("purge_deleted", f"SELECT id, version FROM versions WHERE id NOT IN (SELECT id FROM versions WHERE deleted_at < {AT})", lambda v: M.purge_deleted(v, NOW, VERSIONED).select("id", "version"))
 on_table("add_temporal", "customer", "SELECT c_custkey, 'acme' AS tenant_id, 1 AS version FROM customer", lambda t: M.add_temporal(t, VERSIONED, T1, "acme").where("valid_to is null and deleted_at is null").select("c_custkey", "tenant_id", "version"))
-query("audit_to_scd2", f"SELECT id, {USER}, valid_from, valid_to, version FROM (SELECT id, {USER}, change_ts AS valid_from, lead(change_ts) OVER w AS valid_to, CAST(row_number() OVER w AS INTEGER) AS version FROM kept WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq))", chain=True)(lambda s, d: _rebuilt(s, d))
+query("audit_to_scd2", f"SELECT id, {USER}, valid_from, valid_to, version FROM (SELECT id, {USER}, change_ts AS valid_from, lead(change_ts) OVER w AS valid_to, CAST(row_number() OVER w AS INTEGER) AS version FROM kept WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq))", chain=True)(lambda s, d: _from_audit(audited(s, d)["audit"]))
 
 
-def _rebuilt(s: SparkSession, d: str) -> DataFrame:
+def _from_audit(audit: DataFrame) -> DataFrame:
     kinds = {"event_type": "string", "level": "bigint", "props": "string"}
-    return H.apply_scd2(None, M.audit_to_feed(audited(s, d)["audit"], AUDITED_SPEC, kinds), VERSIONED)["table"].select("id", *FIELDS, "valid_from", "valid_to", "version")
+    return H.apply_scd2(None, M.audit_to_feed(audit, AUDITED_SPEC, kinds), VERSIONED)["table"].select("id", *FIELDS, "valid_from", "valid_to", "version")
 
 
 on_versions("scd2_to_audited", f"SELECT id, {USER}, deleted_at FROM versions WHERE valid_to IS NULL", lambda v: M.scd2_to_audited(v, VERSIONED)["table"].select("id", *FIELDS, "deleted_at"))
@@ -247,13 +250,126 @@ on_versions("check_not_null", "SELECT 'updated_by' AS rule, count(*) FILTER (WHE
 on_table("check_range", "customer", "SELECT 'balance' AS rule, count(*) FILTER (WHERE c_acctbal < 0) AS violations FROM customer UNION ALL SELECT 'nation', count(*) FILTER (WHERE NOT (c_nationkey BETWEEN 0 AND 20)) FROM customer", lambda t: V.check_range(t, {"balance": F.col("c_acctbal") >= 0, "nation": F.col("c_nationkey").between(0, 20)}))
 on_table("check_length", "part", "SELECT 'p_name' AS rule, count(*) FILTER (WHERE NOT (length(p_name) BETWEEN 1 AND 9)) AS violations FROM part", lambda t: V.check_length(t, {"p_name": (1, 9)}))
 on_table("check_unique", "orders", "SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1", lambda t: V.check_unique(t, ["o_custkey", "o_orderdate"]))
-on_versions("check_scd2_timeline", "SELECT id, version, 'version gap' AS problem FROM (SELECT id, version, row_number() OVER (PARTITION BY id ORDER BY version) AS n FROM versions WHERE version <> 2) WHERE n <> version", lambda v: V.check_scd2_timeline(v.where("version != 2")).where("problem = 'version gap'"))
+on_versions("check_scd2_timeline", """
+    SELECT id, version, CASE WHEN n <> version THEN 'version gap' WHEN nv IS NOT NULL AND valid_to IS NULL THEN 'open before the last' WHEN nv IS NULL AND valid_to IS NOT NULL THEN 'no open version'
+                             WHEN nv IS NOT NULL AND valid_to <> nf THEN 'periods don''t meet' ELSE 'version after tombstone' END AS problem
+    FROM (SELECT *, row_number() OVER w AS n, lead(valid_from) OVER w AS nf, lead(version) OVER w AS nv, lag(deleted_at IS NOT NULL) OVER w AS after
+          FROM (SELECT id, version, valid_from, CASE WHEN version = 3 THEN NULL WHEN version = 4 THEN valid_from + INTERVAL 1 HOUR ELSE valid_to END AS valid_to, CASE WHEN version = 1 THEN valid_from ELSE deleted_at END AS deleted_at FROM versions WHERE version <> 6)
+          WINDOW w AS (PARTITION BY id ORDER BY version))
+    WHERE n <> version OR nv IS NOT NULL AND valid_to IS NULL OR nv IS NULL AND valid_to IS NOT NULL OR nv IS NOT NULL AND valid_to <> nf OR coalesce(after, false)""",
+            lambda v: V.check_scd2_timeline(v.where("version != 6").withColumns({"valid_to": F.when(F.col("version") == 3, None).when(F.col("version") == 4, F.col("valid_from") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("valid_to")), "deleted_at": F.when(F.col("version") == 1, F.col("valid_from")).otherwise(F.col("deleted_at"))})))
 query("check_audit_consistency", "SELECT id AS record_id, 'level' AS field_name, 'last value' AS problem FROM current_state WHERE level > 3", chain=True)(
     lambda s, d: (lambda r: V.check_audit_consistency(r["table"].withColumn("level", F.when(F.col("level") > 3, F.col("level") + 1).otherwise(F.col("level"))), r["audit"], AUDITED_SPEC))(audited(s, d))
 )
 on_table("tenant_leaks", "customer", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (1, 2, 3)", lambda t: V.tenant_leaks(t, [1, 2, 3], "c_nationkey").select("c_custkey"))
 
 
+# The same instant for many changes of a record.
+def on_days(name: str, sql: str, f: Callable[[dict[str, DataFrame]], DataFrame]) -> None:
+    QUERIES[name] = lambda s, d: f(audited(s, d, days=True))
+    ORACLE_SQL[name] = DAYS_SQL + sql
+
+
+on_days("reconstruct_at_ties", f"SELECT id, {USER} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_ts DESC, seq DESC) AS rn FROM accepted WHERE change_ts <= {AT}) WHERE rn = 1 AND op <> 'delete'", lambda r: A.reconstruct_at(r["table"], r["audit"], NOW, AUDITED_SPEC))
+on_days("audit_to_scd2_ties", f"SELECT id, {USER}, valid_from, valid_to, version FROM (SELECT id, {USER}, change_ts AS valid_from, lead(change_ts) OVER w AS valid_to, CAST(row_number() OVER w AS INTEGER) AS version FROM kept WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq))", lambda r: _from_audit(r["audit"]))
+on_days("check_audit_consistency_ties", "SELECT record_id, field_name, 'old value' AS problem FROM audit WHERE operation = 'UPDATE' AND field_name = 'level' AND CAST(new_value AS BIGINT) % 3 = 0", lambda r: V.check_audit_consistency(r["table"], r["audit"].withColumn("old_value", F.when((F.col("operation") == "UPDATE") & (F.col("field_name") == "level") & (F.col("new_value").try_cast("long") % 3 == 0), F.concat("old_value", F.lit("0"))).otherwise(F.col("old_value"))), AUDITED_SPEC))
+
+# Forms of the record jobs that the queries above leave out.
+on_versions("scd2_to_audited_trail", f"SELECT {AUDIT_COLUMNS} FROM audit", lambda v: M.scd2_to_audited(v, VERSIONED)["audit"].select(*_AUDIT))
+_HARD = TableSpec("activity", FIELDS, AUDITED, soft_delete=False)
+_HARD_ROWS = " UNION ALL ".join(f"SELECT e.id, owner, '{f}', {j}, NULL, 'DELETE', change_ts, user_id FROM encoded e JOIN owners USING (id) WHERE op = 'delete'" for f, j in zip(FIELDS, ("j_type", "j_level", "j_props")))
+query("audit_hard_delete", f"SELECT {AUDIT_COLUMNS} FROM audit WHERE operation <> 'DELETE' UNION ALL {_HARD_ROWS}", chain=True)(lambda s, d: A.apply_audited(None, feed(s, d), _HARD)["audit"].select(*_AUDIT))
+query("apply_none_hard_delete", f"SELECT id, {USER}, tenant_id FROM current_state WHERE deleted_at IS NULL", chain=True)(lambda s, d: U.apply_none(None, feed(s, d), TableSpec("activity", FIELDS, NONE, soft_delete=False))["table"].select("id", *FIELDS, "tenant_id"))
+
+
+def _audit_transfers(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    c = current(s, d)
+    requests = c.select("id", F.when(F.col("level") != 2, F.lit("4")).alias("new_tenant_id"), F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz").alias("change_ts"), F.lit("9").alias("user_id"))
+    return A.audit_transfer(c, requests, AUDITED_SPEC)
+
+
+query("audit_transfer", """SELECT id AS record_id, '4' AS tenant_id, '"' || tenant_id || '"' AS old_value, '"4"' AS new_value, '9' AS changed_by FROM current_state WHERE deleted_at IS NULL AND tenant_id <> '4' AND level <> 2""", chain=True)(lambda s, d: _audit_transfers(s, d)["audit"].select("record_id", "tenant_id", "old_value", "new_value", "changed_by"))
+query("audit_transfer_rejects", "SELECT id, CASE WHEN level = 2 THEN 'no tenant' WHEN deleted_at IS NOT NULL THEN 'deleted' ELSE 'same tenant' END AS reason FROM current_state WHERE level = 2 OR deleted_at IS NOT NULL OR tenant_id = '4'", chain=True)(lambda s, d: _audit_transfers(s, d)["rejects"].select("id", "reason"))
+query("transfer_closed", "SELECT id, version, CASE WHEN valid_to IS NULL AND deleted_at IS NULL AND tenant_id <> '4' THEN TIMESTAMP '2024-03-01 00:00:00' ELSE valid_to END AS valid_to FROM versions", chain=True)(lambda s, d: _transfers(s, d)["table"].where(F.col("valid_from") != F.lit(dt.datetime(2024, 3, 1))).select("id", "version", "valid_to"))
+on_versions("count_include_deleted", "SELECT tenant_id, count(DISTINCT id) AS n FROM versions GROUP BY tenant_id", lambda v: G.count_rows(v, VERSIONED, ("tenant_id",), include_deleted=True))
+on_table("tenant_scope_strict", "customer", "SELECT c_custkey FROM customer WHERE c_nationkey = 5", lambda t: P.tenant_scope(t, "c_nationkey", tenant_id=5).select("c_custkey"))
+query("add_audit", """SELECT CAST(c_custkey AS VARCHAR) AS record_id, 'c_name' AS field_name, '"' || c_name || '"' AS new_value FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer""")(
+    lambda s, d: M.add_audit(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_name", "c_nationkey"), TableSpec("customers", ("c_name", "c_nationkey"), AUDITED), T1, "importer", "acme")["audit"].select("record_id", "field_name", "new_value")
+)
+
+# Objects: the given tables' own files.
+_NAMES = ", ".join(f"('{n}.parquet')" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
+query("object_inventory", f"SELECT key, true AS has_size FROM (VALUES {_NAMES}) t(key)")(lambda s, d: O.object_inventory(s, d).select("key", (F.col("size") > 0).alias("has_size")))
+query("object_metadata", f"SELECT key, 0 AS entries FROM (VALUES {_NAMES}) t(key)")(lambda s, d: O.object_metadata(s, d).select("key", F.size("metadata").alias("entries")))
+query("object_chunks", f"SELECT key, true AS whole FROM (VALUES {_NAMES}) t(key)")(
+    lambda s, d: O.object_chunks(s, d, 65536).groupBy("key").agg(F.sum(F.length("bytes")).alias("n"), F.max("chunk").alias("last")).join(O.object_inventory(s, d, limit=None), "key").select("key", ((F.col("n") == F.col("size")) & (F.col("last") == F.floor((F.col("size") - 1) / 65536))).alias("whole"))
+)
+on_table("object_key", "part", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'docs/' || p_brand END AS key FROM part", lambda t: t.select("p_partkey", keys.object_key(F.concat(F.when(F.col("p_size") % 3 == 0, "a/../../docs/").otherwise("//docs/"), "p_brand")).alias("key")))
+on_table("metadata_keys", "part", "SELECT p_partkey, 'a_b_' || CAST(p_size AS VARCHAR) AS k, p_brand AS v FROM part", lambda t: t.select("p_partkey", F.explode(keys.metadata_keys(F.create_map(F.concat(F.lit("a-b."), F.col("p_size").cast("string")), "p_brand"))).alias("k", "v")))
+
+
+# Writing, and streams.
+def _written(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "written")
+    S.write_table(table(s, d, "customer"), path)
+    S.write_table(S.read_table(s, path).where("c_acctbal > 0"), path)
+    return S.read_table(s, path)
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s, "appended")
+    for part in (table(s, d, "orders").where("o_orderstatus = 'O'"), table(s, d, "orders").where("o_orderstatus != 'O'")):
+        S.bulk_write(part, path, ["o_orderstatus"])
+    return S.read_table(s, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("write_table", "SELECT * FROM customer WHERE c_acctbal > 0")(_written)
+query("bulk_write", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")(_appended)
+
+
+def _in_order(s: SparkSession, f: DataFrame, run: Callable[[DataFrame, str], None]) -> str:
+    """Write a feed in two parts by time, each before a run of the stream over it."""
+    path = scratch(s, "stream")
+    for part in (f.where(F.col("change_ts") <= F.lit(NOW)), f.where(F.col("change_ts") > F.lit(NOW))):
+        part.write.mode("append").parquet(f"{path}/in")
+        run(s.readStream.schema(f.schema).parquet(f"{path}/in"), path)
+    return path
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    path = _in_order(s, feed(s, d), lambda stream, p: R.stream_scd2(stream, f"{p}/table", f"{p}/state", VERSIONED).awaitTermination())
+    return R.read_versions(s, f"{path}/table")
+
+
+def _sink(out: DataFrame, path: str) -> None:
+    out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+
+
+def _streamed_audit(s: SparkSession, d: str) -> DataFrame:
+    f = feed(s, d).select("id", F.col("change_ts").cast("timestamp").alias("change_ts"), "event_type", "level").groupBy("id", "change_ts").agg(F.min("event_type").alias("event_type"), F.min("level").alias("level"))
+    path = _in_order(s, f, lambda stream, p: _sink(R.stream_audit(stream, TableSpec("t", ("event_type", "level"), AUDITED, multi_tenant=False)), p))
+    return s.read.parquet(f"{path}/out").select("record_id", "field_name", "old_value", "new_value", "operation", F.col("changed_at").cast("timestamp_ntz").alias("changed_at"))
+
+
+def _streamed_stats(s: SparkSession, d: str) -> DataFrame:
+    log = query_log(s, d)
+    path = scratch(s, "stats")
+    log.withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(f"{path}/in")
+    stream = s.readStream.schema(s.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    stats = R.stream_query_stats(stream, "1 day", late="3650 days")
+    stats.writeStream.format("memory").queryName(name := f"stats_{path[-32:]}").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return s.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "operation", "total", "succeeded", "slow", "max_duration")
+
+
+query("stream_scd2", "SELECT * FROM versions", chain=True)(_streamed)
+query("stream_audit", """,
+    t AS (SELECT id, change_ts, min(event_type) AS event_type, CAST(min(level) AS VARCHAR) AS level FROM feed GROUP BY ALL),
+    e AS (SELECT id, change_ts, 'event_type' AS field_name, event_type AS new_value FROM t UNION ALL SELECT id, change_ts, 'level', level FROM t),
+    l AS (SELECT *, lag(new_value) OVER w AS old_value, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY id, field_name ORDER BY change_ts))
+    SELECT id AS record_id, field_name, old_value, new_value, CASE WHEN n = 1 THEN 'INSERT' ELSE 'UPDATE' END AS operation, change_ts AS changed_at FROM l WHERE n = 1 OR old_value <> new_value""", chain=True)(_streamed_audit)
+query("stream_query_stats", _LOG + """SELECT date_trunc('day', "timestamp") AS window_start, operation, count(*) AS total, count(*) FILTER (WHERE success) AS succeeded, count(*) FILTER (WHERE duration > 1.0) AS slow, max(duration) AS max_duration FROM log GROUP BY ALL""")(_streamed_stats)
+
+
 def entry(s: SparkSession, d: str) -> DataFrame:
     """Flagship: a feed becomes versions, the state at an instant is counted by type and tenant."""
     return P.as_of(versions(s, d), NOW).groupBy("event_type", "tenant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("level").alias("levels"))

@@ -18,7 +18,8 @@ def audit_rows(chain: DataFrame, spec: TableSpec) -> DataFrame:
     """INSERT rows for every user field of a create, UPDATE rows for changed fields, and the delete's rows.
 
     Fields are compared before anything is exploded. A soft delete has one row for deleted_at; a hard
-    one has a DELETE row for each user field. Rows of one change share a transaction_id.
+    one has a DELETE row for each user field. Rows of one change share a transaction_id; `seq` is the
+    change's place among those of one instant.
     """
     kinds = dict(chain.dtypes)
     entry = lambda f, old, new: F.struct(F.lit(f).alias("field_name"), old.alias("old_value"), new.alias("new_value"))
@@ -40,7 +41,7 @@ def audit_rows(chain: DataFrame, spec: TableSpec) -> DataFrame:
     tenant = (spec.tenant_field,) if spec.multi_tenant else ()
     return rows.select(
         stable_uuid(F.col("record_id"), F.col("e.field_name"), F.col("changed_at"), F.col("seq"), F.col("operation")).alias("audit_id"), "record_id", *tenant, "e.*", "operation",
-        "changed_at", "changed_by", stable_uuid(F.col("record_id"), F.col("changed_at"), F.col("seq")).alias("transaction_id"), F.lit(None).cast("string").alias("metadata"),
+        "changed_at", "changed_by", stable_uuid(F.col("record_id"), F.col("changed_at"), F.col("seq")).alias("transaction_id"), F.lit(None).cast("string").alias("metadata"), "seq",
     )
 
 
@@ -64,17 +65,17 @@ def audit_transfer(table: DataFrame, requests: DataFrame, spec: TableSpec) -> di
     audit = joined.where(good).select(
         stable_uuid(F.col(spec.key), F.lit(spec.tenant_field), F.col("at"), F.lit("TRANSFER")).alias("audit_id"), F.col(spec.key).alias("record_id"), F.col("new_tenant_id").alias(spec.tenant_field),
         F.lit(spec.tenant_field).alias("field_name"), audit_json(F.col(spec.tenant_field), kind).alias("old_value"), audit_json(F.col("new_tenant_id"), kind).alias("new_value"),
-        F.lit("TRANSFER").alias("operation"), F.col("at").alias("changed_at"), F.col("by").alias("changed_by"), stable_uuid(F.col(spec.key), F.col("at")).alias("transaction_id"), F.lit(None).cast("string").alias("metadata"),
+        F.lit("TRANSFER").alias("operation"), F.col("at").alias("changed_at"), F.col("by").alias("changed_by"), stable_uuid(F.col(spec.key), F.col("at")).alias("transaction_id"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("long").alias("seq"),
     )
     moved = joined.withColumns({spec.tenant_field: F.when(good, F.col("new_tenant_id")).otherwise(F.col(spec.tenant_field)), "updated_at": F.when(good, F.col("at")).otherwise(F.col("updated_at")), "updated_by": F.when(good, F.coalesce("by", "updated_by")).otherwise(F.col("updated_by"))})
-    rejects = r.join(table.withColumn("_known", F.lit(True)), spec.key, "left").withColumn("reason", F.when(F.col("_known").isNull(), "not found").when(F.col("deleted_at").isNotNull() if spec.soft_delete else F.lit(False), "deleted").when(F.col(spec.tenant_field) == F.col("new_tenant_id"), "same tenant")).where("reason is not null")
+    rejects = r.join(table.withColumn("_known", F.lit(True)), spec.key, "left").withColumn("reason", F.when(F.col("_known").isNull(), "not found").when(F.col("new_tenant_id").isNull(), "no tenant").when(F.col("deleted_at").isNotNull() if spec.soft_delete else F.lit(False), "deleted").when(F.col(spec.tenant_field) == F.col("new_tenant_id"), "same tenant")).where("reason is not null")
     return {"table": moved.select(*table.columns), "audit": audit, "rejects": rejects.select(spec.key, "new_tenant_id", "reason")}
 
 
 def audit_history(audit: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """All entries of the records that `ids` (record_id) lists, oldest first."""
     out = audit if ids is None else audit.join(ids.select("record_id").distinct(), "record_id", "left_semi").select(*audit.columns)
-    return out.orderBy("record_id", "changed_at", "field_name")
+    return out.orderBy("record_id", "changed_at", "seq", "field_name")
 
 
 def field_history(audit: DataFrame, field: str, ids: DataFrame | None = None) -> DataFrame:
@@ -96,13 +97,13 @@ def changes_in_range(audit: DataFrame, start: Any, end: Any, operation: str | No
 
 
 def reconstruct_at(table: DataFrame, audit: DataFrame, instant: Any, spec: TableSpec) -> DataFrame:
-    """Every record's user fields at the instant: of each field changed later, the earliest later change's old value.
+    """Every record's user fields at the instant: of each field changed later, the earliest later change's old value (by instant, then seq).
 
     Records created after the instant are left out; so are those deleted by then.
     """
     t = F.lit(instant)
     later = audit.where(F.col("changed_at") > t)
-    undo = later.groupBy("record_id", "field_name").agg(F.min_by(F.struct("old_value"), F.struct("changed_at", "audit_id")).alias("o"))
+    undo = later.groupBy("record_id", "field_name").agg(F.min_by(F.struct("old_value"), F.struct("changed_at", "seq", "audit_id")).alias("o"))
     wide = undo.groupBy("record_id").pivot("field_name", [*spec.user_fields, "deleted_at"]).agg(F.first("o"))
     joined = table.where(F.col("created_at") <= t).join(wide.select(F.col("record_id").alias(spec.key), *(F.col(f).alias(f"undo_{f}") for f in (*spec.user_fields, "deleted_at"))), spec.key, "left")
     kinds = dict(table.dtypes)

@@ -1,7 +1,7 @@
 """The change feed and the per-record chain of states that all strategies share.
 
 A feed row is (id, op, change_ts, seq, tenant_id, user_id, <user fields>, set_fields); op is create,
-update, delete or restore. set_fields lists the fields that the row sets (null: all), so an
+update, delete or restore (of tables with the strategy none only). set_fields lists the fields that the row sets (null: all), so an
 explicit NULL differs from a field that is left alone. Order is (change_ts, seq).
 
 Everything is computed by windows over the record id: one shuffle on it, and functions
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..spec import TableSpec
+from ..spec import NONE, TableSpec
 from .filters import quoted
 
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -63,16 +63,19 @@ def judged(rows: DataFrame, spec: TableSpec) -> DataFrame:
     rows = rows.withColumn("tenant_ok", F.coalesce(same, F.lit(False)))
     floor = F.max("was_valid_from").over(w)
     rows = rows.withColumn("late", F.coalesce(F.col("change_ts") < floor, F.lit(False)) & (F.col("op") != "base"))
-    ends = F.when(F.col("op") == "base", F.col("was_deleted_at").isNotNull()).when(F.col("exists") & F.col("tenant_ok") & ~F.col("late") & F.col("op").isin("delete", "restore"), F.col("op") == "delete")
+    ending = ("delete", "restore") if spec.strategy == NONE else ("delete",)
+    ends = F.when(F.col("op") == "base", F.col("was_deleted_at").isNotNull()).when(F.col("exists") & F.col("tenant_ok") & ~F.col("late") & F.col("op").isin(*ending), F.col("op") == "delete")
     rows = rows.withColumn("ends", ends).withColumn("dead", F.coalesce(F.last("ends", ignorenulls=True).over(before), F.lit(False)))
     reason = (
         F.when(F.col("op") == "base", None)
         .when(F.col(spec.key).isNull(), "no id")
+        .when(~F.col("op").isin("create", "update", "delete", "restore"), "unknown op")
         .when(F.col("late"), "late")
         .when((F.col("op") == "create") & F.col("exists"), "exists")
         .when(F.col("op") == "create", F.when(F.col(spec.tenant_field).isNull(), "no tenant") if spec.multi_tenant else None)
         .when(~F.col("exists"), "not found")
         .when(~F.col("tenant_ok"), "wrong tenant")
+        .when((F.col("op") == "restore") & F.lit(spec.strategy != NONE), "no restore")
         .when((F.col("op") == "restore") & ~F.col("dead"), "not deleted")
         .when((F.col("op") != "restore") & F.col("dead"), "deleted")
     )

@@ -43,8 +43,7 @@ def accepted_chain(base: DataFrame | None, feed: DataFrame, spec: TableSpec) ->
 
 def state_of(chain: DataFrame, base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> DataFrame:
     """The last state of each record of the chain, and the base's untouched records."""
-    newest = Window.partitionBy(spec.key).orderBy(F.desc("is_base"), F.desc("change_ts"), F.desc("seq"))
-    last = chain.withColumn("rn", F.row_number().over(newest)).where("rn = 1")
+    last = chain.withColumn("later", F.lead("op").over(id_window(spec))).where("later is null")  # in the order that the chain is sorted by
     if not spec.soft_delete:  # a hard delete removes the record
         last = last.where("deleted_at is null")
     built = last.select(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.casts import strict_cast
 from ..functions.jsonval import audit_value
 from ..spec import SCD2, TableSpec
+from .audit import audit_rows
 from .filters import quoted
 from .paging import rank_versions
 
@@ -59,21 +60,47 @@ def add_temporal(df: DataFrame, spec: TableSpec, instant: Any, backfill_tenant:
     return out.withColumns({k: v for k, v in added.items() if k not in df.columns})
 
 
+def add_audit(df: DataFrame, spec: TableSpec, instant: Any, user: str | None = None, backfill_tenant: Any = None) -> dict[str, DataFrame]:
+    """Give an existing table the audited form: its columns, and an audit trail that starts with an INSERT row for each field as it stands."""
+    table = add_temporal(df, spec, instant, backfill_tenant)
+    chain = table.select(
+        spec.key, F.lit("create").alias("op"), F.lit(instant).alias("change_ts"), F.lit(0).cast("long").alias("seq"), F.lit(user).cast("string").alias("user_id"), *((F.col(spec.tenant_field).alias("own_tenant"),) if spec.multi_tenant else ()),
+        *(quoted(f).alias(f"new_{f}") for f in spec.user_fields), *(F.lit(None).cast(table.schema[f].dataType).alias(f"old_{f}") for f in spec.user_fields),
+    )
+    return {"table": table, "audit": audit_rows(chain, spec)}
+
+
 def audit_to_feed(audit: DataFrame, spec: TableSpec, kinds: dict[str, str]) -> DataFrame:
     """The change feed that an audit trail records: one row for each transaction."""
-    wide = audit.groupBy("record_id", "changed_at", "transaction_id", "changed_by", "operation", *((spec.tenant_field,) if spec.multi_tenant else ())).pivot("field_name", [*spec.user_fields]).agg(F.first(F.struct("new_value")))
+    wide = audit.groupBy("record_id", "changed_at", "seq", "transaction_id", "changed_by", "operation", *((spec.tenant_field,) if spec.multi_tenant else ())).pivot("field_name", [*spec.user_fields]).agg(F.first(F.struct("new_value")))
     sets = F.filter(F.array(*(F.when(F.col(f).isNotNull(), F.lit(f)) for f in spec.user_fields)), lambda x: x.isNotNull())
     op = F.when(F.col("operation") == "INSERT", "create").when(F.col("operation") == "DELETE", "delete").otherwise("update")
     return wide.select(
-        F.col("record_id").alias(spec.key), op.alias("op"), F.col("changed_at").alias("change_ts"), F.xxhash64("transaction_id").alias("seq"), *((spec.tenant_field,) if spec.multi_tenant else ()),
+        F.col("record_id").alias(spec.key), op.alias("op"), F.col("changed_at").alias("change_ts"), "seq", *((spec.tenant_field,) if spec.multi_tenant else ()),
         F.col("changed_by").alias("user_id"), *(audit_value(F.col(f)["new_value"], kinds[f]).alias(f) for f in spec.user_fields), sets.alias("set_fields"),
     )
 
 
+def versions_to_audit(table: DataFrame, spec: TableSpec) -> DataFrame:
+    """The audit trail that versions record: INSERT rows of a first version, UPDATE rows of changed fields, the row of a tombstone.
+
+    `seq` is the version. The rows are those of audit_rows: versions are read as the chain of states
+    that they are.
+    """
+    w = Window.partitionBy(spec.key).orderBy("version")
+    op = F.when(F.col("version") == 1, "create").when(F.col("deleted_at").isNotNull(), "delete").otherwise("update")
+    by = F.when(op == "create", F.col("created_by")).when(op == "delete", F.col("deleted_by")).otherwise(F.col("updated_by"))
+    chain = table.select(
+        spec.key, op.alias("op"), F.col("valid_from").alias("change_ts"), F.col("version").cast("long").alias("seq"), by.alias("user_id"), *((F.col(spec.tenant_field).alias("own_tenant"),) if spec.multi_tenant else ()),
+        *(quoted(f).alias(f"new_{f}") for f in spec.user_fields), *(F.lag(quoted(f)).over(w).alias(f"old_{f}") for f in spec.user_fields),
+    )
+    return audit_rows(chain, spec)
+
+
 def scd2_to_audited(table: DataFrame, spec: TableSpec) -> dict[str, DataFrame]:
-    """Current records and the archived rest; deltas of versions come from version_deltas."""
+    """Current records, the audit trail that their versions record, and the versions themselves for the archive."""
     drop = ("valid_from", "valid_to", "version")
-    return {"table": table.where("valid_to is null").drop(*drop), "archive": table.where("valid_to is not null")}
+    return {"table": table.where("valid_to is null").drop(*drop), "audit": versions_to_audit(table, spec), "archive": table.where("valid_to is not null")}
 
 
 def scd2_to_none(table: DataFrame, spec: TableSpec) -> DataFrame:
@@ -98,7 +125,7 @@ def schema_changes(current: T.StructType, desired: T.StructType, allow_destructi
 def evolve_table(df: DataFrame, desired: T.StructType, defaults: dict[str, Any] | None = None, allow_destructive: bool = False) -> DataFrame:
     """Bring data to the desired schema in one projection.
 
-    A new column gets its default or NULL; a column whose NULLs are no longer allowed needs a default;
+    A new column gets its default or NULL; one without NULLs, new or not, needs a default (ValueError);
     columns that aren't desired stay, unless allow_destructive.
     """
     defaults = defaults or {}
@@ -106,6 +133,8 @@ def evolve_table(df: DataFrame, desired: T.StructType, defaults: dict[str, Any]
     for kind, c in changes:
         if kind == "not_null" and c not in defaults:
             raise ValueError(f"{c} becomes NOT NULL without a default")
+        if kind == "add" and not desired[c].nullable and c not in defaults:
+            raise ValueError(f"{c} is added NOT NULL without a default")
     have = {f.name: f for f in df.schema}
     columns = []
     for f in desired:

@@ -54,9 +54,9 @@ def check_scd2_timeline(table: DataFrame, key: str = "id") -> DataFrame:
 def check_audit_consistency(table: DataFrame, audit: DataFrame, spec: TableSpec) -> DataFrame:
     """(record_id, field_name, problem): a last new value that isn't the record's, an old value that isn't the one before."""
     own = audit.where(F.col("field_name").isin(*spec.user_fields))
-    w = Window.partitionBy("record_id", "field_name").orderBy("changed_at", "audit_id")
+    w = Window.partitionBy("record_id", "field_name").orderBy("changed_at", "seq", "audit_id")
     broken = own.withColumns({"before": F.lag("new_value").over(w), "n": F.row_number().over(w)}).where("n > 1 and not (old_value <=> before)")
-    last = own.where("operation != 'DELETE'").groupBy("record_id", "field_name").agg(F.max_by(F.struct("new_value"), F.struct("changed_at", "audit_id")).alias("v"))
+    last = own.where("operation != 'DELETE'").groupBy("record_id", "field_name").agg(F.max_by(F.struct("new_value"), F.struct("changed_at", "seq", "audit_id")).alias("v"))
     kinds = dict(table.dtypes)
     stored = table.select(F.col(spec.key).alias("record_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), audit_json(quoted(f), kinds[f]).alias("stored")) for f in spec.user_fields))).alias("e")).select("record_id", "e.*")
     differs = last.join(stored, ["record_id", "field_name"]).where("not (v.new_value <=> stored)")

@@ -60,11 +60,11 @@ def transfer_ownership(table: DataFrame, requests: DataFrame, spec: TableSpec) -
     """Give records to other tenants: a new version each.
 
     requests: (id, new_tenant_id, change_ts, user_id), one an id. Rejected where the record is not found,
-    deleted or already of that tenant.
+    deleted or already of that tenant, and where the new tenant is null.
     """
     r = requests.select(F.col(spec.key), "new_tenant_id", F.col("change_ts").alias("at"), F.col("user_id").alias("by"))
     current = table.where("valid_to is null").join(r, spec.key, "right")
-    reason = F.when(F.col("version").isNull(), "not found").when(F.col("deleted_at").isNotNull(), "deleted").when(F.col(spec.tenant_field) == F.col("new_tenant_id"), "same tenant")
+    reason = F.when(F.col("version").isNull(), "not found").when(F.col("new_tenant_id").isNull(), "no tenant").when(F.col("deleted_at").isNotNull(), "deleted").when(F.col(spec.tenant_field) == F.col("new_tenant_id"), "same tenant")
     judged_ = current.withColumn("reason", reason)
     good = judged_.where("reason is null")
     fresh = good.withColumns({spec.tenant_field: F.col("new_tenant_id"), "valid_from": F.col("at"), "updated_at": F.col("at"), "version": F.col("version") + 1, "updated_by": F.coalesce("by", "updated_by")}).select(*table.columns)

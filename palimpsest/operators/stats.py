@@ -11,6 +11,9 @@ from ..spec import TableSpec
 from .filters import live, quoted
 
 SLOW_SECONDS = 1.0
+_QUANTILES = (0.5, 0.95, 0.99)
+#: Share of a group on each side of a quantile that the exact way looks at; sketches are four times as fine.
+_SLACK = 0.002
 
 
 def count_rows(df: DataFrame, spec: TableSpec, by: tuple[str, ...] = (), include_deleted: bool = False, all_versions: bool = False) -> DataFrame:
@@ -33,17 +36,32 @@ def query_stats(log: DataFrame, now: Any, window_minutes: int = 60, slow: float
 
 
 def timing_stats(log: DataFrame, key: str, value: str = "duration", approximate: bool = False) -> DataFrame:
-    """Count, mean, extremes and percentiles (linearly interpolated) by key.
+    """Count, mean, extremes and percentiles (linearly interpolated) by key; NULL values don't count.
 
-    Exact percentiles keep a count for each distinct value of a group; for many keys, or groups with very many
-    distinct values, approximate=True bounds the state.
+    Exact percentiles take two passes: sketches give bounds that surely hold each wanted rank, and
+    only the distinct values between them are counted and ranked, so no task sees a whole group.
+    approximate=True stops at the sketches.
     """
+    plain = log.groupBy(key).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.percentile_approx(value, [x for q in _QUANTILES for x in (max(q - _SLACK, 0.0), q, min(q + _SLACK, 1.0))], F.lit(int(4 / _SLACK))).alias("p"),
+    )
     if approximate:
-        parts = F.percentile_approx(value, [0.5, 0.95, 0.99], 10_000)
-    else:
-        parts = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = log.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), parts.alias("p"))
-    return out.select(key, "n", "mean", "min", "max", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
+        return plain.select(key, "n", "mean", "min", "max", *(F.col("p")[3 * k + 1].alias(name) for k, name in enumerate(("p50", "p95", "p99"))))
+    # In a small group a few ranks are more than the slack: all its values lie between the bounds.
+    bound = lambda at, end: F.when(F.col("n") * _SLACK < 4, F.col(end)).otherwise(F.col("p")[at])
+    wanted = F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(q) * (F.col("n") - 1)).alias("rank"), bound(3 * k, "min").alias("low"), bound(3 * k + 2, "max").alias("high")) for k, q in enumerate(_QUANTILES)))
+    ranges = plain.where("n > 0").select(F.col(key).alias("_key"), F.explode(wanted).alias("w")).select("_key", "w.*")
+    near = log.where(F.col(value).isNotNull()).join(ranges, F.col(key).eqNullSafe(F.col("_key"))).where(F.col(value) <= F.col("high"))
+    # Everything under the lower bound is one count; above it, one for each distinct value.
+    counted = near.groupBy("_key", "k", "rank", F.when(F.col(value) >= F.col("low"), F.col(value)).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("_key", "k").orderBy(F.asc_nulls_first("v")))
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    floor = at(F.floor("rank"))
+    value_at = floor + (F.first("rank") - F.floor(F.first("rank"))) * (at(F.ceil("rank")) - floor)
+    exact = counted.withColumn("upto", upto).groupBy("_key", "k").agg(value_at.alias("x")).groupBy("_key").pivot("k", list(range(len(_QUANTILES)))).agg(F.first("x"))
+    exact = exact.toDF("_key", "p50", "p95", "p99")
+    return plain.join(exact, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "n", "mean", "min", "max", "p50", "p95", "p99")
 
 
 def operation_counts(log: DataFrame, key: str) -> DataFrame:

@@ -36,4 +36,6 @@ def object_metadata(spark: SparkSession, root: str) -> DataFrame:
 def object_chunks(spark: SparkSession, root: str, chunk_size: int = 8192) -> DataFrame:
     """(key, chunk, bytes) in order of chunk; an empty object has none."""
     files = _files(spark, root).where(~F.col("key").endswith(SIDE_CAR) & (F.col("length") > 0))
-    return files.select("key", "content", F.posexplode(F.expr(f"sequence(1L, length, {chunk_size}L)")).alias("chunk", "at")).select("key", "chunk", F.substring("content", F.col("at").cast("int"), F.lit(chunk_size)).alias("bytes"))
+    # Chunks are cut before they become rows: no row carries the whole content.
+    cut = F.transform(F.expr(f"sequence(1L, length, {chunk_size}L)"), lambda at: F.substring("content", at.cast("int"), F.lit(chunk_size)))
+    return files.select("key", F.posexplode(cut).alias("chunk", "bytes"))

@@ -13,6 +13,7 @@ def read_table(spark: SparkSession, name: str, schema: T.StructType | None = Non
     """A table of the catalog, or a Parquet folder where the name is a path."""
     if "/" not in name:
         return spark.table(name)
+    recover_table(spark, name)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(name)
 
@@ -45,23 +46,44 @@ def bulk_write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The file system of a path, and the path in its terms."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Whether the table is there; where a write_table was interrupted between its renames, the newest whole folder takes its place first."""
+    fs, at = _folder(spark, path)
+    if fs.exists(at):
+        return True
+    new, old = (_folder(spark, f"{path}.{x}")[1] for x in ("new", "old"))
+    if not fs.exists(old):
+        return False  # never written: a lone new folder may be half of a first write
+    whole = fs.exists(_folder(spark, f"{path}.new/_SUCCESS")[1])
+    return bool(fs.rename(new if whole else old, at))
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a table: rows are written beside it, then the folders are swapped by renaming.
 
-    The old folder is still there while the new one is computed, so df may read it. With partition
-    columns only the partitions that df has are replaced.
+    The old folder is still there while the new one is computed, so df may read it. At every moment
+    the table, or the old folder and the whole new one, are there; recover_table, which every read
+    and write begins with, puts an interrupted one right. With partition columns only the
+    partitions that df has are replaced.
     """
     spark = df.sparkSession
     if partition_by:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
         return
-    jvm = spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    old, new, gone = fs_path(path), fs_path(f"{path}.new"), fs_path(f"{path}.old")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = recover_table(spark, path)
+    fs, table = _folder(spark, path)
+    new, gone = (_folder(spark, f"{path}.{x}")[1] for x in ("new", "old"))
     df.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(gone, True)
-    if fs.exists(old):
-        fs.rename(old, gone)
-    fs.rename(new, old)
+    if there:
+        fs.delete(gone, True)
+        if not fs.rename(table, gone):
+            raise OSError(f"{path} could not be set aside")
+    if not fs.rename(new, table):
+        raise OSError(f"{path}.new could not take the place of {path}")
     fs.delete(gone, True)

@@ -2,40 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.scd2 import apply_scd2
-from ..sources.tables import read_table, write_table
 from ..spec import TableSpec
 
 
+#: Parts of a streamed table; a batch rewrites only those that its records are in.
+BUCKETS = 64
+
+
+def _latest(spark: SparkSession, path: str, before: int | None, buckets: Sequence[int] | None) -> list[tuple[int, int]]:
+    """(bucket, batch) of each bucket's newest committed state, from the commits of batches before one."""
+    if not _folder_exists(spark, f"{path}/commits"):
+        return []
+    commits = spark.read.schema("bucket int, batch long").parquet(f"{path}/commits")
+    commits = commits if before is None else commits.where(F.col("batch") < before)
+    commits = commits if buckets is None else commits.where(F.col("bucket").isin(list(buckets)))
+    return [tuple(r) for r in commits.groupBy("bucket").agg(F.max("batch")).collect()]  # BUCKETS rows at most
+
+
+def read_versions(spark: SparkSession, path: str, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+    """The versions that a stream has written, as of its last committed batch (or the one before a batch); None before the first."""
+    latest = _latest(spark, path, before, buckets)
+    if not latest:
+        return None
+    newest = reduce(or_, ((F.col("bucket") == b) & (F.col("batch") == n) for b, n in latest))  # pruned to these folders
+    return spark.read.parquet(f"{path}/versions").where(newest).drop("bucket", "batch")
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """What was rejected, and why, by batch."""
+    return spark.read.parquet(f"{path}/seen").where("reason is not null").drop("bucket")
+
+
 def scd2_batch(path: str, spec: TableSpec) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: apply a batch to the versioned table at path.
 
-    A batch that is run again adds nothing: its rows are older than, or equal to, what the
-    table already holds, and are dropped before they are applied.
+    Every bucket that the batch touches gets a new state, made from its last one before this batch;
+    commits are written last. So a batch that is run again, even after a crash between its writes,
+    gives the same table. Rows whose (id, seq) an earlier batch has had are passed over, in
+    whichever batch they come again; all other rows are applied, or are rejects with a reason.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            write_table(apply_scd2(None, batch, spec)["table"], path)
-            return
-        base = read_table(spark, path)
-        seen = base.groupBy(spec.key).agg(F.max("updated_at").alias("_seen"))
-        fresh = batch.join(seen, spec.key, "left").where(F.col("_seen").isNull() | (F.col("change_ts") > F.col("_seen"))).drop("_seen")
-        write_table(apply_scd2(base, fresh, spec)["table"], path)
+        bucket = F.pmod(F.xxhash64(F.col(spec.key)), F.lit(BUCKETS)).cast("int")
+        batch = batch.withColumn("bucket", bucket).persist()
+        touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())
+        fresh = batch
+        if any(_latest(spark, path, number, touched)):
+            seen = spark.read.parquet(f"{path}/seen").where(F.col("bucket").isin(touched) & (F.col("batch") < number))
+            fresh = batch.join(seen.select(spec.key, "seq"), [spec.key, "seq"], "left_anti")
+        out = apply_scd2(read_versions(spark, path, number, touched), fresh.drop("bucket"), spec)
+        write = lambda df, name: df.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/{name}")
+        write(out["table"].withColumn("bucket", bucket).repartition("bucket"), "versions")
+        judged_as = out["rejects"].groupBy(spec.key, "seq").agg(F.min("reason").alias("reason"))
+        own = fresh.select(F.col(spec.key).alias("k"), F.col("seq").alias("s"), "op", "change_ts", "bucket")
+        noted = own.join(judged_as, F.col("k").eqNullSafe(F.col(spec.key)) & F.col("s").eqNullSafe(F.col("seq")), "left")
+        write(noted.select(F.col("k").alias(spec.key), F.col("s").alias("seq"), "op", "change_ts", "reason", "bucket").repartition("bucket"), "seen")
+        spark.createDataFrame([(b, number) for b in touched], "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/of={number}")
+        batch.unpersist()
 
     return apply
 
 
+def _folder_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stream_scd2(feed: DataFrame, path: str, checkpoint: str, spec: TableSpec, **trigger: Any):
     return feed.writeStream.foreachBatch(scd2_batch(path, spec)).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
@@ -43,28 +88,41 @@ def stream_scd2(feed: DataFrame, path: str, checkpoint: str, spec: TableSpec, **
 def stream_audit(feed: DataFrame, spec: TableSpec) -> DataFrame:
     """Field-level changes of an update stream (id, change_ts, <user fields as text>), with the last state of each id kept.
 
-    A row that is not newer than its id's last one is given back with the operation LATE. The state
-    of an id is its user fields and last time only.
+    A row that is not newer than its id's last one is given back with the operation LATE; rows are put
+    in order within an Arrow batch. The state of an id is its user fields and last time only, and
+    no more of an id's rows than one Arrow batch is held.
     """
     fields = list(spec.user_fields)
 
     def diff(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values("change_ts", kind="stable")
-        for row in rows.itertuples(index=False):
-            values = [None if pd.isna(v) else v for v in (getattr(row, f) for f in fields)]
-            if last is not None and row.change_ts.value <= last[0]:
-                out.append((key[0], row.change_ts, None, None, None, "LATE"))
-                continue
-            for i, f in enumerate(fields):
-                old = None if last is None else last[1 + i]
-                if last is None or old != values[i]:
-                    out.append((key[0], row.change_ts, f, old, values[i], "INSERT" if last is None else "UPDATE"))
-            last = (row.change_ts.value, *values)
+        for rows in frames:  # Arrow batches, of bounded size
+            rows = rows.sort_values("change_ts", kind="stable", ignore_index=True)
+            instant = rows["change_ts"].astype("int64")
+            floor = instant.cummax().shift(fill_value=np.iinfo("int64").min)
+            if last is not None:
+                floor = floor.clip(lower=last[0])
+            late = (instant <= floor) & ((last is not None) | (rows.index != rows.index[0]))
+            out = [pd.DataFrame({"changed_at": rows["change_ts"][late], "field_name": None, "old_value": None, "new_value": None, "operation": "LATE"})]
+            good = rows[~late]
+            for k, f in enumerate(fields):
+                new = good[f].astype(object).where(good[f].notna(), None)
+                old = new.shift()
+                if len(good):
+                    old.iloc[0] = None if last is None else last[1 + k]
+                differs = ~((new == old) | (new.isna() & old.isna()))
+                operation = pd.Series("UPDATE", good.index)
+                if last is None and len(good):
+                    differs.iloc[0], operation.iloc[0] = True, "INSERT"
+                out.append(pd.DataFrame({"changed_at": good["change_ts"], "field_name": f, "old_value": old, "new_value": new, "operation": operation})[differs])
+            if len(good):
+                tail = good.iloc[-1]
+                last = (tail["change_ts"].value, *(None if pd.isna(tail[f]) else tail[f] for f in fields))
+            found = pd.concat(out)
+            found.insert(0, "record_id", key[0])
+            yield found.astype(object).where(found.notna(), None)
         if last is not None:
             state.update(last)
-        yield pd.DataFrame(out, columns=["record_id", "changed_at", "field_name", "old_value", "new_value", "operation"])
 
     kind = dict(feed.dtypes)[spec.key]
     return feed.select(spec.key, F.col("change_ts").cast("timestamp").alias("change_ts"), *(F.col(f).cast("string").alias(f) for f in fields)).groupBy(spec.key).applyInPandasWithState(

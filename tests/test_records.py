@@ -274,3 +274,53 @@ def test_upsert(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, n int")
     s = spark.createDataFrame([(2, "c", 9), (3, "d", 8), (3, "e", 7)], "k int, v string, n int")
     assert rows(U.upsert(t, s, ["k"], ["v"], [F.desc("n")]), "k", "v", "n") == [(1, "a", 1), (2, "c", 2), (3, "d", 8)]
+
+
+def _ties(spark, spec, values=("a", "b", "c")):
+    """Twenty records that are created, then changed twice at one instant."""
+    from palimpsest.operators.audit import apply_audited
+
+    rows = [(str(k), op, at(t), seq, "t", "u", v) for k in range(20) for op, t, seq, v in (("create", 0, 0, values[0]), ("update", 5, 1, values[1]), ("update", 5, 2, values[2]))]
+    return apply_audited(None, spark.createDataFrame(rows, "id string, op string, change_ts timestamp_ntz, seq long, tenant_id string, user_id string, name string"), spec)
+
+
+def test_changes_of_one_instant_keep_their_order(spark):
+    from palimpsest.operators.audit import reconstruct_at
+    from palimpsest.operators.lifecycle import audit_to_feed
+    from palimpsest.operators.quality import check_audit_consistency
+    from palimpsest.operators.scd2 import apply_scd2
+    from palimpsest.spec import AUDITED, SCD2, TableSpec
+
+    spec = TableSpec("t", ("name",), AUDITED)
+    out = _ties(spark, spec)
+    assert {r["name"] for r in reconstruct_at(out["table"], out["audit"], at(3), spec).collect()} == {"a"}
+    again = apply_scd2(None, audit_to_feed(out["audit"], spec, {"name": "string"}), TableSpec("t", ("name",), SCD2))["table"]
+    assert {r["name"] for r in again.where("valid_to is null").collect()} == {"c"}
+    assert check_audit_consistency(out["table"], out["audit"], spec).count() == 0
+
+
+def test_restore_is_rejected_where_versions_are_kept(spark):
+    from palimpsest.operators.quality import check_scd2_timeline
+    from palimpsest.spec import AUDITED, NONE, SCD2, TableSpec, get_strategy
+
+    rows = [("a", op, at(k), k, "t", "u", v) for k, (op, v) in enumerate((("create", "x"), ("delete", None), ("restore", None), ("update", "y"), ("merge", "z")))]
+    feed = spark.createDataFrame(rows, "id string, op string, change_ts timestamp_ntz, seq long, tenant_id string, user_id string, name string")
+    for strategy in (SCD2, AUDITED, NONE):
+        out = get_strategy(strategy)(None, feed, TableSpec("t", ("name",), strategy))
+        reasons = [r["reason"] for r in out["rejects"].orderBy("seq").collect()]
+        assert reasons == (["unknown op"] if strategy == NONE else ["no restore", "deleted", "unknown op"])
+        if strategy == SCD2:
+            assert check_scd2_timeline(out["table"]).count() == 0 and out["table"].count() == 2
+
+
+def test_new_not_null_column_needs_a_default(spark):
+    import pytest
+    from pyspark.sql import types as T
+
+    from palimpsest.operators.lifecycle import evolve_table
+
+    wanted = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType(), False)])
+    df = spark.range(3).toDF("a")
+    with pytest.raises(ValueError, match="b is added NOT NULL"):
+        evolve_table(df, wanted)
+    assert {r["b"] for r in evolve_table(df, wanted, {"b": "x"}).collect()} == {"x"}

@@ -63,3 +63,23 @@ def test_pool_statistics(spark):
     df = spark.createDataFrame(rows, "pool int, pool_size int, active_connections int, waiting_requests int, timestamp string")
     got = {r["pool"]: (r["latest_utilisation"], r["avg_utilisation"], r["exhaustions"]) for r in G.pool_stats(df).collect()}
     assert got == {1: (50.0, 75.0, 1), 2: (0.0, 0.0, 1)}
+
+
+def test_interrupted_write_keeps_a_whole_table(spark, tmp_path):
+    import shutil
+
+    from palimpsest.sources.tables import read_table, recover_table, write_table
+
+    path = str(tmp_path / "t")
+    assert not recover_table(spark, path)
+    write_table(spark.range(3), path)
+    # Between the renames: the old rows are set aside, the new ones whole.
+    spark.range(5).write.parquet(f"{path}.new")
+    shutil.move(path, f"{path}.old")
+    assert read_table(spark, path).count() == 5
+    # The same with a new folder that isn't whole.
+    shutil.rmtree(f"{path}.old")
+    shutil.move(path, f"{path}.old")
+    (tmp_path / "t.new").mkdir()
+    write_table(spark.range(7), path)
+    assert read_table(spark, path).count() == 7 and not (tmp_path / "t.old").exists()

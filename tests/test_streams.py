@@ -3,7 +3,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from palimpsest.operators.scd2 import apply_scd2
-from palimpsest.sources.tables import read_table
 from palimpsest.spec import SCD2, TableSpec
 from palimpsest.streaming import feeds as R
 
@@ -26,11 +25,11 @@ def test_stream_scd2_equals_a_batch_and_replay_adds_nothing(spark, tmp_path):
         written(spark, source, part, FEED)
         stream = spark.readStream.schema(FEED).parquet(source)
         R.stream_scd2(stream, table, str(tmp_path / "state"), SPEC).awaitTermination(120)
-        assert read_table(spark, table).count() == (2, 4)[k]
+        assert R.read_versions(spark, table).count() == (2, 4)[k]
     feed = spark.read.schema(FEED).parquet(source)
     R.scd2_batch(table, SPEC)(feed, 7)
     whole = apply_scd2(None, feed, SPEC)["table"]
-    assert sorted(map(str, read_table(spark, table).select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert sorted(map(str, R.read_versions(spark, table).select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
 
 
 def test_stream_audit_keeps_the_last_state(spark, tmp_path):
@@ -52,3 +51,20 @@ def test_stream_query_stats_drop_late_rows(spark, tmp_path):
         out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(120)
     first = spark.read.parquet(str(tmp_path / "out")).where(F.col("window_start") == F.lit(at(0))).collect()
     assert [(r["total"], r["succeeded"], r["slow"], r["max_duration"]) for r in first] == [(2, 1, 1, 2.0)]
+
+
+def test_replayed_batches_and_rejects(spark, tmp_path):
+    table = str(tmp_path / "table")
+    apply = R.scd2_batch(table, SPEC)
+    first = spark.createDataFrame([("a", "create", at(0), 0, "t", "u", "x", "1"), ("a", "update", at(5), 1, "t", "u", "y", "1"), ("b", "update", at(1), 2, "t", "u", "n", "1")], FEED)
+    # The same instant as the last version's, and a late row.
+    second = spark.createDataFrame([("a", "update", at(5), 3, "t", "u", "z", "1"), ("a", "update", at(2), 4, "t", "u", "w", "1")], FEED)
+    apply(first, 0)
+    apply(second, 1)
+    rows = lambda: sorted((r["id"], r["version"], r["name"]) for r in R.read_versions(spark, table).collect())
+    wanted = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z")]
+    assert rows() == wanted
+    apply(second, 1)  # the same batch again
+    apply(first.unionByName(second), 2)  # the same rows in a later batch
+    assert rows() == wanted
+    assert sorted((r["id"], r["seq"], r["reason"]) for r in R.read_rejects(spark, table).collect()) == [("a", 4, "late"), ("b", 2, "not found")]
