@@ -5,9 +5,9 @@ left of it (cut to pieces of at most PIECE_TOKENS) goes into the windows of its
 block. Differencing starts with one partial partition per piece and keeps merging
 the two with the largest imbalance, the fullest slot of one onto the emptiest of
 the other, until one partition is left. If a window exceeds the capacity the
-window count rises and the block is differenced again, as long as that costs no
-more than MOST_PADDING; what then still exceeds is cut off and fills the gaps of
-other windows. The tokens beyond whole windows form sequences of power-of-two
+window count rises and the block is differenced again, until all fit. So that the
+first count can fit, its windows are to hold SLACK_TOKENS less than their capacity
+each; the block's other tokens form whole sequences and ones of power-of-two
 lengths, which need no padding.
 
 A block is about BLOCK_DOCS neighbouring documents of one Spark partition, so
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from .textblocks import blocks, ids_and_texts
 
 SEQUENCE_TOKENS = 4096
-PIECE_TOKENS = 1024
+PIECE_TOKENS = 512
 BLOCK_DOCS = 1024
-MOST_PADDING = 0.01
+SLACK_TOKENS = 16
 END_ID = 2
 #: Words whose ids a worker remembers; at the bound it starts anew.
 WORDS_KEPT = 1_000_000
@@ -88,8 +88,13 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
 Piece = tuple[int, int, int]  # document in the block, start, length
 
 
-def pack_block(lengths: list[int], capacity: int = SEQUENCE_TOKENS, piece: int = PIECE_TOKENS, padding: float = MOST_PADDING) -> list[list[Piece]]:
-    """Sequences of pieces that together hold each token of the block's documents once."""
+def pack_block(lengths: list[int], capacity: int = SEQUENCE_TOKENS, piece: int = PIECE_TOKENS, slack: int = SLACK_TOKENS) -> list[list[Piece]]:
+    """Sequences of pieces that together hold each token of the block's documents once.
+
+    Windows get `slack` tokens less than they hold, so that the first number of windows can fit; as
+    long as differencing puts more than the capacity into one, there is one window more. The
+    tokens left over are cut into whole sequences and ones of power-of-two lengths.
+    """
     sequences: list[list[Piece]] = []
     items: list[Piece] = []
     for doc, length in enumerate(lengths):
@@ -97,7 +102,8 @@ def pack_block(lengths: list[int], capacity: int = SEQUENCE_TOKENS, piece: int =
         sequences.extend([(doc, at, capacity)] for at in range(0, whole, capacity))
         items.extend((doc, at, min(piece, length - at)) for at in range(whole, length, piece))
     total = sum(x[2] for x in items)
-    windows, tail = divmod(total, capacity)
+    windows = total // capacity
+    tail = total - windows * (capacity - slack)
     ends: list[Piece] = []
     while tail:  # cut from the last pieces
         doc, at, length = items.pop()
@@ -106,45 +112,25 @@ def pack_block(lengths: list[int], capacity: int = SEQUENCE_TOKENS, piece: int =
         if take < length:
             items.append((doc, at, length - take))
         tail -= take
-    sequences.extend(_powers_of_two(ends))
+    sequences.extend(_exactly_filled(ends, capacity))
     if not windows:
         return sequences
     sizes = [x[2] for x in items]
-    most = max(windows, int(windows * (1 + padding)))
-    for count in range(windows, most + 1):
+    count = windows
+    while True:
         groups = differencing(sizes, count)
         if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
             break
-    filled = [[items[i] for i in g] for g in groups]
-    excess: list[Piece] = []
-    for window in filled:
-        over = sum(x[2] for x in window) - capacity
-        while over > 0:
-            doc, at, length = window.pop()
-            take = min(length, over)
-            excess.append((doc, at + length - take, take))
-            if take < length:
-                window.append((doc, at, length - take))
-            over -= take
-    for window in filled:
-        room = capacity - sum(x[2] for x in window)
-        while room > 0 and excess:
-            doc, at, length = excess.pop()
-            take = min(length, room)
-            window.append((doc, at, take))
-            if take < length:
-                excess.append((doc, at + take, length - take))
-            room -= take
-    sequences.extend(w for w in filled if w)
+        count += 1
+    sequences.extend([items[i] for i in g] for g in groups if g)
     return sequences
 
 
-def _powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
-    total = sum(x[2] for x in pieces)
-    for bit in reversed(range(total.bit_length())):
-        if not total >> bit & 1:
-            continue
-        room, out = 1 << bit, []
+def _exactly_filled(pieces: list[Piece], capacity: int) -> Iterator[list[Piece]]:
+    """Sequences without padding: of the capacity, and of the powers of two that the rest is the sum of."""
+    whole, rest = divmod(sum(x[2] for x in pieces), capacity)
+    for room in [capacity] * whole + [1 << bit for bit in reversed(range(rest.bit_length())) if rest >> bit & 1]:
+        out = []
         while room:
             doc, at, length = pieces.pop()
             take = min(length, room)
