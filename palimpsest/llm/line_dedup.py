@@ -28,6 +28,9 @@ BITS_A_KEY = 16
 MOST_BITS = 1 << 29
 HASHES = 3
 REGION = 1 << 16
+REGIONS_A_BATCH = 256
+#: Keys with at least one of so many suspect rows are joined by broadcast: no more than this many can have that.
+HOT_KEYS = 4096
 
 
 def line_keys(text: bytes, least_chars: int = LEAST_CHARS) -> list[bytes | None]:
@@ -69,16 +72,15 @@ def _note(size: int, least_chars: int):
             again = (count > 1) | get(once, bits).all(axis=1)
             put(twice, bits[again].ravel())
             put(once, bits.ravel())
-        kept = []
-        for filter_ in (once, twice):
-            bits = np.flatnonzero(np.unpackbits(filter_, bitorder="little"))
-            cuts = np.searchsorted(bits, np.arange(0, size + 1, REGION))
-            low = (bits % REGION).astype(np.uint16)
-            kept.append([low[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])])
-        regions = [i for i, x in enumerate(kept[0]) if x]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(regions, pa.int32()), *(pa.array([x[i] for i in regions], pa.binary()) for x in kept)], ["region", "once", "twice"]
-        )
+        # Region by region: all set bits together may take many times the filters' memory.
+        for low in range(0, size // REGION, REGIONS_A_BATCH):
+            rows = []
+            for region in range(low, min(low + REGIONS_A_BATCH, size // REGION)):
+                part = slice(region * (REGION // 8), (region + 1) * (REGION // 8))
+                if once[part].any():
+                    rows.append((region, *(np.flatnonzero(np.unpackbits(f[part], bitorder="little")).astype(np.uint16).tobytes() for f in (once, twice))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["region", "once", "twice"])
 
     return note
 
@@ -171,8 +173,15 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_d
         bits[row["region"] * (REGION // 8) : (row["region"] + 1) * (REGION // 8)] = row["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
     suspects = kept_on_disk(placed.mapInArrow(_suspects(shared, size, least_chars), "doc_id long, key binary"))
-    frequent = suspects.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("owner")).where(F.col("n") >= least_docs)
-    gone = suspects.join(frequent, "key").where("doc_id < owner").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+    counted = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("owner"))
+    frequent = kept_on_disk(counted.where(F.col("n") >= least_docs))
+    hot = F.col("rows") * HOT_KEYS >= suspects.count()
+    own = lambda keys: keys.select("key", "owner")
+    # A hot key's rows stay where they are; the others' meet by key.
+    hot_keys = F.broadcast(own(frequent.where(hot)))
+    at_once = suspects.join(hot_keys, "key").where("doc_id < owner")
+    others = suspects.join(hot_keys, "key", "left_anti").join(own(frequent.where(~hot)), "key").where("doc_id < owner")
+    gone = at_once.unionByName(others).groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
     names = ["doc_id", *keep]
     kinds = dict(docs.dtypes) | {"doc_id": "long"}

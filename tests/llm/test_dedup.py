@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,30 @@ def test_near_dedup_keeps_every_row(docs, rows, empty):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["component"] for r in components(edges).collect()} == {0}
+
+
+def test_line_filter_notes_region_by_region(monkeypatch):
+    from palimpsest.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "REGIONS_A_BATCH", 3)
+    lines = ["a line of more than twenty characters %d" % (k % 40) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(lines)], ["doc_id", "text"])
+    size = 16 * line_dedup.REGION
+    noted = [r for b in line_dedup._note(size, 20)(iter([batch])) for r in b.to_pylist()]
+    hashes = line_dedup._hashes([x.encode() for x in lines], 20)
+    bits = {int(b) for b in line_dedup._bits(hashes, size).ravel()}
+    assert {r["region"] * line_dedup.REGION + int(b) for r in noted for b in np.frombuffer(r["once"], np.uint16)} == bits
+    twice = {int(b) for h in set(hashes[:20].tolist()) for b in line_dedup._bits(np.array([h], np.uint64), size).ravel()}
+    assert {r["region"] * line_dedup.REGION + int(b) for r in noted for b in np.frombuffer(r["twice"], np.uint16)} >= twice
+
+
+def test_hot_lines_join_as_the_others(spark, monkeypatch):
+    from palimpsest.llm import line_dedup
+
+    hot, rare = "this line is in all of the documents here", "this line is in a few of the documents here"
+    rows = [(k, "\n".join([hot, f"own line number {k} of this document"] + [rare] * (k % 7 == 0))) for k in range(70)]
+    out = {}
+    for keys in (1, 10**9):  # none is hot, all are
+        monkeypatch.setattr(line_dedup, "HOT_KEYS", keys)
+        out[keys] = sorted(tuple(r) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out[1] == out[10**9] and sum(r[2] for r in out[1]) == 69 + 9
