@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 PREFIX_DIGITS = 8
 #: Rules up to this number may be broadcast; more are joined by shuffle.
 BROADCAST_RULES = 100_000
+#: Tasks that the rows of one page are dealt to.
+SALTS = 16
+
+
+def _ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def url_host(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; else empty."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _ascii_lower(rest)
 
 
 def url_path(url: Column) -> Column:
@@ -39,7 +45,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
     a host. Other columns of pages are ignored. Equal page_ids are judged row by row.
     """
     rules = rules.select(
-        F.lower("host").alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")
+        _ascii_lower(F.coalesce("host", F.lit(""))).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")
     ).where("rule_host != ''")
     shape = rules.agg(F.collect_set(F.size(F.split("rule_host", r"\."))).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths"), F.count(F.lit(1)).alias("n")).first()
     labels, lengths = sorted(shape["labels"]), sorted(shape["lengths"])
@@ -68,6 +74,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
         .where("digest_of = digest")
     )
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("known_rule").alias("length"), "host_length", "known_verdict", "known_rule")).alias("best"))
-    return judged.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("best.known_rule").alias("rule"), F.coalesce("best.known_verdict", F.lit(otherwise)).alias("verdict")
-    )
+    # Rows without a host fit no rule and meet nobody; a page that very many rows have is dealt to SALTS tasks.
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = judged.where("host != ''").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    found = salted.join(best, ["host", "path", "salt"], "left").select("page_id", "host", "path", "best")
+    bare = judged.where("host = ''").withColumn("best", F.lit(None).cast(found.schema["best"].dataType))
+    return found.unionByName(bare).select("page_id", "host", "path", F.col("best.known_rule").alias("rule"), F.coalesce("best.known_verdict", F.lit(otherwise)).alias("verdict"))
