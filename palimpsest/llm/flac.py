@@ -28,6 +28,8 @@ PAYLOAD_UNIT = 64
 #: Rice parameters that the encoder chooses from; with these a code has at most 36 bits.
 RICE = range(4, 9)
 BLOCK_BYTES = 4 << 20
+#: Frames that are encoded together, at most.
+PIECE_FRAMES = 1024
 
 
 def _crc_table(polynomial: int, bits: int) -> np.ndarray:
@@ -87,7 +89,33 @@ def _coded_number(n: int) -> bytes:
 
 
 def encode(payload: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """A FLAC stream of each payload[bounds[i]:bounds[i + 1]], bytes as unsigned 8-bit samples; none is empty."""
+    """A FLAC stream of each payload[bounds[i]:bounds[i + 1]], bytes as unsigned 8-bit samples; none is empty.
+
+    Frames are independent: a long payload goes through in pieces of PIECE_FRAMES frames.
+    """
+    out: list[list[bytes]] = []
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        size = high - low
+        most = min(FRAME_SAMPLES, size).to_bytes(2, "big")
+        fields = SAMPLE_RATE << 44 | 7 << 36 | size
+        out.append([b"fLaC\x80\0\0\x22", most, most, bytes(6), fields.to_bytes(8, "big"), hashlib.md5((payload[low:high] ^ 0x80).tobytes()).digest()])
+    step = PIECE_FRAMES * FRAME_SAMPLES
+    i = 0
+    while i < len(out):
+        # As many whole payloads as a piece may have, or the pieces of one that has more.
+        j = max(int(np.searchsorted(bounds, bounds[i] + step, side="right")) - 1, i + 1)
+        if j > i + 1 or bounds[j] - bounds[i] <= step:
+            _add_frames(out[i:j], payload[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], 0)
+        else:
+            for low in range(int(bounds[i]), int(bounds[j]), step):
+                part = payload[low : min(low + step, int(bounds[j]))]
+                _add_frames(out[i:j], part, np.array([0, len(part)]), (low - int(bounds[i])) // FRAME_SAMPLES)
+        i = j
+    return [b"".join(x) for x in out]
+
+
+def _add_frames(out: list[list[bytes]], payload: np.ndarray, bounds: np.ndarray, first_number: int) -> None:
+    """Frames of each payload[bounds[i]:bounds[i + 1]], to the end of out[i]."""
     samples = payload.astype(np.int32) - 128
     sizes = np.diff(bounds)
     frames = -(-sizes // FRAME_SAMPLES)
@@ -133,22 +161,14 @@ def encode(payload: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     pieces: list[bytes] = []
     lengths = np.zeros(len(stream), np.int64)
     data = packed.tobytes()
-    for i, (n, size, a, b) in enumerate(zip(number.tolist(), count.tolist(), (ends - body).tolist(), ends.tolist(), strict=True)):
+    for i, (n, size, a, b) in enumerate(zip((number + first_number).tolist(), count.tolist(), (ends - body).tolist(), ends.tolist(), strict=True)):
         header = b"\xff\xf8\x70\x02" + _coded_number(n) + (size - 1).to_bytes(2, "big")
         pieces.append(header + bytes([crc8(header)]) + data[a:b])
         lengths[i] = len(pieces[-1])
     stops = np.cumsum(lengths)
     check = crc16(np.frombuffer(b"".join(pieces), np.uint8), stops - lengths, stops).tolist()
-    out: list[list[bytes]] = []
-    signed = (payload ^ 0x80).tobytes()
-    at = bounds.tolist()
-    for i, size in enumerate(sizes.tolist()):
-        most = min(FRAME_SAMPLES, size).to_bytes(2, "big")
-        fields = SAMPLE_RATE << 44 | 7 << 36 | size
-        out.append([b"fLaC\x80\0\0\x22", most, most, bytes(6), fields.to_bytes(8, "big"), hashlib.md5(signed[at[i] : at[i + 1]]).digest()])
     for i, piece, crc in zip(stream.tolist(), pieces, check, strict=True):
         out[i] += [piece, crc.to_bytes(2, "big")]
-    return [b"".join(x) for x in out]
 
 
 def _packed(place: np.ndarray, bits: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
@@ -251,7 +271,11 @@ def decode(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
             frames.append(_Frame(i, at, nxt, (number if raw[at + 1] & 1 else number * most), samples, body))
     if frames:
         frames = _checked(data, frames)
-    offsets = np.concatenate(([0], np.cumsum(totals))).astype(np.int64)
+    # A header may claim any number of samples: only those of the frames found are believed.
+    held = np.bincount([f.stream for f in frames], [f.samples for f in frames], len(totals)).astype(np.int64)
+    if any(total and total != n for total, n in zip(totals, held.tolist(), strict=True)):
+        raise MediaError("the frames don't have the stream's number of samples")
+    offsets = np.concatenate(([0], np.cumsum(held)))
     out = np.zeros(offsets[-1], np.int32)
     _fill(data, raw, frames, depths, offsets, out)
     for i, digest in enumerate(sums):
@@ -440,7 +464,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                     if stream is None:
                         raise MediaError("null")
                     samples, _, frames = decode(np.frombuffer(stream, np.uint8), np.array([0, len(stream)]))
-                except (MediaError, IndexError) as error:
+                except (ValueError, IndexError, OverflowError) as error:
                     rows.append((doc_id, None, None, None, None, str(error) or "cut short"))
                     continue
                 depth = (int.from_bytes(stream[18:26], "big") >> 36 & 31) + 1
