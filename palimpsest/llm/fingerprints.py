@@ -1,14 +1,17 @@
 """Document fingerprints by closed syncmers, with built-in functions only.
 
-A text's tokens are its runs of non-blank characters (long runs in pieces of
-TOKEN_CHARS). K consecutive tokens are a k-mer, S of them an s-mer; a k-mer is a
+A text's tokens are its runs of non-blank characters, cut after every character that is
+no ASCII consonant or mark (TOKEN): about syllables, single characters in scripts without
+blanks. Where a cut falls depends on that character alone, so an inserted one changes the
+tokens it touches. K consecutive tokens are a k-mer, S of them an s-mer; a k-mer is a
 closed syncmer if its least s-mer, by hash, lies at its first or last place. That
 depends on the k-mer alone, so an edit changes no anchor but those over it, and
-equal stretches of two texts have equal anchors at a constant shift. The
+equal stretches of two texts have equal anchors at a constant shift. A text whose k-mers
+are no syncmers has the k-mer with the least s-mer, a text under K tokens all its s-mers. The
 fingerprint is the sequence of anchors in text order; likeness is the share of
 distinct anchors that two texts have in common.
 
-The window minimum over the K - S + 1 s-mers of a k-mer takes three passes by
+The window minimum over the K - S + 1 s-mers of a k-mer takes two passes by
 doubling, on arrays within a row: there is no shuffle below the query's own.
 """
 
@@ -19,9 +22,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN_CHARS = 24
-#: Tokens of an s-mer and of a k-mer; the window of K - S + 1 = 8 s-mers is what the doubling below covers.
-S, K = 2, 9
+_MARKS = r"!-/:-@B-DF-HJ-NP-TV-Z\[-`b-df-hj-np-tv-z{-~"
+TOKEN = rf"[{_MARKS}]*+[^\s{_MARKS}]|[{_MARKS}]++"
+#: Tokens of an s-mer and of a k-mer; the window of K - S + 1 = 4 s-mers is what the doubling below covers.
+S, K = 2, 5
 _WINDOW = K - S + 1
 
 
@@ -47,14 +51,15 @@ def _lesser(a: Column, b: Column) -> Column:
 def _anchors_of(tokens: Column) -> Column:
     def of_smers(smers: Column) -> Column:
         two = _paired(smers, 1, _lesser)
-        least = _let(two, lambda t: _let(_paired(t, 2, _lesser), lambda f: _paired(f, 4, _lesser)))
+        least = _let(two, lambda t: _paired(t, 2, _lesser))
 
         def of_least(low: Column) -> Column:
             places = F.filter(F.sequence(F.lit(1), F.size(low)), lambda i: (F.get(low, i - 1) == F.get(smers, i - 1)) | (F.get(low, i - 1) == F.get(smers, i + (_WINDOW - 2))))
-            anchor = lambda i: F.hash(*(F.get(smers, i + (j - 1)) for j in (0, 2, 4, 6, 7)))  # noqa: E731  s-mers that cover all K tokens
-            return F.transform(places, anchor)
+            anchor = lambda i: F.hash(*(F.get(smers, i + (j - 1)) for j in (0, 2, 3)))  # noqa: E731  s-mers that cover all K tokens
+            first_least = F.array(F.array_position(low, F.array_min(low)).cast("int"))
+            return F.transform(_let(places, lambda p: F.when(F.size(p) > 0, p).otherwise(first_least)), anchor)
 
-        return F.when(F.size(smers) >= _WINDOW, _let(least, of_least)).when(F.size(tokens) > 0, F.array(F.hash(tokens))).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(smers) >= _WINDOW, _let(least, of_least)).when(F.size(smers) > 0, smers).when(F.size(tokens) > 0, F.array(F.hash(tokens))).otherwise(F.array().cast("array<int>"))
 
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
     return _let(_let(hashes, lambda h: _paired(h, S - 1, lambda a, b: F.hash(a, b))), of_smers)
@@ -63,9 +68,9 @@ def _anchors_of(tokens: Column) -> Column:
 def anchors(text: Column) -> Column:
     """The closed syncmers of a text as an array of int, in text order.
 
-    Under K tokens: one anchor for the whole token sequence; without tokens: none.
+    Under K tokens: the s-mers, or the one token there is; without tokens: none.
     """
-    return _let(F.regexp_extract_all(text, F.lit(rf"[^\s]{{1,{TOKEN_CHARS}}}"), F.lit(0)), _anchors_of)
+    return _let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), _anchors_of)
 
 
 def fingerprint(found: Column) -> Column:
@@ -73,25 +78,27 @@ def fingerprint(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda a: F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.shiftleft(a.cast("long"), 32), 32))), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of the distinct anchors of both that both have; 1 where neither has any."""
+def likeness(a: Column, b: Column, equal: Column) -> Column:
+    """Share of the distinct anchors of both that both have; where neither has any, 1 for equal texts and 0 for others."""
     both = F.size(F.array_intersect(a, b))
     all_ = F.size(F.array_union(a, b))
-    return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
+    return F.when(all_ == 0, equal.cast("double")).otherwise(both / all_)
 
 
-def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id") -> DataFrame:
-    """docs with the struct `next_row` of the row with the next larger id, after the last one that of the first.
+def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", derived: dict[str, Column] | None = None) -> DataFrame:
+    """docs with the columns of `derived`, which are made after the shuffle, and the struct `next_row` of the row with the next larger id, after the last one that of the first.
 
     Rows are dealt into ranges of the id whose lower bounds are ids of the table; the first row of
     each range is also given to the range before it (of the first range, to the last), so each
     range finds all its successors. Equal ids follow each other in the order of `columns`.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # More ranges than tasks: ranges are dealt by a hash.
+    partitions = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = docs.where(F.col(id_column).isNotNull()).agg(F.percentile_approx(id_column, [i / partitions for i in range(partitions)], F.lit(10 * partitions))).first()[0]
     bounds = sorted(set(bounds or []))
     if not bounds:
-        return docs.withColumn("next_row", F.struct(*columns)).where(F.lit(False))
+        derived = derived or {}
+        return docs.withColumns(derived).withColumn("next_row", F.struct(*columns, *derived)).where(F.lit(False))
     low = F.array(*map(F.lit, bounds))
     at = F.when(F.col(id_column) >= bounds[0], F.size(F.filter(low, lambda b: b <= F.col(id_column))) - 1).otherwise(0)
     order = [id_column, *columns]
@@ -100,8 +107,10 @@ def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id") ->
     heads = F.filter(F.sequence(F.lit(0), F.lit(len(bounds) - 1)), lambda i: F.get(low, i) == F.col(id_column))
     copies = F.transform(heads, lambda i: F.struct(F.when(i == 0, len(bounds) - 1).otherwise(i - 1).alias("range"), F.lit(1).alias("copy")))
     dealt = ranged.withColumn("to", F.explode(F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("copy"))), copies))).drop("range").select(*docs.columns, "to.*")
+    derived = derived or {}
+    dealt = dealt.repartition(F.col("range")).withColumns(derived)
     window = Window.partitionBy("range").orderBy("copy", *order)
-    return dealt.withColumn("next_row", F.lead(F.struct(*columns)).over(window)).where("copy = 0").drop("range", "copy")
+    return dealt.withColumn("next_row", F.lead(F.struct(*columns, *derived)).over(window)).where("copy = 0").drop("range", "copy")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -111,19 +120,19 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     all) of the next document's text, by ascending doc_id; after the last comes the first. Returns
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
-    A null text counts as empty; texts without tokens have the empty fingerprint and are alike.
+    A null text counts as empty; texts without tokens have the empty fingerprint and are alike only
+    where they are equal.
     Rows that repeat a doc_id are ordered by their texts. A row with null doc_id comes before all
     others. Other columns are ignored; an empty table gives no rows.
     """
     # A null id sorts first and may not bound a range, so it gets the id below all others.
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("place"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    marked = texts.withColumn("anchors", anchors(F.col("text")))
-    paired = with_next(marked, ["text", "anchors"], "place")
+    paired = with_next(texts, ["text"], "place", {"anchors": anchors(F.col("text"))})
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_row.text", F.lit(1), half))
-    made = paired.select("own_id", F.length("text").cast("long").alias("n_chars"), "anchors", F.col("next_row.anchors").alias("next_anchors"), edited.alias("edited"))
-    done = made.select("own_id", "n_chars", "anchors", "next_anchors", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("edited")).alias("edited_anchors"))
+    made = paired.select("own_id", F.length("text").cast("long").alias("n_chars"), "anchors", F.col("next_row.anchors").alias("next_anchors"), edited.alias("edited"), (F.col("text") == F.col("next_row.text")).alias("same_next"), (F.col("text") == edited).alias("same_edited"))
+    done = made.select("own_id", "n_chars", "anchors", "next_anchors", "same_next", "same_edited", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("edited")).alias("edited_anchors"))
     return done.select(
         F.col("own_id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        likeness(F.col("anchors"), F.col("edited_anchors"), F.col("same_edited")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors"), F.col("same_next")).alias("near_next"),
     )

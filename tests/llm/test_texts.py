@@ -67,7 +67,7 @@ def test_differencing_is_even():
 @given(st.lists(st.integers(1, 300), max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_pack_block_holds_each_token_once(lengths):
-    sequences = pack_block(lengths, capacity=64, piece=16)
+    sequences = pack_block(lengths, capacity=64, piece=16, slack=1)
     seen = Counter((d, p) for s in sequences for d, at, n in s for p in range(at, at + n))
     assert seen == Counter((d, p) for d, n in enumerate(lengths) for p in range(n))
     assert all(sum(x[2] for x in s) <= 64 for s in sequences)
@@ -117,11 +117,80 @@ def test_fingerprints(docs, rows, empty, spark):
     assert edited_likeness(docs).count() == len(rows)
 
 
+def _murmur(seed, *values):
+    """Spark's hash of longs (8 bytes) or ints (4 bytes): 32-bit Murmur3."""
+    mask = 0xFFFFFFFF
+    turn = lambda x, n: (x << n | x >> 32 - n) & mask
+    for size, value in values:
+        h = seed & mask
+        words = [value & mask] + [value >> 32 & mask] * (size == 8)
+        for w in words:
+            w = turn(w * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+            h = (turn(h ^ w, 13) * 5 + 0xE6546B64) & mask
+        h ^= size
+        for n, m in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> n) * m & mask
+        seed = h ^ h >> 16
+    return seed - (1 << 32) if seed >> 31 else seed
+
+
+def _plain_anchors(text):
+    """Closed syncmers one k-mer at a time."""
+    consonant = lambda c: "!" <= c <= "~" and c not in "aeiouAEIOU0123456789"
+    tokens, now = [], ""
+    for c in text:
+        if c in " \t\n\v\f\r":
+            tokens += [now] * bool(now)
+            now = ""
+            continue
+        now += c
+        if not consonant(c):
+            tokens.append(now)
+            now = ""
+    tokens += [now] * bool(now)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) for t in tokens]
+    smers = [_murmur(42, (8, a), (8, b)) for a, b in zip(h, h[1:])]
+    kmers = [smers[i : i + 4] for i in range(len(smers) - 3)]
+    found = [k for k in kmers if min(k) in (k[0], k[-1])]
+    if kmers and not found:
+        found = [min(kmers, key=min)]
+    if kmers:
+        return [_murmur(42, *((4, k[j]) for j in (0, 2, 3))) for k in found]
+    return smers
+
+
+def test_anchors_are_the_closed_syncmers(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstu-9é") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (1, 2, 3, 5, 9, 40, 300) for _ in range(6)]
+    texts += ["b" * 50, "中文字很多" * 30, "x" * 5 + "a" * 5, "abc\tdef\u00a0ghi\x85 j"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", anchors(F.col("t")).alias("a"), F.expr("hash(t)")).collect()
+    for r in got:
+        t = texts[r["k"]]
+        assert r["a"], t
+        if len(r["a"]) > 1 or _plain_anchors(t):
+            assert r["a"] == _plain_anchors(t)
+
+
+def test_unrelated_short_texts_are_not_alike(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(3, 8)))
+    texts = [(k, " ".join(word() for _ in range(10))) for k in range(400)] + [(400 + k, " " * k) for k in range(3)]
+    got = {r["doc_id"]: r for r in edited_likeness(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(r["near_next"] < 0.2 for r in got.values()) and all(r["fingerprint"] for k, r in got.items() if k < 400)
+    # Half of each text is kept.
+    assert sum(got[k]["near_edited"] > 0 for k in range(399)) > 390
+
+
 def test_anchors_do_not_depend_on_their_surroundings(spark):
     middle = " ".join(f"m{k * k % 97}" for k in range(60))
-    texts = [(middle,), (f"some other words before {middle} and after",)]
-    a, b = (set(r[0]) for r in spark.createDataFrame(texts, "t string").select(anchors(F.col("t"))).collect())
-    assert a <= b and a
+    rng = random.Random(2)
+    unbroken = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(6000))
+    han = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(2000))
+    texts = [middle, f"some other words before {middle} and after", unbroken, "q" + unbroken, han, "字" + han]
+    found = [set(r["a"]) for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", anchors(F.col("t")).alias("a")).orderBy("k").collect()]
+    assert found[0] <= found[1] and found[0]
+    assert all(len(a & b) >= 0.9 * len(a) for a, b in (found[2:4], found[4:6]))
 
 
 @pytest.mark.parametrize("values", [[0] * 64, list(range(256)), [255, 0] * 32, [7] * 5000 + [9] * 120, list(np.random.default_rng(1).integers(0, 256, 9000))])
@@ -178,6 +247,24 @@ def test_media_query(docs, rows, empty):
     assert bytes(b ^ 0x80 for r in back for b in r["pcm"])[: len(text)] == text
 
 
+def test_long_payloads_are_encoded_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    payload = rng.integers(90, 120, 64 * 700).astype(np.uint8)
+    bounds = np.array([0, 64 * 500, 64 * 501, 64 * 700])
+    whole = flac.encode(payload, bounds)
+    monkeypatch.setattr(flac, "PIECE_FRAMES", 2)
+    assert flac.encode(payload, bounds) == whole
+
+
+def test_headers_that_claim_too_much_are_problems():
+    (stream,) = flac.encode(np.arange(256).astype(np.uint8), np.array([0, 256]))
+    claims = bytearray(stream)
+    claims[21] |= 15
+    claims[22] = 255
+    with pytest.raises(flac.MediaError):
+        flac.decode(np.frombuffer(bytes(claims), np.uint8), np.array([0, len(claims)]))
+
+
 def test_pcm_blocks_report_problems(spark):
     rows = flac.pcm_blocks(spark.createDataFrame([(1, None), (2, bytearray(b"fLaC"))], "doc_id long, media binary")).collect()
     assert all(r["problem"] and r["pcm"] is None for r in rows)
@@ -303,15 +390,15 @@ def _plain_scores(texts, code_of, count_of, below, spelled, escape, chunk):
     # Codes, level by level: weights of a level are its own.
     sums = {}
     for code, n in below.items():
-        for level in range(21):
-            sums[level, code >> (20 - level)] = sums.get((level, code >> (20 - level)), 0) + n
+        for level in range(20):
+            sums[level, code >> (19 - level)] = sums.get((level, code >> (19 - level)), 0) + n
     left = [(d, i) for d, i in places if texts[d][0][i] in code_of and (d, i) not in told]
-    for level in range(20):
+    for level in range(19):
         weights, cells = [[w] * 7 for w in (0.7, 0.3, 0.0)], {"map": {}, "gate": {}, "cell": {}}
         met, asked = {}, 0
         for d, i in left:
             code = code_of[texts[d][0][i]]
-            node, bit = code >> (20 - level), code >> (19 - level) & 1
+            node, bit = code >> (19 - level), code >> (18 - level) & 1
             n = [met.get((d, node, b), 0) for b in (0, 1)]
             met[d, node, bit] = n[bit] + 1
             zero, one = (sums.get((level + 1, 2 * node + b), 0) for b in (0, 1))
@@ -342,9 +429,9 @@ def test_scores_equal_plain_mixing(spark, monkeypatch):
     below = Counter()
     for w, code in code_of.items():
         below[code] += count_of[w]
-    assert all(c & 4095 == xxhash.xxh64_intdigest(w, seed=42) & 4095 and c >> 12 & 31 == count_of[w].bit_length() - 1 for w, c in code_of.items())
+    assert all(c & 4095 == xxhash.xxh64_intdigest(w, seed=42) & 4095 and c >> 12 & 15 == (count_of[w].bit_length() - 1) // 2 for w, c in code_of.items())
     held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(45)]
-    for chunk in (8192, 50):
+    for chunk in (context_mixing.CHUNK, 50):
         monkeypatch.setattr(context_mixing, "CHUNK", chunk)
         scorer = language_model.BlockScorer(shared)
         for k, t in enumerate(texts):
