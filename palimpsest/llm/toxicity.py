@@ -1,24 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are first given classes: INSULT with a weight (stems learned from labelled
-rows, and seeds), HARM, TARGET, SPEAKER, WILL, NEGATION and REPORT (fixed lists in four
-languages). Five small transducers then read the class sequence of a clause side
-by side, which is their composition: negation and reported speech open a scope,
-the target machine notes whether somebody is addressed, the threat machine accepts
-SPEAKER WILL HARM TARGET, and the insult machine writes each insult's weight
-to the track that the other machines' states select. Clauses without an insult
-or a word of harm are never read. A logistic model turns the tracks into a score.
+Words are first given classes: insult with a weight (stems learned from labelled
+rows, and seeds), harm, target, speaker, will, negation and report (fixed lists in
+four languages). Five transducers are composed once, each reading what the one before
+writes: negation and reported speech mark the scope of every word, the target
+machine guesses whether the clause addresses somebody and accepts only if it guessed
+right, the threat machine marks the end of SPEAKER WILL HARM TARGET, and the insult
+machine writes weighted arcs to the tracks. A clause counts only by its accepted path
+through the composed machine; clauses without an insult or a word of harm are never
+read. A logistic model turns the tracks into a score.
 
 Lexicon and model are fitted on at most SAMPLE_ROWS labelled rows, those with the
-least hashes of their doc_id; everything else runs over all documents.
+least hashes of their doc_id, and the lexicon has at most MOST_STEMS stems, chosen among
+the 20 * MOST_STEMS most frequent of toxic rows; everything else runs over all documents.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -49,20 +52,142 @@ WILL = "will shall gonna going must werde werden vais allons voy vamos quiero".s
 NEGATION = "not no never isn't aren't don't won't nicht kein keine nie ne pas jamais non nunca ni".split()
 REPORT = "said says say wrote claims claimed called calls quoted sagte schrieb nannte dit écrit appelle dijo escribió llamó".split()
 
+#: What clauses write; the last is the most that one clause writes to plain, targeted and threats.
 TRACKS = ("plain", "negated", "reported", "targeted", "threats", "strongest")
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;\n]")
-_CLASS = {w: c for c, words in (("target", TARGET), ("speaker", SPEAKER), ("will", WILL), ("negation", NEGATION), ("report", REPORT)) for w in words}
+_CLASS = {w: c for c, words in (("harm", HARM), ("target", TARGET), ("speaker", SPEAKER), ("will", WILL), ("negation", NEGATION), ("report", REPORT)) for w in words}
+#: The alphabet that the first machine reads; a word of harm with a weight is a harmful insult.
+CLASSES = ("other", "insult", "harm", "harmful insult", "target", "speaker", "will", "negation", "report")
+SOFTENED_THREAT = 0.3
 
 
 def stems(word: str) -> list[str]:
     return [word[:n] for n in STEM_LETTERS if n <= len(word)] + [word + "$"]
 
 
+@dataclass(frozen=True)
+class Machine:
+    """A transducer: start states, arcs from (state, read) to (state, written), and accepting states."""
+
+    starts: tuple
+    arcs: dict
+    accepting: frozenset
+
+    def written(self) -> set:
+        return {w for _, w in self.arcs.values()}
+
+    def read(self, symbols: list) -> list[tuple]:
+        """What each accepted path writes for the symbols."""
+        out = []
+        for state in self.starts:
+            wrote = []
+            for symbol in symbols:
+                if (state, symbol) not in self.arcs:
+                    break
+                state, w = self.arcs[state, symbol]
+                wrote.append(w)
+            else:
+                if state in self.accepting:
+                    out.append(tuple(wrote))
+        return out
+
+
+def machine(starts: tuple, alphabet: Iterable, step: Callable, accepts: Callable = lambda state: True) -> Machine:
+    """The states that step(state, symbol) reaches from the starts; where it gives None there is no arc."""
+    alphabet, arcs, seen, todo = list(alphabet), {}, set(starts), list(starts)
+    while todo:
+        state = todo.pop()
+        for symbol in alphabet:
+            if (arc := step(state, symbol)) is not None:
+                arcs[state, symbol] = arc
+                if arc[0] not in seen:
+                    seen.add(arc[0])
+                    todo.append(arc[0])
+    return Machine(starts, arcs, frozenset(filter(accepts, seen)))
+
+
+def compose(first: Machine, second: Machine) -> Machine:
+    """The machine that writes what second writes when it reads what first writes."""
+
+    def step(state: tuple, symbol):
+        if (one := first.arcs.get((state[0], symbol))) is None or (two := second.arcs.get((state[1], one[1]))) is None:
+            return None
+        return (one[0], two[0]), two[1]
+
+    starts = tuple((x, y) for x in first.starts for y in second.starts)
+    return machine(starts, {symbol for _, symbol in first.arcs}, step, lambda s: s[0] in first.accepting and s[1] in second.accepting)
+
+
+def _negation(left: int, kind: str):
+    left = REACH if kind == "negation" else max(left - 1, 0)
+    return left, (kind, "negated" if left else "plain")
+
+
+def _report(said: bool, read: tuple):
+    said = said or read[0] == "report"
+    return said, (read[0], "reported" if said and read[1] == "plain" else read[1])
+
+
+def _target(guess: tuple, read: tuple):
+    """guess: (the clause addresses somebody, it has done so)."""
+    addressed, seen = guess
+    if read[0] == "target":
+        return ((True, True), (*read, True)) if addressed else None
+    return guess, (*read, addressed)
+
+
+def _threat(state: tuple, read: tuple):
+    """state: (parts of a threat read so far, words since the last of them)."""
+    parts, since = state
+    part = {"speaker": 0, "will": 1, "harm": 2, "harmful insult": 2, "target": 3}.get(read[0])
+    since += 1
+    if part == 0:
+        return (1, 0), (*read, False)
+    if parts and part == parts and since <= REACH:
+        return ((0, 0), (*read, True)) if parts == 3 else ((parts + 1, 0), (*read, False))
+    return ((parts, since) if parts and since <= REACH else (0, 0)), (*read, False)
+
+
+def _insult(state: int, read: tuple):
+    """Writes (track, constant, share of the word's weight) for each track that gets something."""
+    kind, scope, addressed, threat = read
+    out = [(TRACKS.index("threats"), 1.0 if scope == "plain" else SOFTENED_THREAT, 0.0)] if threat else []
+    if kind in ("insult", "harmful insult"):
+        out.append((TRACKS.index(scope), 0.0, 1.0))
+        if addressed and scope == "plain":
+            out.append((TRACKS.index("targeted"), 0.0, 1.0))
+    return state, tuple(out)
+
+
+def grammar_machines() -> list[Machine]:
+    """The five machines; each one's alphabet is what the one before writes."""
+    out = [machine((0,), CLASSES, _negation)]
+    rest = [((False,), _report, lambda s: True), (((False, False), (True, False)), _target, lambda s: s[0] == s[1]), (((0, 0),), _threat, lambda s: True), ((0,), _insult, lambda s: True)]
+    for starts, step, accepts in rest:
+        out.append(machine(starts, out[-1].written(), step, accepts))
+    return out
+
+
+def composed(machines: list[Machine]) -> tuple[tuple, list[list], list[bool]]:
+    """Their composition with numbered states: starts, arcs by state and class, and which states accept."""
+    whole = functools.reduce(compose, machines)
+    states = list({s: None for s in (*whole.starts, *(t for t, _ in whole.arcs.values()))})
+    number = {s: k for k, s in enumerate(states)}
+    arcs = [[(number[a[0]], a[1]) if (a := whole.arcs.get((s, c))) else None for c in CLASSES] for s in states]
+    return tuple(number[s] for s in whole.starts), arcs, [s in whole.accepting for s in states]
+
+
+STARTS, ARCS, ACCEPTING = composed(grammar_machines())
+_NUMBER = {c: k for k, c in enumerate(CLASSES)}
+_NUMBERS = {w: _NUMBER[c] for w, c in _CLASS.items()}
+_OTHER, _INSULT, _HARM = (_NUMBER[c] for c in ("other", "insult", "harm"))
+
+
 @dataclass
 class Grammar:
-    """Insult stems with weights, the model's coefficients, and the machines."""
+    """Insult stems with weights and the model's coefficients, read by the composed machines."""
 
     weights: dict[str, float]
     center: list[float] = field(default_factory=lambda: [0.0] * len(TRACKS))
@@ -83,35 +208,33 @@ class Grammar:
     def weight(self, word: str) -> float:
         return max((self.weights.get(s, 0.0) for s in stems(word)), default=0.0)
 
-    def clause(self, words: list[str], tracks: list[float]) -> None:
-        """Run the composed machines over one clause and add what they write."""
-        negated = reported = threat = since = 0
-        hits: list[tuple[float, bool, bool]] = []
-        targeted = False
+    def classes(self, words: list[str]) -> tuple[list[int], list[float]]:
+        """The number of each word's class, and its weight as an insult."""
+        kinds, weights = [], []
         for word in words:
-            kind = _CLASS.get(word)
-            weight = 0.0 if kind else self.weight(word)
-            negated = REACH if kind == "negation" else max(negated - 1, 0)
-            reported = reported or kind == "report"
-            targeted = targeted or kind == "target"
-            since += 1
-            step = {"speaker": 0, "will": 1, "target": 3}.get(kind, 2 if word in HARM else -1)
-            if step == 0:
-                threat, since = 1, 0
-            elif step == threat and since <= REACH:
-                threat, since = threat + 1, 0
-            elif since > REACH:
-                threat = 0
-            if threat == 4:
-                tracks[4] += 0.3 if negated or reported else 1.0
-                threat = 0
-            if weight > 0:
-                hits.append((weight, negated > 0, bool(reported)))
-        for weight, no, said in hits:
-            tracks[1 if no else 2 if said else 0] += weight
-            if targeted and not no and not said:
-                tracks[3] += weight
-            tracks[5] = max(tracks[5], weight)
+            kind = _NUMBERS.get(word, _OTHER)
+            weight = self.weight(word) if kind in (_OTHER, _HARM) else 0.0
+            kinds.append(kind + 1 if weight > 0 else kind)  # other, harm: insult, harmful insult
+            weights.append(weight)
+        return kinds, weights
+
+    def clause(self, words: list[str], tracks: list[float]) -> None:
+        """Add what the accepted path of the composed machine writes for one clause."""
+        kinds, weights = self.classes(words)
+        for state in STARTS:
+            wrote = []
+            for kind, weight in zip(kinds, weights):
+                if (arc := ARCS[state][kind]) is None:
+                    break
+                state, out = arc
+                if out:
+                    wrote += [(track, constant + share * weight) for track, constant, share in out]
+            else:
+                if ACCEPTING[state]:
+                    for track, value in wrote:
+                        tracks[track] += value
+                    tracks[5] = max(tracks[5], sum(value for track, value in wrote if track in (0, 3, 4)))
+                    return
 
     def tracks(self, text: str, found: ahocorasick.Automaton) -> list[float]:
         """What the grammar writes for a text: one number a track."""

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -19,7 +20,7 @@ from palimpsest.llm.language_model import score_texts
 from palimpsest.llm.packing import differencing, pack_block, pack_documents, word_ids
 from palimpsest.llm.piece_encoding import PieceModel, decode_ids, encode_digests, encode_texts
 from palimpsest.llm.textblocks import tokenizer_file
-from palimpsest.llm.toxicity import Grammar, fit_grammar, score_toxicity, toxicity
+from palimpsest.llm.toxicity import CLASSES, REACH, TRACKS, Grammar, compose, fit_grammar, grammar_machines, machine, score_toxicity, toxicity
 from palimpsest.llm.url_rules import judge_urls
 
 PIECES, WORDS = tokenizer_file("piece_bpe_32k.model"), tokenizer_file("word_bpe_49k.json")
@@ -474,6 +475,61 @@ def test_toxicity_grammar():
     assert g.score(plain) > g.score(reported) > g.score(g.tracks("", found))
 
 
+MACHINES = grammar_machines()
+WHOLE = functools.reduce(compose, MACHINES)
+
+
+def by_hand(kinds):
+    """What a clause writes, by one loop with counters: [(track, constant, share)] for each word."""
+    out, negated, said, parts, since = [], 0, False, 0, 0
+    for kind in kinds:
+        negated = REACH if kind == "negation" else max(negated - 1, 0)
+        said = said or kind == "report"
+        scope = "negated" if negated else "reported" if said else "plain"
+        since += 1
+        wrote = []
+        step = {"speaker": 0, "will": 1, "harm": 2, "harmful insult": 2, "target": 3}.get(kind, -1)
+        if step == 0:
+            parts, since = 1, 0
+        elif step == parts and since <= REACH:
+            parts, since = parts + 1, 0
+        elif since > REACH:
+            parts = 0
+        if parts == 4:
+            wrote.append((TRACKS.index("threats"), 1.0 if scope == "plain" else 0.3, 0.0))
+            parts = 0
+        if "insult" in kind:
+            wrote.append((TRACKS.index(scope), 0.0, 1.0))
+            if "target" in kinds and scope == "plain":
+                wrote.append((TRACKS.index("targeted"), 0.0, 1.0))
+        out.append(tuple(wrote))
+    return tuple(out)
+
+
+@given(st.lists(st.sampled_from(CLASSES) | st.sampled_from(["speaker", "will", "harm", "target"]), max_size=25))
+@settings(max_examples=500, deadline=None)
+def test_the_composed_machine_is_its_parts_one_after_another(kinds):
+    one_by_one = [tuple(kinds)]
+    for m in MACHINES:
+        one_by_one = [w for path in one_by_one for w in m.read(list(path))]
+    assert WHOLE.read(kinds) == one_by_one == [by_hand(kinds)]
+    names = {c: w for c, w in zip(CLASSES, ("fine", "moron", "kill", "hurt", "you", "i", "will", "not", "said"))}
+    tracks, wanted = [0.0] * len(TRACKS), [0.0] * len(TRACKS)
+    Grammar({"moron$": 5.0, "hurt$": 2.0}).clause([names[k] for k in kinds], tracks)
+    for kind, wrote in zip(kinds, by_hand(kinds)):
+        for track, constant, share in wrote:
+            wanted[track] += constant + share * {"insult": 5.0, "harmful insult": 2.0}.get(kind, 0.0)
+    wanted[5] = wanted[0] + wanted[3] + wanted[4]
+    assert tracks == pytest.approx(wanted)
+
+
+def test_composition_drops_paths_without_an_arc():
+    half = machine((0, 1), "ab", lambda s, x: (s, x.upper()) if s or x == "a" else None)
+    last = machine((0,), "AB", lambda s, x: (1, x * 2), lambda s: s == 1)
+    assert compose(half, last).read(list("ab")) == [("AA", "BB")] and compose(half, last).read([]) == []
+    assert compose(half, last).read(["a"]) == [("AA",), ("AA",)]
+
+
 def test_toxicity_query(spark, docs, rows, empty):
     text = lambda k: f"some words here {k} and {'you idiotazo ' if k % 3 == 0 else ''}more {k % 7}"
     table = spark.createDataFrame([(k, text(k)) for k in range(300)], "doc_id long, text string")
