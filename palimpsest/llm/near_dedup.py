@@ -9,9 +9,11 @@ defaults, a pair at similarity 0.85 meets in no table with probability 1.5e-4.
 Documents with equal sets are one class and are linked without being compared.
 Between classes, each table bucket first compares all its members with its least
 one only; the links make components. Documents that share a bucket's least member
-and are not all in one component by then are compared in blocks: a task gets two
-blocks of at most about BLOCK_DOCS documents, counts the intersections of all their
-sets by a matrix product, and gives a spanning forest of the links. So no link is
+and are not all in one component by then are compared in blocks of about BLOCK_BYTES
+of shingles. A component that fills a block has blocks of its own, which never meet
+each other. A task gets two blocks, counts the intersections of their sets by matrix
+products of BLOCK_DOCS documents each, leaving out those of one component and those
+whose sizes rule a link out, and gives a spanning forest of the links. So no link is
 assumed or capped, and no list of a group's pairs is ever made. Components come
 from label propagation with pointer jumping.
 """
@@ -33,7 +35,10 @@ SHINGLE_WORDS = 5
 PERCENT = 85
 HALF_KEYS = 10
 ROWS_A_HALF = 3
+BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 256
+#: A document counts as this many bytes at least, so that blocks of short ones have at most 8,192.
+LEAST_BYTES = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -134,29 +139,23 @@ def _confirm(words: int, percent: int):
     return confirm
 
 
-def _links_of(ids: np.ndarray, component: np.ndarray, texts: list[bytes], words: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between different components among the documents."""
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    sets, bounds = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, words)
-    size = np.diff(bounds)
-    row = np.repeat(np.arange(len(size)), size)
-    order = np.argsort(sets, kind="stable")
-    sets, row = sets[order], row[order]
-    opens = np.append(True, sets[1:] != sets[:-1])
-    column = np.cumsum(opens) - 1
-    shared = np.bincount(column)[column] > 1
-    row, column = row[shared], column[shared]
-    common = np.zeros((len(size), len(size)), np.float32)
-    width = 4096
-    dense = np.zeros((len(size), width), np.float32)
-    column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
-    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + width, width))
-    for i, j in zip(cuts, cuts[1:]):
+def _intersections(sets: np.ndarray, row: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of n sets; sets are numbers of shingles, row says whose each is."""
+    many = np.bincount(sets) if len(sets) else np.zeros(1, np.int64)
+    column = (np.cumsum(many > 1) - 1)[sets]
+    row, column = row[many[sets] > 1], column[many[sets] > 1]
+    common = np.zeros((n, n), np.float32)
+    dense = np.zeros((n, width), np.float32)
+    for low in range(0, int(np.count_nonzero(many > 1)), width):
+        here = (column >= low) & (column < low + width)
         dense[:] = 0
-        dense[row[i:j], column[i:j] % width] = 1
+        dense[row[here], column[here] - low] = 1
         common += dense @ dense.T
-    union = size[:, None] + size[None, :] - common
-    one, two = np.nonzero(np.triu((100 * common >= percent * union) & (component[:, None] != component[None, :]), 1))
+    return common
+
+
+def _links_of(ids: np.ndarray, component: np.ndarray, sets: np.ndarray, size: np.ndarray, percent: int, block_docs: int = BLOCK_DOCS) -> list[tuple[int, int]]:
+    """A spanning forest of the links between different components among the documents."""
     root = {c: c for c in component.tolist()}
 
     def find(c: int) -> int:
@@ -165,41 +164,85 @@ def _links_of(ids: np.ndarray, component: np.ndarray, texts: list[bytes], words:
             c = root[c]
         return c
 
+    # Shingles that two documents have get numbers; others can't be in an intersection.
+    row = np.repeat(np.arange(len(size)), size)
+    _, number, many = np.unique(sets, return_inverse=True, return_counts=True)
+    row, number = row[many[number] > 1], (np.cumsum(many > 1) - 1)[number][many[number] > 1]
+    order = np.lexsort((size, component))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by_place = np.argsort(place[row], kind="stable")
+    row, number = place[row][by_place], number[by_place]
+    ids, component, size = ids[order], component[order], size[order]
+    cuts = list(range(0, len(ids), block_docs)) + [len(ids)]
+    edges = np.searchsorted(row, cuts)
+    parts = [(slice(i, j), slice(e, f), np.unique(component[i:j]).tolist()) for i, j, e, f in zip(cuts, cuts[1:], edges, edges[1:])]
     out = []
-    for i, j in zip(one.tolist(), two.tolist(), strict=True):
-        a, b = find(component[i].item()), find(component[j].item())
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((ids[i].item(), ids[j].item()))
+    for k, (docs, has, roots) in enumerate(parts):
+        for docs_2, has_2, roots_2 in parts[k:]:
+            if len({find(c) for c in (*roots, *roots_2)}) == 1:
+                continue
+            if 100 * size[docs].max() < percent * size[docs_2].min() or 100 * size[docs_2].max() < percent * size[docs].min():
+                continue
+            both = [(docs, has)] if docs is docs_2 else [(docs, has), (docs_2, has_2)]
+            who = np.concatenate([np.arange(d.start, d.stop) for d, _ in both])
+            shift = np.concatenate([row[h] - d.start + (docs.stop - docs.start if n else 0) for n, (d, h) in enumerate(both)])
+            common = _intersections(np.concatenate([number[h] for _, h in both]), shift, len(who))
+            union = size[who][:, None] + size[who][None, :] - common
+            one, two = np.nonzero(np.triu((100 * common >= percent * union) & (component[who][:, None] != component[who][None, :]), 1))
+            for i, j in zip(who[one].tolist(), who[two].tolist(), strict=True):
+                a, b = find(component[i].item()), find(component[j].item())
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i].item(), ids[j].item()))
     return out
 
 
-def _compare_blocks(words: int, percent: int):
-    """Rows (least, low, high, id, component, text) sorted by the first three to links."""
+def _compare_blocks(words: int, percent: int, block_docs: int):
+    """Rows (task, id, component, text) sorted by task to links; of a text only its set is held."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def flush() -> pa.RecordBatch:
-            ids, component, texts = zip(*held, strict=True)
-            links = _links_of(np.array(ids), np.array(component), list(texts), words, percent) if len(set(component)) > 1 else []
+            links = _links_of(*(np.concatenate(x) for x in zip(*held, strict=True)), percent, block_docs)
             a, b = zip(*links, strict=True) if links else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            texts = batch.column(5).cast(pa.binary()).to_pylist()
-            for *key, i, component, text in zip(*(batch.column(k).to_pylist() for k in range(5)), texts, strict=True):
-                if key != now:
-                    if held:
-                        yield flush()
-                    now, held = key, []
-                held.append((i, component, text))
+        for block in blocks(batches, 2 << 20):
+            task, ids, component = (block.column(k).to_numpy() for k in range(3))
+            sets, bounds = shingle_sets(*byte_view(block.column(3)), words)
+            edges = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            for i, j in zip(edges, edges[1:]):
+                if held and task[i] != now:
+                    yield flush()
+                    held = []
+                now = task[i]
+                held.append((ids[i:j], component[i:j], sets[bounds[i] : bounds[j]], np.diff(bounds[i : j + 1])))
         if held:
             yield flush()
 
     return compare
 
 
+def _dealt(grouped: DataFrame, block_bytes: int) -> DataFrame:
+    """(least, id, component, n_bytes) of groups with several components to (task, id, component), a task for each two blocks to compare."""
+    shares = grouped.groupBy("least", "component").agg(F.sum("n_bytes").alias("n_bytes"))
+    large = F.col("n_bytes") >= block_bytes
+    whole = shares.groupBy("least").agg(F.sum(F.when(~large, F.col("n_bytes"))).alias("rest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    count = lambda n: F.greatest(F.ceil(n / block_bytes), F.lit(1)).cast("int")
+    shares = shares.join(whole, "least").select("least", "component", F.when(large, F.col("component")).alias("own"), F.when(large, count(F.col("n_bytes"))).otherwise(count(F.col("rest"))).alias("parts"))
+    every = shares.select("least", "own", "parts").distinct().withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("least", "own", "part")
+    key = F.struct(F.col("own").isNull(), F.coalesce("own", F.lit(0)), F.col("part"))
+    every = every.select("least", "own", key.alias("block"))
+    # Two blocks of one large component never meet; a block of small ones meets itself.
+    met = every.join(every.select("least", F.col("own").alias("own_2"), F.col("block").alias("block_2")), "least").where("block <= block_2 and (own is null or own_2 is null or own != own_2)")
+    tasks = met.select("least", F.xxhash64("least", "block", "block_2").alias("task"), F.explode(F.array_distinct(F.array("block", "block_2"))).alias("block"))
+    part = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("component")).otherwise(F.col("id"))), F.col("parts")).cast("int")
+    placed = grouped.join(shares, ["least", "component"]).withColumn("part", part).select("least", "id", "component", key.alias("block"))
+    return placed.join(tasks, ["least", "block"]).select("task", "id", "component")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all ids in edges (a, b): the least id that is reachable."""
     both = kept_on_disk(edges.select("a", "b").union(edges.select("b", "a")))
@@ -214,7 +257,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("id", "component")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, half_keys: int = HALF_KEYS, rows: int = ROWS_A_HALF, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, half_keys: int = HALF_KEYS, rows: int = ROWS_A_HALF, block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Groups of near-duplicate documents.
 
     Returns doc_id, n_shingles (size of its set), component_id (the least doc_id reachable over
@@ -255,14 +298,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     labels = components(links)
 
     # Any two that share a table share its least member. Groups by it that are in one component are done.
-    grouped = members.select("least", "id").join(labels, "id", "left").select("least", "id", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("least").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-    parts = mixed.select("least", F.ceil(F.col("n") / block_docs).cast("int").alias("parts"))
-    placed_ = grouped.join(parts, "least").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # A block meets each block of its group once: with itself, or in a task of the two.
-    dealt = placed_.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("least", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", "component")
-    texted = dealt.join(own.select(F.col("doc_id").alias("id"), "text"), "id").select("least", "low", "high", "id", "component", "text")
-    compared = texted.repartition(F.col("least"), F.col("low"), F.col("high")).sortWithinPartitions("least", "low", "high").mapInArrow(_compare_blocks(words, percent), "a long, b long")
+    weight = F.greatest(F.col("n_shingles") * 8, F.lit(LEAST_BYTES)).alias("n_bytes")
+    grouped = members.join(labels, "id", "left").select("least", "id", F.coalesce("component", "id").alias("component"), weight)
+    texted = _dealt(grouped, block_bytes).join(own.select(F.col("doc_id").alias("id"), "text"), "id").select("task", "id", "component", "text")
+    compared = texted.repartition("task").sortWithinPartitions("task").mapInArrow(_compare_blocks(words, percent, block_docs), "a long, b long")
     more = checkpointed(compared)
     if not more.isEmpty():
         labels = components(links.unionByName(more))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm.line_dedup import drop_repeated_lines
-from palimpsest.llm.near_dedup import components, near_duplicates
+from palimpsest.llm.near_dedup import _dealt, _links_of, components, near_duplicates
 from palimpsest.llm.suffix_dedup import _radix, remove_repeats
 
 
@@ -108,9 +108,11 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_near_dedup_against_brute_force(spark, docs, rows, block):
+@pytest.mark.parametrize("block_bytes,block", [(8 << 20, 256), (8 << 20, 2), (5000, 256), (1, 2)])
+def test_near_dedup_against_brute_force(spark, docs, rows, block_bytes, block):
     extra = [(100 + k, " ".join(f"w{j}" for j in range(200) if j != 7 * k)) for k in range(12)]
+    # Two families that a chain of near copies may or may not join: links within groups of several components.
+    extra += [(200 + 20 * f + k, " ".join(f"v{j}" for j in range(f * 6, 200 + f * 6) if j != 60 + 5 * k)) for f in range(4) for k in range(8)]
     every = [(i, t) for i, t in rows if i not in (20, 21, None)] + extra
     table = spark.createDataFrame(every, "doc_id long, text string").repartition(3)
     sets = {i: shingles(t) for i, t in every}
@@ -124,10 +126,51 @@ def test_near_dedup_against_brute_force(spark, docs, rows, block):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(table, block_docs=block).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(table, block_bytes=block_bytes, block_docs=block).collect()}
     assert found == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_links_between_blocks_are_a_spanning_forest_of_all():
+    rng = np.random.default_rng(3)
+    pools = [rng.choice(300, 60, replace=False) for _ in range(5)]
+    sets = [np.sort(rng.choice(pools[k % 5], 57, replace=False)).astype(np.uint64) for k in range(60)]
+    sets += [np.sort(rng.choice(400, int(rng.integers(1, 200)), replace=False)).astype(np.uint64) for _ in range(30)]
+    size, component = np.array([len(s) for s in sets]), np.array([k // 2 * 2 for k in range(90)])
+
+    def joined(links):
+        root = dict.fromkeys(component.tolist())
+        root = {c: c for c in root}
+        find = lambda c: c if root[c] == c else find(root[c])
+        for a, b in links:
+            x, y = find(component[a].item()), find(component[b].item())
+            root[max(x, y)] = min(x, y)
+        return [find(c) for c in component.tolist()]
+
+    every = [(a, b) for a in range(90) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    for block_docs in (1, 7, 256):
+        links = _links_of(np.arange(90), component, np.concatenate(sets), size, 85, block_docs)
+        assert {(max(x), min(x)) for x in links} <= set(every) and joined(links) == joined(every)
+        assert len(links) == len(set(component.tolist())) - len(set(joined(every)))
+
+
+def test_blocks_of_one_component_never_meet(spark):
+    """Each two documents of different components share a task; copies grow with the number of blocks, not of documents."""
+    rows = [(1, k, 0 if k < 300 else 1000 if k < 600 else k, 1024) for k in range(640)] + [(2, k, 7, 1024) for k in range(700, 720)]
+    grouped = spark.createDataFrame(rows, "least long, id long, component long, n_bytes long")
+    for block_bytes in (1 << 30, 100 * 1024, 10 * 1024):
+        tasks = defaultdict(set)
+        dealt = _dealt(grouped, block_bytes).collect()
+        for r in dealt:
+            tasks[r["task"]].add((r["id"], r["component"]))
+        met = {(a, b) for docs in tasks.values() for a, x in docs for b, y in docs if a < b and x != y}
+        assert met == {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] == 1 and a[1] < b[1] and a[2] != b[2]}
+        most = 640 * 1024 / block_bytes + 3
+        assert len(dealt) <= 640 * 1.2 * most and not any(i >= 700 for docs in tasks.values() for i, _ in docs)
+        if block_bytes < 1 << 20:
+            pure = [docs for docs in tasks.values() if len({c for _, c in docs}) == 1]
+            assert not any({0} == {c for _, c in docs} or {1000} == {c for _, c in docs} for docs in pure)
+
+
 def test_near_dedup_keeps_every_row(docs, rows, empty):
     assert near_duplicates(docs).count() == len(rows)
     assert near_duplicates(empty).count() == 0
