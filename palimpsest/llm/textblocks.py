@@ -8,6 +8,7 @@ the row offsets, and no per-document Python loop is needed in the hot parts.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_scopes: list[list[DataFrame]] = []
+
+
 def kept_on_disk(df: DataFrame) -> DataFrame:
     """df kept on the executors' disks with its lineage: what a lost executor held is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    df = df.persist(StorageLevel.DISK_ONLY)
+    if _scopes:
+        _scopes[-1].append(df)
+    return df
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """On leaving, what kept_on_disk kept within is given up; tables that the caller cached stay."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            df.unpersist()
