@@ -16,7 +16,7 @@ from palimpsest.llm.line_dedup import drop_repeated_lines
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.suffix_dedup import remove_repeats
-from palimpsest.llm.textblocks import shared_folder, tokenizer_file
+from palimpsest.llm.textblocks import released, shared_folder, tokenizer_file
 from palimpsest.llm.toxicity import fit_grammar, score_toxicity
 
 #: Documents with this score or more are rejected.
@@ -77,8 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        spark.catalog.clearCache()
+        with released():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
