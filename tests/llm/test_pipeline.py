@@ -1,15 +1,22 @@
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from palimpsest.llm.queries import QUERIES
 
-from .test_dedup import shingles
+from .test_dedup import key, removed, shingles
 
 
 def test_stages_and_rows(spark, sf_dir):
+    callers = spark.range(5).cache()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "suffix_dedup", "packing"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = {r[0] for r in docs.select("doc_id").collect()}
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and {r["doc_id"] for r in rows} <= ids
+    assert callers.is_cached and spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= 1
+    callers.unpersist()
 
 
 def test_each_stage_keeps_the_columns(spark, docs, sf_dir):
@@ -22,6 +29,29 @@ def test_each_stage_keeps_the_columns(spark, docs, sf_dir):
         assert out.count() <= docs.count()
 
 
+def test_stages_against_brute_force(spark, docs, rows):
+    """Each stage's rows on its own input: what lines, copies and passages leave, by plain Python."""
+    docs = docs.where("doc_id is not null and doc_id not in (20, 21)").withColumn("n_chars", F.lit(0).cast("long"))
+    every = {i: t or "" for i, t in rows if i not in (20, 21, None)}
+    holders = defaultdict(set)
+    for i, t in every.items():
+        for line in t.split("\n"):
+            if len(key(line)) >= 20:
+                holders[key(line)].add(i)
+    lines = {i: "\n".join(x for x in t.split("\n") if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == i) for i, t in every.items()}
+    found = lambda stage: {r["doc_id"]: (r["text"] or "", r["n_chars"]) for r in stage(spark, docs, "").collect()}
+    assert found(corpus_pipeline.drop_lines) == {i: (t, len(t)) for i, t in lines.items()}
+    sets = {i: shingles(t) for i, t in every.items()}
+    gone = {b for b in sets for a in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert found(corpus_pipeline.drop_near_duplicates).keys() == every.keys() - gone
+    passages = {i: (len_, left) for i, len_, left, *_ in removed(list(every.items()), 100)}
+    left = found(corpus_pipeline.drop_passages)
+    assert left.keys() == every.keys()
+    for i, (size, cut) in passages.items():
+        if all(ord(c) < 128 for c in every[i]):
+            assert len(left[i][0]) == size - cut, i
+
+
 def test_near_copies_from_four_fifths_on_go(spark):
     texts = []
     for k in range(12):
