@@ -229,7 +229,7 @@ def _dealt(grouped: DataFrame, block_bytes: int) -> DataFrame:
     """(least, id, component, n_bytes) of groups with several components to (task, id, component), a task for each two blocks to compare."""
     shares = grouped.groupBy("least", "component").agg(F.sum("n_bytes").alias("n_bytes"))
     large = F.col("n_bytes") >= block_bytes
-    whole = shares.groupBy("least").agg(F.sum(F.when(~large, F.col("n_bytes"))).alias("rest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    whole = shares.groupBy("least").agg(F.sum(F.when(~large, F.col("n_bytes"))).alias("rest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     count = lambda n: F.greatest(F.ceil(n / block_bytes), F.lit(1)).cast("int")
     shares = shares.join(whole, "least").select("least", "component", F.when(large, F.col("component")).alias("own"), F.when(large, count(F.col("n_bytes"))).otherwise(count(F.col("rest"))).alias("parts"))
     every = shares.select("least", "own", "parts").distinct().withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("least", "own", "part")
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     )
     tables = open_.withColumn("l", F.explode("left")).withColumn("r", F.explode("right")).select("id", F.xxhash64("l.half", "l.value", "r.half", "r.value").alias("table"))
     buckets = tables.groupBy("table").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = kept_on_disk(tables.join(buckets, "table").select("id", "least").distinct().join(classes.select("id", "n_shingles"), "id"))
+    members = checkpointed(tables.join(buckets, "table").select("id", "least").distinct().join(classes.select("id", "n_shingles"), "id"))
 
     # The texts of the documents that share a table with another, read once for both rounds.
     used = members.select(F.col("id").alias("doc_id")).distinct()
@@ -300,6 +300,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     # Any two that share a table share its least member. Groups by it that are in one component are done.
     weight = F.greatest(F.col("n_shingles") * 8, F.lit(LEAST_BYTES)).alias("n_bytes")
     grouped = members.join(labels, "id", "left").select("least", "id", F.coalesce("component", "id").alias("component"), weight)
+    mixed = grouped.groupBy("least").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("least")
+    grouped = checkpointed(grouped.join(mixed, "least"))
     texted = _dealt(grouped, block_bytes).join(own.select(F.col("doc_id").alias("id"), "text"), "id").select("task", "id", "component", "text")
     compared = texted.repartition("task").sortWithinPartitions("task").mapInArrow(_compare_blocks(words, percent, block_docs), "a long, b long")
     more = checkpointed(compared)

@@ -95,5 +95,6 @@ def released() -> Iterator[None]:
     try:
         yield
     finally:
-        for df in _scopes.pop():
+        # Last ones first: giving up what others are made from plans these anew.
+        for df in reversed(_scopes.pop()):
             df.unpersist()
