@@ -15,6 +15,7 @@ from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .piece_encoding import encode_digests
+from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats
 from .textblocks import read_documents, tokenizer_file
 from .toxicity import toxicity
@@ -71,6 +72,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(noisy, F.col("vec_id") % 100 == 0)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
@@ -157,4 +163,33 @@ ORACLE_SQL: dict[str, str] = {
         FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
         WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 10
     """,
+    "op13_spelling": r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(s) * 2, 2), lambda i: CAST('0x' || substr(hex(encode(s)), i + 1, 2) AS BIGINT))),
+                                           lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS h
+            FROM (SELECT run, n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM runs), crc_table
+        ), slipped AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+        ), words AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+        ), deletions AS MATERIALIZED (
+            SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest, length(word) AS len, substr(word, i, 1) AS letter FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+        ), pairs AS (
+            SELECT DISTINCT d.word, w.word AS near, w.n AS near_n FROM deletions d JOIN words w ON d.rest = w.word
+            UNION SELECT w.word, d.word, d.n FROM deletions d JOIN words w ON d.rest = w.word
+            UNION SELECT a.word, b.word, b.n FROM deletions a JOIN deletions b ON a.rest = b.rest AND a.i = b.i AND a.len = b.len AND a.letter <> b.letter
+        ), best AS (
+            SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word
+        ), formed AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN (SELECT min(near) FROM pairs p WHERE p.word = w.word AND p.near_n = top) END AS form, CASE WHEN top >= 2 * w.n THEN top END AS form_n
+            FROM words w LEFT JOIN best b ON w.word = b.word
+        ), follow(word, last, steps) AS (
+            SELECT word, word, 0 FROM formed UNION ALL SELECT f.word, g.form, steps + 1 FROM follow f JOIN formed g ON f.last = g.word WHERE g.form IS NOT NULL
+        )
+        SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed f JOIN (SELECT word, arg_max(last, steps) AS root FROM follow GROUP BY word) r ON f.word = r.word
+    """,
 }
