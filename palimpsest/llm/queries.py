@@ -14,6 +14,7 @@ from .language_model import score_texts
 from .line_dedup import drop_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .personal import KINDS, personal_spans
 from .piece_encoding import encode_digests
 from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats
@@ -72,6 +73,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(noisy, F.col("vec_id") % 100 == 0)
 
 
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(read_documents(spark, sf_dir))
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    many = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *many, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
+
+
+def _of_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_documents(spark, sf_dir))
 
@@ -94,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_url_filters": op10_url_filters,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_personal": op12_personal,
     "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
