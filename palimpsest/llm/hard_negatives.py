@@ -34,7 +34,8 @@ BLOCK_ROWS = 4096
 ANCHORS_A_TASK = 4096
 #: A level's covering radius is BASE times that of the level below it.
 BASE = 1.3
-LEAF_ROWS = 32
+#: Rows of a leaf; a node whose children would have fewer on average is a leaf as well.
+LEAF_ROWS = 64
 #: Squared distances and scores are exact in doubles, and 100 times a score in a long, up to this squared norm.
 MOST_NORM = 2.0**50
 _ANY = (-(2**62), 2**62)
@@ -90,8 +91,8 @@ class CoverTree:
             here, own = space.at(rows), int(np.flatnonzero(rows == self.center[at])[0])
             self.radius[at] = float(here.gaps_to(own).max())
             if len(rows) > leaf_rows and self.radius[at] > 0:
-                # A net with a centre for every eighth row parts too little: such a node is verified as a whole.
-                centers, owner, near = net(here, own, self.radius[at] / base, len(rows) // 8)
+                # A net of smaller parts costs more than it skips: such a node is verified as a whole.
+                centers, owner, near = net(here, own, self.radius[at] / base, max(2, len(rows) // leaf_rows))
                 if near.max() <= self.radius[at] / base:
                     self.below[at] = np.arange(len(self.center), len(self.center) + len(centers))
                     for k, c in enumerate(centers):
@@ -107,7 +108,9 @@ class CoverTree:
     def best(self, query: np.ndarray, own: int, label: int, same: bool, windows: list[tuple[int, int]], k: int) -> tuple[list[list[tuple[int, int]]], int]:
         """For each window (from, to) the first k (score, id) within, highest first, ties by id; and how many rows were verified."""
         length = float(np.sqrt(query @ query))
-        known: dict[int, np.ndarray] = {}  # scores of leaves' rows, centres of children
+        least = min(low for low, _ in windows)
+        leaves: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # scores and ids of the rows that any window may take, first ones first
+        centers: dict[int, np.ndarray] = {}
         verified = 0
         out = []
         for low, high in windows:
@@ -118,29 +121,36 @@ class CoverTree:
                 if len(found) == k and -bound < found[-1][0]:
                     break
                 if self.below[node] is None:
-                    rows = self.rows[node]
-                    if node not in known:
-                        known[node] = self.points[rows] @ query
+                    if node not in leaves:
+                        rows = self.rows[node]
+                        score = self.points[rows] @ query
                         verified += len(rows)
-                    score = known[node]
-                    fits = np.flatnonzero((score >= low) & (score <= high) & ((self.labels[rows] == label) == same) & (self.ids[rows] != own))
-                    if len(fits) > k:
-                        first = np.lexsort((self.ids[rows[fits]], -score[fits]))[:k]
-                        fits = fits[first]
-                    more = zip(score[fits].astype(np.int64).tolist(), self.ids[rows[fits]].tolist(), strict=True)
-                    found = sorted([*found, *more], key=lambda x: (-x[0], x[1]))[:k]
+                        fits = np.flatnonzero((score >= least) & ((self.labels[rows] == label) == same) & (self.ids[rows] != own))
+                        score, ids = score[fits], self.ids[rows[fits]]
+                        first = np.lexsort((ids, -score))
+                        leaves[node] = score[first], ids[first]
+                    score, ids = leaves[node]
+                    a = int(np.searchsorted(-score, -high))
+                    b = min(a + k, int(np.searchsorted(-score, -low, side="right")))
+                    if b > a:
+                        more = zip(score[a:b].astype(np.int64).tolist(), ids[a:b].tolist(), strict=True)
+                        found = sorted([*found, *more], key=_first)[:k]
                     continue
                 kids = self.below[node]
-                if node not in known:
-                    known[node] = self.points[self.center[kids]] @ query
+                if node not in centers:
+                    centers[node] = self.points[self.center[kids]] @ query
                 reach = (self.radius[kids] + self.slack) * length + 1e-6
-                top = known[node] + reach
-                for i in np.flatnonzero((top >= low) & (known[node] - reach <= high)):
+                top = centers[node] + reach
+                for i in np.flatnonzero((top >= low) & (centers[node] - reach <= high)):
                     heapq.heappush(heap, (-min(float(top[i]), float(high)), int(kids[i])))
             out.append(found)
         return out, verified
 
 
+def _first(x: tuple[int, int]) -> tuple[int, int]:
+    return -x[0], x[1]
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     """A list column as rows of numbers; shorter rows end in zeros."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
