@@ -15,10 +15,9 @@ def iso_timestamp(c: Column, zoned: bool = False) -> Column:
 
 
 def _quoted(c: Column) -> Column:
-    escaped = c
-    for raw, out in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit(out))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """A text as a JSON string, control characters escaped; NULL stays NULL."""
+    whole = F.to_json(F.struct(c.alias("v")))  # {"v":"..."}
+    return F.when(c.isNotNull(), F.substr(whole, F.lit(6), F.length(whole) - 6))
 
 
 def audit_json(c: Column, kind: str) -> Column:
@@ -35,6 +34,8 @@ def audit_json(c: Column, kind: str) -> Column:
         return F.concat(F.lit('"'), iso_timestamp(c, zoned=kind == "timestamp"), F.lit('"'))
     if kind.startswith(("array", "map", "struct")):
         return F.to_json(c, {"ignoreNullFields": "false"})
+    if kind in ("float", "double"):  # JSON has no NaN and no infinity: these are strings
+        return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))
     return c.cast("string")
 
 
@@ -47,6 +48,8 @@ def audit_value(text: Column, kind: str) -> Column:
         return F.unhex(bare)
     if kind.startswith(("decimal", "date", "timestamp")):
         return bare.cast(kind)
+    if kind in ("float", "double"):
+        return F.replace(text, F.lit('"'), F.lit("")).cast(kind)
     if kind.startswith(("array", "map", "struct")):
         return F.from_json(text, kind)
     return text.cast(kind)

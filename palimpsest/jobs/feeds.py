@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.audit import apply_audited
 from ..operators.current import apply_none
 from ..operators.scd2 import apply_scd2
+from ..sources.tables import written
 from ..spec import AUDITED, NONE, SCD2, TableSpec
 
 FIELDS = ("event_type", "level", "props")
@@ -39,12 +40,29 @@ def feed(spark: SparkSession, sf_dir: str, days: bool = False) -> DataFrame:
     )
 
 
+def moving_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed with transfers among its rows: two tenants and a wrong one; every sixth row asks for a transfer, some of them for no tenant, some without naming the owner."""
+    f = feed(spark, sf_dir)
+    asks = (F.col("op") == "update") & (F.col("seq") % 6 == 1)
+    claimed = (F.floor(F.col("id").cast("long") / 10) % 2 + F.when(F.col("seq") % 50 == 7, 2).otherwise(0)).cast("string")
+    return f.withColumns({
+        "op": F.when(asks, "transfer").otherwise(F.col("op")),
+        "new_tenant_id": F.when(asks & (F.col("seq") % 35 != 1), (F.col("seq") % 3).cast("string")),
+        "tenant_id": F.when(~asks | (F.col("seq") % 4 != 1), claimed),
+    })
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_scd2(None, feed(spark, sf_dir), VERSIONED)["table"]
 
 
-def audited(spark: SparkSession, sf_dir: str, days: bool = False) -> dict[str, DataFrame]:
-    return apply_audited(None, feed(spark, sf_dir, days), AUDITED_SPEC)
+def audited(spark: SparkSession, sf_dir: str, days: bool = False, spec: TableSpec = AUDITED_SPEC) -> dict[str, DataFrame]:
+    return apply_audited(None, feed(spark, sf_dir, days), spec)
+
+
+def audited_once(spark: SparkSession, sf_dir: str, days: bool = False, spec: TableSpec = AUDITED_SPEC) -> dict[str, DataFrame]:
+    """As audited, for who reads both table and audit: the change log is written, and read for each."""
+    return apply_audited(None, feed(spark, sf_dir, days), spec, keep=lambda log: written(log, scratch(spark, "log")))
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +137,58 @@ WITH raw AS (
 DAYS_SQL = CHAIN_SQL.replace("ts AS change_ts", "date_trunc('day', ts) AS change_ts")
 
 
+#: The same over the feed with transfers: acceptance row by row, from the owner and the deletion so far.
+MOVES_SQL = (
+    CHAIN_SQL[: CHAIN_SQL.index("), flagged AS")].replace("WITH raw", "WITH RECURSIVE raw")
+    + """
+), numbered AS MATERIALIZED (
+    SELECT * EXCLUDE (op, tenant_id), CASE WHEN asks THEN 'transfer' ELSE op END AS op, CASE WHEN asks AND seq % 35 <> 1 THEN CAST(seq % 3 AS VARCHAR) END AS new_tenant_id,
+           CASE WHEN NOT asks OR seq % 4 <> 1 THEN CAST(CAST(id AS BIGINT) // 10 % 2 + CASE WHEN seq % 50 = 7 THEN 2 ELSE 0 END AS VARCHAR) END AS tenant_id,
+           row_number() OVER (PARTITION BY id ORDER BY change_ts, seq) AS n
+    FROM (SELECT *, op = 'update' AND seq % 6 = 1 AS asks FROM feed)
+), fold AS (
+    SELECT id, n, tenant_id AS owner, CAST(NULL AS VARCHAR) AS old_owner, false AS dead, CAST(NULL AS VARCHAR) AS reason FROM numbered WHERE n = 1
+    UNION ALL
+    SELECT id, n, CASE WHEN reason IS NULL AND op = 'transfer' THEN new_tenant_id ELSE owner END, owner, dead OR (reason IS NULL AND op = 'delete'), reason
+    FROM (SELECT b.id, b.n, b.op, b.new_tenant_id, f.owner, f.dead,
+                 CASE WHEN b.op = 'create' THEN 'exists'
+                      WHEN b.op = 'transfer' THEN CASE WHEN b.new_tenant_id IS NULL THEN 'no tenant' WHEN b.tenant_id <> f.owner THEN 'wrong tenant' WHEN f.dead THEN 'deleted' WHEN b.new_tenant_id = f.owner THEN 'same tenant' END
+                      WHEN b.tenant_id <> f.owner THEN 'wrong tenant' WHEN f.dead THEN 'deleted' END AS reason
+          FROM fold f JOIN numbered b ON b.id = f.id AND b.n = f.n + 1)
+), judged AS MATERIALIZED (
+    SELECT numbered.*, owner, old_owner, reason FROM fold JOIN numbered USING (id, n)
+), states AS (
+    SELECT id, op, change_ts, seq, owner, old_owner, user_id,
+           last_value(CASE WHEN op = 'create' OR op = 'update' AND event_type <> 'click' THEN event_type END IGNORE NULLS) OVER w AS event_type,
+           last_value(CASE WHEN op IN ('create', 'update') THEN level END IGNORE NULLS) OVER w AS level,
+           last_value(CASE WHEN op = 'create' OR op = 'update' AND event_type <> 'click' THEN props END IGNORE NULLS) OVER w AS props
+    FROM judged WHERE reason IS NULL WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq)
+), accepted AS MATERIALIZED (
+    SELECT *, lag(event_type) OVER w AS old_event_type, lag(level) OVER w AS old_level, lag(props) OVER w AS old_props FROM states WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq)
+), versions AS (
+    SELECT id, event_type, level, props, owner AS tenant_id, change_ts AS valid_from, lead(change_ts) OVER w AS valid_to, CAST(row_number() OVER w AS INTEGER) AS version,
+           last_value(CASE WHEN op IN ('update', 'transfer') THEN user_id END IGNORE NULLS) OVER w AS updated_by, CASE WHEN op = 'delete' THEN change_ts END AS deleted_at
+    FROM accepted WHERE op <> 'update' OR event_type <> old_event_type OR level <> old_level OR props <> old_props WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq)
+), current_state AS (
+    SELECT id, event_type, level, props, owner AS tenant_id, last_value(CASE WHEN op <> 'delete' THEN change_ts END IGNORE NULLS) OVER w AS updated_at,
+           last_value(CASE WHEN op IN ('update', 'transfer') THEN user_id END IGNORE NULLS) OVER w AS updated_by, CASE WHEN op = 'delete' THEN change_ts END AS deleted_at
+    FROM accepted WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq) QUALIFY row_number() OVER (PARTITION BY id ORDER BY change_ts DESC, seq DESC) = 1
+), entries AS (
+    SELECT *, 'event_type' AS field_name, '"' || old_event_type || '"' AS old_value, '"' || event_type || '"' AS new_value, event_type IS DISTINCT FROM old_event_type AS differs FROM accepted
+    UNION ALL SELECT *, 'level', CAST(old_level AS VARCHAR), CAST(level AS VARCHAR), level IS DISTINCT FROM old_level FROM accepted
+    UNION ALL SELECT *, 'props', '"' || replace(old_props, '"', '\\"') || '"', '"' || replace(props, '"', '\\"') || '"', props IS DISTINCT FROM old_props FROM accepted
+), audit AS MATERIALIZED (
+    SELECT id AS record_id, owner AS tenant_id, field_name, CASE WHEN op = 'update' THEN old_value END AS old_value, new_value, CASE op WHEN 'create' THEN 'INSERT' ELSE 'UPDATE' END AS operation, change_ts AS changed_at, user_id AS changed_by
+    FROM entries WHERE op = 'create' OR op = 'update' AND differs
+    UNION ALL SELECT id, owner, 'tenant_id', '"' || old_owner || '"', '"' || owner || '"', 'TRANSFER', change_ts, user_id FROM accepted WHERE op = 'transfer'
+    UNION ALL SELECT id, owner, 'deleted_at', NULL,
+           '"' || CASE WHEN CAST(date_part('microseconds', change_ts) AS BIGINT) % 1000000 = 0 THEN strftime(change_ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(change_ts, '%Y-%m-%dT%H:%M:%S.%f') END || '"', 'DELETE', change_ts, user_id
+    FROM accepted WHERE op = 'delete'
+)
+"""
+)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, for queries that write tables."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,7 @@ from ..sources import objects as O
 from ..sources import tables as S
 from ..streaming import feeds as R
 from ..spec import AUDITED, NONE, TableSpec
-from .feeds import AUDITED_SPEC, CHAIN_SQL, CURRENT, DAYS_SQL, FIELDS, VERSIONED, audited, current, feed, query_log, scratch, table, versions
+from .feeds import AUDITED_SPEC, CHAIN_SQL, CURRENT, DAYS_SQL, FIELDS, MOVES_SQL, VERSIONED, audited, audited_once, current, feed, moving_feed, query_log, scratch, table, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,7 +90,7 @@ on_table("like_literal", "events", """SELECT event_id FROM events WHERE props LI
 query("apply_none", "SELECT * FROM current_state", chain=True)(lambda s, d: current(s, d))
 query("apply_scd2", "SELECT * FROM versions", chain=True)(lambda s, d: versions(s, d))
 query("scd2_suppress_noop", "SELECT (SELECT count(*) FROM accepted) - (SELECT count(*) FROM kept) AS suppressed", chain=True)(
-    lambda s, d: C.with_states(C.judged(C.with_base(None, feed(s, d), VERSIONED), VERSIONED).where("reason is null"), VERSIONED).agg(F.count(F.when((F.col("op") == "update") & ~F.col("changed"), 1)).alias("suppressed"))
+    lambda s, d: C.united(C.judged(None, feed(s, d), VERSIONED), lambda r: C.with_states(r.where("reason is null"), VERSIONED)).agg(F.count(F.when((F.col("op") == "update") & ~F.col("changed"), 1)).alias("suppressed"))
 )
 on_versions("scd2_delete", "SELECT id, version, deleted_at, deleted_by, updated_by FROM versions WHERE deleted_at IS NOT NULL", lambda v: v.where("deleted_at is not null").select("id", "version", "deleted_at", "deleted_by", "updated_by"))
 query("apply_audited", f"SELECT {AUDIT_COLUMNS} FROM audit", chain=True)(lambda s, d: audited(s, d)["audit"].select(*_AUDIT))
@@ -105,7 +105,7 @@ def _in_two_batches(s: SparkSession, d: str) -> DataFrame:
 
 
 def _transfers(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    v = versions(s, d)
+    v = S.written(versions(s, d), scratch(s, "versions"))
     requests = v.select("id").distinct().select("id", F.lit("4").alias("new_tenant_id"), F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz").alias("change_ts"), F.lit("9").alias("user_id"))
     return H.transfer_ownership(v, requests, VERSIONED)
 
@@ -142,7 +142,7 @@ on_audit("field_history", "SELECT record_id, old_value, new_value, changed_at FR
 on_audit("changes_by_user", f"SELECT {AUDIT_COLUMNS} FROM audit WHERE changed_by = '3' AND changed_at BETWEEN {FROM_} AND {TO} ORDER BY changed_at DESC, record_id, field_name LIMIT 100", lambda a: A.changes_by_user(a, "3", T1, T2).select(*_AUDIT))
 on_audit("changes_in_range", f"SELECT {AUDIT_COLUMNS} FROM audit WHERE changed_at BETWEEN {FROM_} AND {TO} AND operation = 'UPDATE'", lambda a: A.changes_in_range(a, T1, T2, "UPDATE").select(*_AUDIT))
 query("reconstruct_at", f"SELECT id, {USER} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_ts DESC, seq DESC) AS rn FROM accepted WHERE change_ts <= {AT}) WHERE rn = 1 AND op <> 'delete'", chain=True)(
-    lambda s, d: (lambda r: A.reconstruct_at(r["table"], r["audit"], NOW, AUDITED_SPEC))(audited(s, d))
+    lambda s, d: (lambda r: A.reconstruct_at(r["table"], r["audit"], NOW, AUDITED_SPEC))(audited_once(s, d))
 )
 on_audit("change_frequency", "SELECT record_id, field_name, count(*) AS n_changes FROM audit GROUP BY ALL", lambda a: A.change_frequency(a, by_field=True))
 on_audit("most_changed_fields", "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY record_id ORDER BY n_changes DESC, field_name) AS INTEGER) AS rank FROM (SELECT record_id, field_name, count(*) AS n_changes FROM audit GROUP BY ALL)) WHERE rank <= 2", lambda a: A.most_changed_fields(a, 2))
@@ -235,9 +235,15 @@ on_table("add_temporal", "customer", "SELECT c_custkey, 'acme' AS tenant_id, 1 A
 query("audit_to_scd2", f"SELECT id, {USER}, valid_from, valid_to, version FROM (SELECT id, {USER}, change_ts AS valid_from, lead(change_ts) OVER w AS valid_to, CAST(row_number() OVER w AS INTEGER) AS version FROM kept WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq))", chain=True)(lambda s, d: _from_audit(audited(s, d)["audit"]))
 
 
-def _from_audit(audit: DataFrame) -> DataFrame:
+def _rebuilt(audit: DataFrame) -> DataFrame:
+    """Versions from an audit trail, which is a stored table."""
     kinds = {"event_type": "string", "level": "bigint", "props": "string"}
-    return H.apply_scd2(None, M.audit_to_feed(audit, AUDITED_SPEC, kinds), VERSIONED)["table"].select("id", *FIELDS, "valid_from", "valid_to", "version")
+    stored = S.written(audit, scratch(audit.sparkSession, "audit"))
+    return H.apply_scd2(None, M.audit_to_feed(stored, AUDITED_SPEC, kinds), VERSIONED)["table"]
+
+
+def _from_audit(audit: DataFrame) -> DataFrame:
+    return _rebuilt(audit).select("id", *FIELDS, "valid_from", "valid_to", "version")
 
 
 on_versions("scd2_to_audited", f"SELECT id, {USER}, deleted_at FROM versions WHERE valid_to IS NULL", lambda v: M.scd2_to_audited(v, VERSIONED)["table"].select("id", *FIELDS, "deleted_at"))
@@ -259,14 +265,14 @@ on_versions("check_scd2_timeline", """
     WHERE n <> version OR nv IS NOT NULL AND valid_to IS NULL OR nv IS NULL AND valid_to IS NOT NULL OR nv IS NOT NULL AND valid_to <> nf OR coalesce(after, false)""",
             lambda v: V.check_scd2_timeline(v.where("version != 6").withColumns({"valid_to": F.when(F.col("version") == 3, None).when(F.col("version") == 4, F.col("valid_from") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("valid_to")), "deleted_at": F.when(F.col("version") == 1, F.col("valid_from")).otherwise(F.col("deleted_at"))})))
 query("check_audit_consistency", "SELECT id AS record_id, 'level' AS field_name, 'last value' AS problem FROM current_state WHERE level > 3", chain=True)(
-    lambda s, d: (lambda r: V.check_audit_consistency(r["table"].withColumn("level", F.when(F.col("level") > 3, F.col("level") + 1).otherwise(F.col("level"))), r["audit"], AUDITED_SPEC))(audited(s, d))
+    lambda s, d: (lambda r: V.check_audit_consistency(r["table"].withColumn("level", F.when(F.col("level") > 3, F.col("level") + 1).otherwise(F.col("level"))), r["audit"], AUDITED_SPEC))(audited_once(s, d))
 )
 on_table("tenant_leaks", "customer", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (1, 2, 3)", lambda t: V.tenant_leaks(t, [1, 2, 3], "c_nationkey").select("c_custkey"))
 
 
 # The same instant for many changes of a record.
 def on_days(name: str, sql: str, f: Callable[[dict[str, DataFrame]], DataFrame]) -> None:
-    QUERIES[name] = lambda s, d: f(audited(s, d, days=True))
+    QUERIES[name] = lambda s, d: f(audited_once(s, d, days=True))
     ORACLE_SQL[name] = DAYS_SQL + sql
 
 
@@ -283,7 +289,7 @@ query("apply_none_hard_delete", f"SELECT id, {USER}, tenant_id FROM current_stat
 
 
 def _audit_transfers(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    c = current(s, d)
+    c = S.written(current(s, d), scratch(s, "current"))
     requests = c.select("id", F.when(F.col("level") != 2, F.lit("4")).alias("new_tenant_id"), F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz").alias("change_ts"), F.lit("9").alias("user_id"))
     return A.audit_transfer(c, requests, AUDITED_SPEC)
 
@@ -297,6 +303,48 @@ query("add_audit", """SELECT CAST(c_custkey AS VARCHAR) AS record_id, 'c_name' A
     lambda s, d: M.add_audit(table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_name", "c_nationkey"), TableSpec("customers", ("c_name", "c_nationkey"), AUDITED), T1, "importer", "acme")["audit"].select("record_id", "field_name", "new_value")
 )
 
+query("reconstruct_at_hard_delete", f"SELECT id, {USER} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_ts DESC, seq DESC) AS rn FROM accepted WHERE change_ts <= {AT}) WHERE rn = 1 AND op <> 'delete'", chain=True)(
+    lambda s, d: (lambda r: A.reconstruct_at(r["table"], r["audit"], NOW, _HARD))(audited_once(s, d, spec=_HARD))
+)
+
+
+# Transfers among the feed's rows.
+def on_moves(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda s, d: f(moving_feed(s, d))
+    ORACLE_SQL[name] = MOVES_SQL + sql
+
+
+_VERSION = ["id", *FIELDS, "tenant_id", "valid_from", "valid_to", "version", "updated_by", "deleted_at"]
+on_moves("apply_scd2_transfers", f"SELECT {', '.join(_VERSION)} FROM versions", lambda f: H.apply_scd2(None, f, VERSIONED)["table"].select(*_VERSION))
+on_moves("apply_none_transfers", "SELECT * FROM current_state", lambda f: U.apply_none(None, f, CURRENT)["table"].drop("created_at", "created_by", "deleted_by"))
+on_moves("apply_audited_transfers", f"SELECT {AUDIT_COLUMNS} FROM audit", lambda f: A.apply_audited(None, f, AUDITED_SPEC)["audit"].select(*_AUDIT))
+on_moves("rejected_transfers", "SELECT id, op, change_ts, seq, tenant_id, new_tenant_id, reason FROM judged WHERE reason IS NOT NULL", lambda f: H.apply_scd2(None, f, VERSIONED)["rejects"])
+on_moves("audit_to_scd2_transfers", f"SELECT {', '.join(_VERSION)} FROM versions", lambda f: _rebuilt(A.apply_audited(None, f, AUDITED_SPEC)["audit"]).select(*_VERSION))
+on_moves("scd2_to_audited_transfers", f"SELECT {AUDIT_COLUMNS} FROM audit", lambda f: M.scd2_to_audited(H.apply_scd2(None, f, VERSIONED)["table"], VERSIONED)["audit"].select(*_AUDIT))
+on_moves("trail_round_trip_transfers", f"SELECT {AUDIT_COLUMNS} FROM audit", lambda f: M.scd2_to_audited(_rebuilt(A.apply_audited(None, f, AUDITED_SPEC)["audit"]), VERSIONED)["audit"].select(*_AUDIT))
+on_moves("reconstruct_at_transfers", f"SELECT id, {USER}, owner AS tenant_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY change_ts DESC, seq DESC) AS rn FROM accepted WHERE change_ts <= {AT}) WHERE rn = 1 AND op <> 'delete'",
+         lambda f: (lambda r: A.reconstruct_at(r["table"], r["audit"], NOW, AUDITED_SPEC, with_tenant=True))(A.apply_audited(None, f, AUDITED_SPEC, keep=lambda log: S.written(log, scratch(f.sparkSession, "log")))))
+
+
+def _moved_in_batches(f: DataFrame) -> DataFrame:
+    """Transfers on both sides of a cut between batches."""
+    base = S.written(H.apply_scd2(None, f.where(F.col("change_ts") <= F.lit(NOW)), VERSIONED)["table"], scratch(f.sparkSession, "versions"))
+    return H.apply_scd2(base, f.where(F.col("change_ts") > F.lit(NOW)), VERSIONED)["table"].select(*_VERSION)
+
+
+on_moves("apply_scd2_transfers_batches", f"SELECT {', '.join(_VERSION)} FROM versions", _moved_in_batches)
+
+
+def _late(f: DataFrame) -> DataFrame:
+    """The later half first: what is then older than a record's last change is a reject, in a table without versions too."""
+    base = U.apply_none(None, f.where(F.col("change_ts") > F.lit(NOW)).withColumn("op", F.when(F.col("rn") == 1, "create").otherwise("update")), CURRENT)["table"]
+    return U.apply_none(base, f.where(F.col("change_ts") <= F.lit(NOW)), CURRENT)["rejects"].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("rejected_late", f"""SELECT CASE WHEN known THEN 'late' WHEN op = 'create' AND n > 1 THEN 'exists' WHEN NOT tenant_ok THEN 'wrong tenant' ELSE 'deleted' END AS reason, count(*) AS n
+    FROM (SELECT j.*, k.id IS NOT NULL AS known, row_number() OVER (PARTITION BY j.id ORDER BY change_ts, seq) AS n FROM judged j LEFT JOIN (SELECT DISTINCT id FROM feed WHERE change_ts > {AT}) k ON j.id = k.id WHERE change_ts <= {AT})
+    WHERE known OR reason IS NOT NULL GROUP BY 1""", chain=True)(lambda s, d: _late(feed(s, d).withColumn("rn", F.row_number().over(Window.partitionBy(F.col("change_ts") > F.lit(NOW), "id").orderBy("change_ts", "seq")))))
+
 # Objects: the given tables' own files.
 _NAMES = ", ".join(f"('{n}.parquet')" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
 query("object_inventory", f"SELECT key, true AS has_size FROM (VALUES {_NAMES}) t(key)")(lambda s, d: O.object_inventory(s, d).select("key", (F.col("size") > 0).alias("has_size")))

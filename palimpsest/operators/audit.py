@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonval import audit_json, audit_value, iso_timestamp
 from ..spec import AUDITED, TableSpec, register_strategy
-from .changes import stable_uuid
-from .current import accepted_chain, state_of
+from .changes import rejected, stable_uuid
+from .current import change_log, state_of
 from .filters import quoted
+from .scd2 import transfer_feed
 
 
 def audit_rows(chain: DataFrame, spec: TableSpec) -> DataFrame:
@@ -19,7 +21,7 @@ def audit_rows(chain: DataFrame, spec: TableSpec) -> DataFrame:
 
     Fields are compared before anything is exploded. A soft delete has one row for deleted_at; a hard
     one has a DELETE row for each user field. Rows of one change share a transaction_id; `seq` is the
-    change's place among those of one instant.
+    change's place among those of one instant. A transfer has one TRANSFER row, under the new tenant.
     """
     kinds = dict(chain.dtypes)
     entry = lambda f, old, new: F.struct(F.lit(f).alias("field_name"), old.alias("old_value"), new.alias("new_value"))
@@ -32,11 +34,16 @@ def audit_rows(chain: DataFrame, spec: TableSpec) -> DataFrame:
         delete = F.array(entry("deleted_at", none, F.concat(F.lit('"'), iso_timestamp(F.col("change_ts")), F.lit('"'))))
     else:
         delete = F.array(*(entry(f, new[f], none) for f in spec.user_fields))
-    rows = chain.where(F.col("op").isin("create", "update", "delete")).select(
+    moved = F.array()
+    if spec.multi_tenant:
+        kind = kinds["own_tenant"]
+        moved = F.array(entry(spec.tenant_field, audit_json(F.col("old_tenant"), kind), audit_json(F.col("own_tenant"), kind)))
+    op = F.col("op")
+    rows = chain.where(op.isin("create", "update", "delete", *(("transfer",) if spec.multi_tenant else ()))).select(
         F.col(spec.key).alias("record_id"), *((F.col("own_tenant").alias(spec.tenant_field),) if spec.multi_tenant else ()),
-        F.when(F.col("op") == "create", "INSERT").when(F.col("op") == "update", "UPDATE").otherwise("DELETE").alias("operation"),
+        F.when(op == "create", "INSERT").when(op == "update", "UPDATE").when(op == "transfer", "TRANSFER").otherwise("DELETE").alias("operation"),
         F.col("change_ts").alias("changed_at"), F.col("user_id").alias("changed_by"), "seq",
-        F.explode(F.when(F.col("op") == "create", insert).when(F.col("op") == "update", update).otherwise(delete)).alias("e"),
+        F.explode(F.when(op == "create", insert).when(op == "update", update).when(op == "transfer", moved).otherwise(delete) if spec.multi_tenant else F.when(op == "create", insert).when(op == "update", update).otherwise(delete)).alias("e"),
     )
     tenant = (spec.tenant_field,) if spec.multi_tenant else ()
     return rows.select(
@@ -45,31 +52,20 @@ def audit_rows(chain: DataFrame, spec: TableSpec) -> DataFrame:
     )
 
 
-def apply_audited(base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> dict[str, DataFrame]:
-    """Apply a feed: {"table": current state, "audit": new audit rows, "rejects": ...}."""
-    chain, rejects = accepted_chain(base, feed, spec)
-    return {"table": state_of(chain, base, feed, spec), "audit": audit_rows(chain, spec), "rejects": rejects}
+def apply_audited(base: DataFrame | None, feed: DataFrame, spec: TableSpec, keep: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Apply a feed: {"table": current state, "audit": new audit rows, "rejects": ...}; keep writes the change log, where all three are read."""
+    log = change_log(base, feed, spec)
+    log = keep(log) if keep else log
+    return {"table": state_of(log, base, feed, spec), "audit": audit_rows(log.where("ok"), spec), "rejects": rejected(log, feed, spec)}
 
 
 register_strategy(AUDITED, apply_audited)
 
 
 def audit_transfer(table: DataFrame, requests: DataFrame, spec: TableSpec) -> dict[str, DataFrame]:
-    """Give records to other tenants: the new table, one TRANSFER row each under the new tenant, and rejects."""
-    r = requests.select(F.col(spec.key), "new_tenant_id", F.col("change_ts").alias("at"), F.col("user_id").alias("by"))
-    joined = table.join(r, spec.key, "left")
-    good = F.col("new_tenant_id").isNotNull() & (F.col("new_tenant_id") != F.col(spec.tenant_field))
-    if spec.soft_delete:
-        good = good & F.col("deleted_at").isNull()
-    kind = dict(table.dtypes)[spec.tenant_field]
-    audit = joined.where(good).select(
-        stable_uuid(F.col(spec.key), F.lit(spec.tenant_field), F.col("at"), F.lit("TRANSFER")).alias("audit_id"), F.col(spec.key).alias("record_id"), F.col("new_tenant_id").alias(spec.tenant_field),
-        F.lit(spec.tenant_field).alias("field_name"), audit_json(F.col(spec.tenant_field), kind).alias("old_value"), audit_json(F.col("new_tenant_id"), kind).alias("new_value"),
-        F.lit("TRANSFER").alias("operation"), F.col("at").alias("changed_at"), F.col("by").alias("changed_by"), stable_uuid(F.col(spec.key), F.col("at")).alias("transaction_id"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("long").alias("seq"),
-    )
-    moved = joined.withColumns({spec.tenant_field: F.when(good, F.col("new_tenant_id")).otherwise(F.col(spec.tenant_field)), "updated_at": F.when(good, F.col("at")).otherwise(F.col("updated_at")), "updated_by": F.when(good, F.coalesce("by", "updated_by")).otherwise(F.col("updated_by"))})
-    rejects = r.join(table.withColumn("_known", F.lit(True)), spec.key, "left").withColumn("reason", F.when(F.col("_known").isNull(), "not found").when(F.col("new_tenant_id").isNull(), "no tenant").when(F.col("deleted_at").isNotNull() if spec.soft_delete else F.lit(False), "deleted").when(F.col(spec.tenant_field) == F.col("new_tenant_id"), "same tenant")).where("reason is not null")
-    return {"table": moved.select(*table.columns), "audit": audit, "rejects": rejects.select(spec.key, "new_tenant_id", "reason")}
+    """Give records to other tenants: the new table, a TRANSFER row each under the new tenant, and rejects; requests as for transfer_ownership."""
+    out = apply_audited(table, transfer_feed(table, requests, spec), spec)
+    return {"table": out["table"].select(*table.columns), "audit": out["audit"], "rejects": out["rejects"].select(spec.key, "new_tenant_id", "reason")}
 
 
 def audit_history(audit: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -96,20 +92,25 @@ def changes_in_range(audit: DataFrame, start: Any, end: Any, operation: str | No
     return out.orderBy("changed_at", "record_id", "field_name")
 
 
-def reconstruct_at(table: DataFrame, audit: DataFrame, instant: Any, spec: TableSpec) -> DataFrame:
-    """Every record's user fields at the instant: of each field changed later, the earliest later change's old value (by instant, then seq).
+def reconstruct_at(table: DataFrame, audit: DataFrame, instant: Any, spec: TableSpec, with_tenant: bool = False) -> DataFrame:
+    """Every record's user fields (and its tenant) at the instant: of each field changed later, the earliest later change's old value (by instant, then seq).
 
-    Records created after the instant are left out; so are those deleted by then.
+    Records created after the instant are left out; so are those deleted by then. Without soft delete, records that were
+    deleted later are there as well: their DELETE rows hold every field, and a record whose first later
+    entry is not its INSERT was there at the instant.
     """
     t = F.lit(instant)
-    later = audit.where(F.col("changed_at") > t)
-    undo = later.groupBy("record_id", "field_name").agg(F.min_by(F.struct("old_value"), F.struct("changed_at", "seq", "audit_id")).alias("o"))
-    wide = undo.groupBy("record_id").pivot("field_name", [*spec.user_fields, "deleted_at"]).agg(F.first("o"))
-    joined = table.where(F.col("created_at") <= t).join(wide.select(F.col("record_id").alias(spec.key), *(F.col(f).alias(f"undo_{f}") for f in (*spec.user_fields, "deleted_at"))), spec.key, "left")
-    kinds = dict(table.dtypes)
+    place = F.struct("changed_at", "seq", "audit_id")
+    fields = [*spec.user_fields, *(("deleted_at",) if spec.soft_delete else ()), *((spec.tenant_field,) if with_tenant else ())]
+    undo = audit.where(F.col("changed_at") > t).groupBy("record_id", "field_name").agg(F.min(F.struct(place.alias("place"), "operation", "old_value")).alias("o"))
+    wide = undo.groupBy(F.col("record_id").alias(spec.key)).agg(F.min_by("o.operation", "o.place").alias("next_operation"), *(F.first(F.when(F.col("field_name") == f, F.col("o")), ignorenulls=True).alias(f"undo_{f}") for f in fields))
+    there = F.col("created_at") <= t
     if spec.soft_delete:
-        joined = joined.where(F.col("deleted_at").isNull() | (F.col("deleted_at") > t))
-    return joined.select(spec.key, *(F.when(F.col(f"undo_{f}").isNotNull(), audit_value(F.col(f"undo_{f}.old_value"), kinds[f])).otherwise(quoted(f)).alias(f) for f in spec.user_fields))
+        joined = table.where(there).join(wide, spec.key, "left").where(F.col("deleted_at").isNull() | (F.col("deleted_at") > t))
+    else:
+        joined = table.join(wide, spec.key, "full").where(F.coalesce(F.col("next_operation") != "INSERT", there))
+    kinds = dict(table.dtypes)
+    return joined.select(spec.key, *(F.when(F.col(f"undo_{f}").isNotNull(), audit_value(F.col(f"undo_{f}.old_value"), kinds[f])).otherwise(quoted(f)).alias(f) for f in fields if f != "deleted_at"))
 
 
 def change_frequency(audit: DataFrame, by_field: bool = False) -> DataFrame:

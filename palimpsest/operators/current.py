@@ -2,48 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import NONE, TableSpec, register_strategy
-from .changes import id_window, judged, rejected, with_base, with_states
+from .changes import id_window, judged, rejected, united, with_states
 from .filters import condition, quoted
 
 
-def accepted_chain(base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows with states and managed columns as they stand after each row, rejects)."""
-    rows = judged(with_base(base, feed, spec), spec)
-    chain = with_states(rows.where("reason is null"), spec)
-    w = id_window(spec)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_base = F.col("op") == "base"
-
-    def last(of_base: str, when: Column, value: str) -> Column:
-        return F.last(F.when(is_base, F.struct(F.col(of_base).alias("v"))).when(when, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(upto)["v"]
-
-    by_user = F.col("op").isin("update", "restore") & F.col("user_id").isNotNull()
-    gone = F.col("op").isin("delete", "restore", "create")
-    chain = chain.withColumns(
-        {
-            "created_at": F.first(F.when(is_base, F.col("was_created_at")).otherwise(F.col("change_ts"))).over(upto),
-            "created_by": F.first(F.when(is_base, F.struct(F.col("was_created_by").alias("v"))).otherwise(F.struct(F.col("user_id").alias("v")))).over(upto)["v"],
-            "updated_at": last("was_updated_at", F.col("op").isin("create", "update", "restore"), "change_ts"),
-            "updated_by": last("was_updated_by", by_user, "user_id"),
-            "deleted_at": F.last(F.when(is_base, F.struct(F.col("was_deleted_at").alias("v"))).when(gone, F.struct(F.when(F.col("op") == "delete", F.col("change_ts")).alias("v"))), ignorenulls=True).over(upto)["v"],
-            "deleted_by": F.last(F.when(is_base, F.struct(F.col("was_deleted_by").alias("v"))).when(gone, F.struct(F.when(F.col("op") == "delete", F.col("user_id")).alias("v"))), ignorenulls=True).over(upto)["v"],
-        }
-    )
-    if spec.multi_tenant:
-        chain = chain.withColumn("own_tenant", F.first(spec.tenant_field).over(upto))
-    return chain, rejected(rows, spec)
-
-
-def state_of(chain: DataFrame, base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> DataFrame:
-    """The last state of each record of the chain, and the base's untouched records."""
-    last = chain.withColumn("later", F.lead("op").over(id_window(spec))).where("later is null")  # in the order that the chain is sorted by
+def change_log(base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> DataFrame:
+    """The feed's rows and the touched base rows: `ok`, `reason`, and of accepted ones states and managed columns as they stand after each, and `last`.
+
+    One exchange by id makes table, audit entries and rejects; who needs several of them may keep the log and read it for each.
+    Rejected rows are a partition of their own in every window, so a filter on `ok` goes below the windows.
+    """
+
+    def managed(rows: DataFrame) -> DataFrame:
+        chain = with_states(rows.withColumn("ok", F.col("reason").isNull()), spec, "ok")
+        w = id_window(spec, "ok")
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        is_base = F.col("op") == "base"
+
+        def last(of_base: str, when: Column, value: str) -> Column:
+            return F.last(F.when(is_base, F.struct(F.col(of_base).alias("v"))).when(when, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(upto)["v"]
+
+        by_user = F.col("op").isin("update", "transfer", "restore") & F.col("user_id").isNotNull()
+        gone = F.col("op").isin("delete", "restore", "create")
+        return chain.withColumns(
+            {
+                "created_at": F.first(F.when(is_base, F.col("was_created_at")).otherwise(F.col("change_ts"))).over(upto),
+                "created_by": F.first(F.when(is_base, F.struct(F.col("was_created_by").alias("v"))).otherwise(F.struct(F.col("user_id").alias("v")))).over(upto)["v"],
+                "updated_at": last("was_updated_at", F.col("op").isin("create", "update", "transfer", "restore"), "change_ts"),
+                "updated_by": last("was_updated_by", by_user, "user_id"),
+                "deleted_at": F.last(F.when(is_base, F.struct(F.col("was_deleted_at").alias("v"))).when(gone, F.struct(F.when(F.col("op") == "delete", F.col("change_ts")).alias("v"))), ignorenulls=True).over(upto)["v"],
+                "deleted_by": F.last(F.when(is_base, F.struct(F.col("was_deleted_by").alias("v"))).when(gone, F.struct(F.when(F.col("op") == "delete", F.col("user_id")).alias("v"))), ignorenulls=True).over(upto)["v"],
+                "last": F.lead("op").over(w).isNull(),
+            }
+        )
+
+    return united(judged(base, feed, spec), managed)
+
+
+def state_of(log: DataFrame, base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> DataFrame:
+    """The last state of each record of the log, and the base's untouched records."""
+    last = log.where(F.col("ok") & F.col("last"))
     if not spec.soft_delete:  # a hard delete removes the record
         last = last.where("deleted_at is null")
     built = last.select(
@@ -55,10 +60,11 @@ def state_of(chain: DataFrame, base: DataFrame | None, feed: DataFrame, spec: Ta
     return built.unionByName(base.join(feed.select(spec.key).distinct(), spec.key, "left_anti").select(*built.columns))
 
 
-def apply_none(base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> dict[str, DataFrame]:
-    """Apply a feed to a current-state table: {"table": ..., "rejects": ...}."""
-    chain, rejects = accepted_chain(base, feed, spec)
-    return {"table": state_of(chain, base, feed, spec), "rejects": rejects}
+def apply_none(base: DataFrame | None, feed: DataFrame, spec: TableSpec, keep: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Apply a feed to a current-state table: {"table": ..., "rejects": ...}; keep writes the change log, where both are read."""
+    log = change_log(base, feed, spec)
+    log = keep(log) if keep else log
+    return {"table": state_of(log, base, feed, spec), "rejects": rejected(log, feed, spec)}
 
 
 register_strategy(NONE, apply_none)

@@ -64,37 +64,51 @@ def add_audit(df: DataFrame, spec: TableSpec, instant: Any, user: str | None = N
     """Give an existing table the audited form: its columns, and an audit trail that starts with an INSERT row for each field as it stands."""
     table = add_temporal(df, spec, instant, backfill_tenant)
     chain = table.select(
-        spec.key, F.lit("create").alias("op"), F.lit(instant).alias("change_ts"), F.lit(0).cast("long").alias("seq"), F.lit(user).cast("string").alias("user_id"), *((F.col(spec.tenant_field).alias("own_tenant"),) if spec.multi_tenant else ()),
+        spec.key, F.lit("create").alias("op"), F.lit(instant).alias("change_ts"), F.lit(0).cast("long").alias("seq"), F.lit(user).cast("string").alias("user_id"), *((F.col(spec.tenant_field).alias("own_tenant"), F.col(spec.tenant_field).alias("old_tenant")) if spec.multi_tenant else ()),
         *(quoted(f).alias(f"new_{f}") for f in spec.user_fields), *(F.lit(None).cast(table.schema[f].dataType).alias(f"old_{f}") for f in spec.user_fields),
     )
     return {"table": table, "audit": audit_rows(chain, spec)}
 
 
 def audit_to_feed(audit: DataFrame, spec: TableSpec, kinds: dict[str, str]) -> DataFrame:
-    """The change feed that an audit trail records: one row for each transaction."""
-    wide = audit.groupBy("record_id", "changed_at", "seq", "transaction_id", "changed_by", "operation", *((spec.tenant_field,) if spec.multi_tenant else ())).pivot("field_name", [*spec.user_fields]).agg(F.first(F.struct("new_value")))
-    sets = F.filter(F.array(*(F.when(F.col(f).isNotNull(), F.lit(f)) for f in spec.user_fields)), lambda x: x.isNotNull())
-    op = F.when(F.col("operation") == "INSERT", "create").when(F.col("operation") == "DELETE", "delete").otherwise("update")
+    """The change feed that an audit trail records: one row for each transaction; of a transfer with the tenants before and after it."""
+    tenant = (spec.tenant_field,) if spec.multi_tenant else ()
+    value = lambda f: F.first(F.when(F.col("field_name") == f, F.struct("old_value", "new_value")), ignorenulls=True).alias(f"_{f}")
+    wide = audit.groupBy("record_id", "changed_at", "seq", "transaction_id", "changed_by", "operation", *tenant).agg(*(value(f) for f in (*spec.user_fields, *tenant)))
+    sets = F.filter(F.array(*(F.when(F.col(f"_{f}").isNotNull(), F.lit(f)) for f in spec.user_fields)), lambda x: x.isNotNull())
+    operation = F.col("operation")
+    op = F.when(operation == "INSERT", "create").when(operation == "DELETE", "delete").when(operation == "TRANSFER", "transfer").otherwise("update")
+    owner: tuple[Column, ...] = ()
+    if tenant:
+        kind, moved = dict(audit.dtypes)[spec.tenant_field], F.col(f"_{spec.tenant_field}")
+        owner = (F.when(operation == "TRANSFER", audit_value(moved["old_value"], kind)).otherwise(F.col(spec.tenant_field)).alias(spec.tenant_field), audit_value(moved["new_value"], kind).alias("new_tenant_id"))
     return wide.select(
-        F.col("record_id").alias(spec.key), op.alias("op"), F.col("changed_at").alias("change_ts"), "seq", *((spec.tenant_field,) if spec.multi_tenant else ()),
-        F.col("changed_by").alias("user_id"), *(audit_value(F.col(f)["new_value"], kinds[f]).alias(f) for f in spec.user_fields), sets.alias("set_fields"),
+        F.col("record_id").alias(spec.key), op.alias("op"), F.col("changed_at").alias("change_ts"), "seq", *owner,
+        F.col("changed_by").alias("user_id"), *(audit_value(F.col(f"_{f}")["new_value"], kinds[f]).alias(f) for f in spec.user_fields), sets.alias("set_fields"),
     )
 
 
 def versions_to_audit(table: DataFrame, spec: TableSpec) -> DataFrame:
-    """The audit trail that versions record: INSERT rows of a first version, UPDATE rows of changed fields, the row of a tombstone.
+    """The audit trail that versions record: INSERT rows of a first version, UPDATE rows of changed fields, the TRANSFER row of another tenant, the row of a tombstone.
 
     `seq` is the version. The rows are those of audit_rows: versions are read as the chain of states
-    that they are.
+    that they are. A version that changes tenant and fields is a transfer, then an update.
     """
     w = Window.partitionBy(spec.key).orderBy("version")
-    op = F.when(F.col("version") == 1, "create").when(F.col("deleted_at").isNotNull(), "delete").otherwise("update")
-    by = F.when(op == "create", F.col("created_by")).when(op == "delete", F.col("deleted_by")).otherwise(F.col("updated_by"))
-    chain = table.select(
-        spec.key, op.alias("op"), F.col("valid_from").alias("change_ts"), F.col("version").cast("long").alias("seq"), by.alias("user_id"), *((F.col(spec.tenant_field).alias("own_tenant"),) if spec.multi_tenant else ()),
+    moved = ~F.col("own_tenant").eqNullSafe(F.col("old_tenant")) if spec.multi_tenant else F.lit(False)
+    changed = F.lit(False)
+    for f in spec.user_fields:
+        changed = changed | ~quoted(f"new_{f}").eqNullSafe(quoted(f"old_{f}"))
+    later = F.filter(F.array(F.when(moved, F.lit("transfer")), F.when(changed | ~moved, F.lit("update"))), lambda x: x.isNotNull())
+    ops = F.when(F.col("version") == 1, F.array(F.lit("create"))).when(F.col("deleted_at").isNotNull(), F.array(F.lit("delete"))).otherwise(later)
+    owners = (F.col(spec.tenant_field).alias("own_tenant"), F.lag(spec.tenant_field).over(w).alias("old_tenant")) if spec.multi_tenant else ()
+    states = table.select(
+        spec.key, "version", "deleted_at", "created_by", "updated_by", "deleted_by", F.col("valid_from").alias("change_ts"), F.col("version").cast("long").alias("seq"), *owners,
         *(quoted(f).alias(f"new_{f}") for f in spec.user_fields), *(F.lag(quoted(f)).over(w).alias(f"old_{f}") for f in spec.user_fields),
     )
-    return audit_rows(chain, spec)
+    chain = states.withColumn("op", F.explode(ops))
+    by = F.when(F.col("op") == "create", F.col("created_by")).when(F.col("op") == "delete", F.col("deleted_by")).otherwise(F.col("updated_by"))
+    return audit_rows(chain.withColumn("user_id", by), spec)
 
 
 def scd2_to_audited(table: DataFrame, spec: TableSpec) -> dict[str, DataFrame]:

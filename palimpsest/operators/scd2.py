@@ -9,21 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonval import audit_json
 from ..spec import SCD2, TableSpec, register_strategy
-from .changes import id_window, judged, rejected, with_base, with_states
+from .changes import id_window, judged, rejected, united, with_states
 from .filters import quoted
 
 
-def apply_scd2(base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> dict[str, DataFrame]:
-    """Apply a feed: {"table": all versions, "open": only the touched records' rows, "rejects": ...}.
-
-    A create makes version 1; an update that changes a user field closes the current version and
-    adds the next; one that changes nothing adds none; a delete adds a tombstone, after which
-    nothing is accepted. Closed versions of the base are passed through and never sorted.
-    """
-    current = None if base is None else base.where("valid_to is null")
-    rows = judged(with_base(current, feed, spec), spec)
+def _versions(rows: DataFrame, spec: TableSpec) -> DataFrame:
+    """The versions that judged rows make, those of op `base` included."""
     accepted = with_states(rows.where("reason is null"), spec)
-    kept = accepted.where(F.col("changed") | F.col("op").isin("base", "create", "delete"))
+    kept = accepted.where(F.col("changed") | F.col("op").isin("base", "create", "delete", "transfer"))
     w = id_window(spec)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.first("was_version", ignorenulls=True).over(upto)
@@ -31,46 +24,63 @@ def apply_scd2(base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> dict
     is_base, dead = F.col("op") == "base", F.col("op") == "delete"
     kept = kept.withColumn("from", F.when(is_base, F.col("was_valid_from")).otherwise(F.col("change_ts")))
     first = lambda old, new: F.first(F.when(is_base, F.struct(F.col(old).alias("v"))).otherwise(F.struct(F.col(new).alias("v")))).over(upto)["v"]
-    built = kept.select(
+    return kept.select(
         spec.key,
         *(quoted(f"new_{f}").alias(f) for f in spec.user_fields),
         first("was_created_at", "change_ts").alias("created_at"),
         F.when(is_base, F.col("was_updated_at")).otherwise(F.col("change_ts")).alias("updated_at"),
         first("was_created_by", "user_id").alias("created_by"),
-        F.last(F.when(is_base, F.col("was_updated_by")).when(F.col("op") == "update", F.col("user_id")), ignorenulls=True).over(upto).alias("updated_by"),
-        *((F.first(spec.tenant_field).over(upto).alias(spec.tenant_field),) if spec.multi_tenant else ()),
+        F.last(F.when(is_base, F.col("was_updated_by")).when(F.col("op").isin("update", "transfer"), F.col("user_id")), ignorenulls=True).over(upto).alias("updated_by"),
+        *((F.col("own_tenant").alias(spec.tenant_field),) if spec.multi_tenant else ()),
         F.when(is_base, F.col("was_deleted_at")).when(dead, F.col("change_ts")).alias("deleted_at"),
         F.when(is_base, F.col("was_deleted_by")).when(dead, F.col("user_id")).alias("deleted_by"),
         F.col("from").alias("valid_from"),
         F.lead("from").over(w).alias("valid_to"),
         "version",
     )
+
+
+def apply_scd2(base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> dict[str, DataFrame]:
+    """Apply a feed: {"table": all versions, "open": only the touched records' rows, "rejects": ...}.
+
+    A create makes version 1; an update that changes a user field closes the current version and
+    adds the next; one that changes nothing adds none; a transfer adds one under the new tenant, whose rows are
+    accepted from then on; a delete adds a tombstone, after which nothing is accepted. Closed versions of the base are
+    passed through and never sorted.
+    """
+    current = None if base is None else base.where("valid_to is null")
+    rows = judged(current, feed, spec)
+    built = united(rows, lambda r: _versions(r, spec))
     table = built
     if base is not None:
         closed = base.where("valid_to is not null")
         untouched = current.join(feed.select(spec.key).distinct(), spec.key, "left_anti")
         table = built.unionByName(closed.select(*built.columns)).unionByName(untouched.select(*built.columns))
-    return {"table": table, "open": built, "rejects": rejected(rows, spec)}
+    return {"table": table, "open": built, "rejects": rejected(united(rows, lambda r: r), feed, spec)}
 
 
 register_strategy(SCD2, apply_scd2)
 
 
+def transfer_feed(table: DataFrame, requests: DataFrame, spec: TableSpec) -> DataFrame:
+    """requests (id, new_tenant_id, change_ts, user_id and, where given, seq and the tenant that must own the record) as feed rows."""
+    have = set(requests.columns)
+    kinds = {f.name: f.dataType for f in table.schema}
+    none = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
+    return requests.select(
+        spec.key, F.lit("transfer").alias("op"), "change_ts", none("seq", "long"), none(spec.tenant_field, kinds[spec.tenant_field]), "user_id",
+        *(F.lit(None).cast(kinds[f]).alias(f) for f in spec.user_fields), F.array().cast("array<string>").alias("set_fields"), F.col("new_tenant_id").cast(kinds[spec.tenant_field]).alias("new_tenant_id"),
+    )
+
+
 def transfer_ownership(table: DataFrame, requests: DataFrame, spec: TableSpec) -> dict[str, DataFrame]:
-    """Give records to other tenants: a new version each.
+    """Give records to other tenants: a new version each; several requests for a record follow each other by (change_ts, seq).
 
-    requests: (id, new_tenant_id, change_ts, user_id), one an id. Rejected where the record is not found,
-    deleted or already of that tenant, and where the new tenant is null.
+    Rejected where the record is not found or deleted, the new tenant is null or has it already, or the request is older than
+    the record's current version.
     """
-    r = requests.select(F.col(spec.key), "new_tenant_id", F.col("change_ts").alias("at"), F.col("user_id").alias("by"))
-    current = table.where("valid_to is null").join(r, spec.key, "right")
-    reason = F.when(F.col("version").isNull(), "not found").when(F.col("new_tenant_id").isNull(), "no tenant").when(F.col("deleted_at").isNotNull(), "deleted").when(F.col(spec.tenant_field) == F.col("new_tenant_id"), "same tenant")
-    judged_ = current.withColumn("reason", reason)
-    good = judged_.where("reason is null")
-    fresh = good.withColumns({spec.tenant_field: F.col("new_tenant_id"), "valid_from": F.col("at"), "updated_at": F.col("at"), "version": F.col("version") + 1, "updated_by": F.coalesce("by", "updated_by")}).select(*table.columns)
-    moved = good.select(spec.key, "at")
-    closing = table.join(moved, spec.key, "left").withColumn("valid_to", F.when(F.col("valid_to").isNull(), F.col("at")).otherwise(F.col("valid_to"))).select(*table.columns)
-    return {"table": closing.unionByName(fresh), "rejects": judged_.where("reason is not null").select(spec.key, "new_tenant_id", "reason")}
+    out = apply_scd2(table, transfer_feed(table, requests, spec), spec)
+    return {"table": out["table"].select(*table.columns), "rejects": out["rejects"].select(spec.key, "new_tenant_id", "reason")}
 
 
 def version_history(table: DataFrame, ids: DataFrame | None = None, key: str = "id") -> DataFrame:

@@ -87,3 +87,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     if not fs.rename(new, table):
         raise OSError(f"{path}.new could not take the place of {path}")
     fs.delete(gone, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, computed once into a folder that all executors share, and read from there: whoever reads it again scans, and a lost executor loses nothing."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
