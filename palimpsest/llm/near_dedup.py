@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .suffix_dedup import _MIX, _TABLE, _TABLE_2, _mixed, _powers, _Substrings
+from .suffix_dedup import _MIX, _mixed, _Substrings
 from .textblocks import blocks, byte_view, checkpointed, ids_and_texts, kept_on_disk
 
 SHINGLE_WORDS = 5
@@ -64,9 +64,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_WOR
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     stop = np.flatnonzero(inner & ~after) + 1
     lower = _LOWER[data]
-    powers = _powers(len(data) + 1)
-    # Two hashes of each word, so that equal shingles mean equal words.
-    one = _Substrings(lower, _TABLE, powers)(start, stop) ^ _mixed(_Substrings(lower, _TABLE_2, powers)(start, stop) + (stop - start).astype(np.uint64))
+    # Words are hashed modulo a prime; a shingle mixes five of them to 64 bits.
+    one = _mixed(_Substrings(lower, 0)(start, stop) + (stop - start).astype(np.uint64))
     bounds = np.searchsorted(start, offsets)  # of the rows' words
     many = np.diff(bounds)
     size = np.where(many == 0, 0, np.maximum(many - words + 1, 1))

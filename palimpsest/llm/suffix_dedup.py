@@ -13,14 +13,18 @@ windows. The passes are arranged so that almost no suffix is ever shuffled:
   A run whose bytes equal those of an earlier one repeats as a whole. A run
   whose anchor occurs nowhere else repeats nowhere. What remains are first
   runs of groups that disagree somewhere: the edges of repeated passages.
-* Passes 2 and 3, single suffixes of those runs only: first by the W // 2
-  bytes at the window's start, and where these occur again by all W bytes.
+* Pass 2 and on, single suffixes of those runs only: within an anchor's group, digit by
+  digit of 8 bytes, the most significant first. Only suffixes that are tied so far go
+  on; those still tied after W bytes are equal, byte by byte. A group of more than
+  `most_runs` runs is one task's work no more: its windows go by two hashes instead.
 
 A block of documents settles its own repeats before anything is shuffled, so of
 a hot anchor only one run for each block meets the others'.
 
 Places are ordered by (doc_id, start); the first window of a group stays.
-Equality is that of two independent 64-bit hashes of the bytes.
+Runs are compared by the anchor's hash and one modulo 2^61 - 1; windows of large groups
+by two of the latter, in different bases. These hold for any texts that are not made
+with the bases in mind.
 """
 
 from __future__ import annotations
@@ -42,10 +46,13 @@ BLOCK_BYTES = 2 << 20
 
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TABLE_2 = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _POSITION = np.uint64((1 << 24) - 1)
+#: Substrings are hashed modulo this prime, by two bases; modulo 2^64 there are texts that collide for every base.
+_PRIME = np.uint64((1 << 61) - 1)
+_BASES = tuple(int(x) for x in _RNG.integers(1 << 40, (1 << 61) - 1, 2))
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_known_powers: dict[int, np.ndarray] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,29 +63,78 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> np.ndarray:
-    """1, b, b^2, ... modulo 2^64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(int(_BASE), done, 1 << 64))
-        done += more
-    return out
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
 
 
-class _Substrings:
-    """Hashes of any substrings of a byte array: polynomial prefix sums modulo 2^64, shifted to a common power."""
+def _times(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo the prime, by halves of 31 and 30 bits."""
+    x1, x0, y1, y0 = x >> np.uint64(31), x & _LOW31, y >> np.uint64(31), y & _LOW31
+    middle = x1 * y0 + x0 * y1
+    return _reduced(x1 * y1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & _LOW30) << np.uint64(31)) + x0 * y0)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, b, b^2, ... modulo the prime, by doubling; a task's blocks share them."""
+    known = _known_powers.get(base)
+    if known is None or len(known) < n:
+        size = 1 << max(n - 1, 1).bit_length()
+        known = np.ones(size, np.uint64)
+        done = 1
+        while done < size:
+            known[done : 2 * done] = _times(known[:done], np.uint64(pow(base, done, int(_PRIME))))
+            done *= 2
+        if n <= 1 << 23:  # of longer texts they aren't kept
+            _known_powers[base] = known
+    return known
 
-    def __init__(self, data: np.ndarray, table: np.ndarray, powers: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * powers[: len(data)], out=self.sums[1:])
-        self.powers = powers
-        self.shift = np.uint64(pow(int(_BASE), (1 << 40) - len(data), 1 << 64))
+
+class _Substrings:
+    """Hashes of any substrings of a byte array: polynomial prefix sums modulo 2^61 - 1 in one of two bases, shifted to a common power."""
+
+    def __init__(self, data: np.ndarray, which: int, step: int = 1 << 22):
+        n, base = len(data), _BASES[which]
+        self.powers = _powers(base, n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        carry = np.uint64(0)
+        for at in range(0, n, step):  # sums of so many products stay below 2^64
+            letter = data[at : at + step].astype(np.uint64) + np.uint64(1)
+            power = self.powers[at : at + len(letter)]
+            high, low = np.cumsum(letter * (power >> np.uint64(31))), np.cumsum(letter * (power & _LOW31))
+            high = _reduced(high)
+            turned = ((high & _LOW30) << np.uint64(31)) + (high >> np.uint64(30))
+            self.sums[at + 1 : at + 1 + len(letter)] = _reduced(_reduced(turned) + _reduced(low) + carry)
+            carry = self.sums[at + len(letter)]
+        self.shift = np.uint64(pow(base, (1 << 40) - n, int(_PRIME)))
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        aligned = self.powers[len(self.sums) - 1 - start] * self.shift
-        return _mixed((self.sums[stop] - self.sums[start]) * aligned)
+        aligned = _times(self.powers[len(self.sums) - 1 - start], self.shift)
+        return _mixed(_times(_reduced(self.sums[stop] + (_PRIME - self.sums[start])), aligned))
+
+
+def _groups(data: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window, the same of equal ones: digits of 8 bytes, the most significant first; only windows that are tied go on."""
+    group = np.zeros(len(begin), np.int64)
+    width = min(8, window)
+    digits = np.lib.stride_tricks.sliding_window_view(data, width) if len(data) >= width else np.zeros((0, width), np.uint8)
+    weights = np.uint64(256) ** np.arange(width - 1, -1, -1, dtype=np.uint64)
+    active, used = np.arange(len(begin)), 1
+    for place in [*range(0, window - width, width), window - width]:
+        if not len(active):
+            break
+        digit = (digits[begin[active] + place].astype(np.uint64) * weights).sum(1, dtype=np.uint64)
+        order = np.lexsort((digit, group[active]))
+        active, digit = active[order], digit[order]
+        own = group[active]
+        opens = np.ones(len(active), bool)
+        opens[1:] = (own[1:] != own[:-1]) | (digit[1:] != digit[:-1])
+        number = np.cumsum(opens) - 1
+        size = np.bincount(number)
+        group[active] = used + number
+        used += len(size)
+        active = active[size[number] > 1]
+    return group
 
 
 def _grams(data: np.ndarray, length: int) -> np.ndarray:
@@ -123,8 +179,7 @@ def runs_of_block(data: np.ndarray, offsets: np.ndarray, window: int, anchor: in
     keep = place[first] >= 0
     first, last = first[keep], last[keep]
     at = place[first].astype(np.int64)
-    substring = _Substrings(data, _TABLE_2, _powers(n + 1))
-    whole = substring(first, last + window)
+    whole = _Substrings(data, 0)(first, last + window)
     whole = _mixed(whole + (at - first).astype(np.uint64) * _MIX + (last - first).astype(np.uint64))
     row = np.searchsorted(offsets, first, side="right") - 1
     return row, first - offsets[row], last - first, grams[at], whole
@@ -185,17 +240,15 @@ def _cut_contexts(window: int):
 def _later_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     """Runs of windows that an earlier row of the batch has too; rows are whole anchor groups in the order of places."""
     data, offsets = byte_view(batch.column(3))
-    powers = _powers(len(data) + 1)
     many = np.diff(offsets) - window + 1
     row = np.repeat(np.arange(len(many)), many)
     index = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    begin = offsets[row] + index
-    one, two = (_Substrings(data, t, powers)(begin, begin + window) for t in (_TABLE, _TABLE_2))
+    group = _groups(data, offsets[row] + index, window)
     ids, start = np.asarray(batch.column(1))[row], np.asarray(batch.column(2))[row] + index
-    order = np.lexsort((start, ids, two, one))
-    one, two, i, s = one[order], two[order], ids[order], start[order]
+    order = np.lexsort((start, ids, group))
+    group, i, s = group[order], ids[order], start[order]
     opens = np.ones(len(order), bool)
-    opens[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    opens[1:] = group[1:] != group[:-1]
     lead = np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
     later = np.zeros(len(order), bool)
     later[order] = (i != i[lead]) | (s != s[lead])
@@ -208,20 +261,19 @@ def _later_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
 
 
 def _single_windows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
-    """Every window of the rows with its two hashes, for a group that is too large for one task's memory."""
+    """Every window of the rows with hashes in two bases, for a group that is too large for one task's memory."""
     data, offsets = byte_view(batch.column(3))
-    powers = _powers(len(data) + 1)
     many = np.diff(offsets) - window + 1
     row = np.repeat(np.arange(len(many)), many)
     index = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     begin = offsets[row] + index
-    one, two = (_Substrings(data, t, powers)(begin, begin + window).view(np.int64) for t in (_TABLE, _TABLE_2))
+    one, two = (_Substrings(data, which)(begin, begin + window).view(np.int64) for which in (0, 1))
     start = np.asarray(batch.column(2))[row] + index
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.asarray(batch.column(1))[row], start, start + window, one, two)], ["doc_id", "start", "stop", "one", "two"])
 
 
 def _radix(window: int, most: int):
-    """Passes 2 and 3 over rows sorted by anchor: groups of up to `most` runs here, larger ones as single windows."""
+    """The digit passes over rows sorted by anchor: groups of up to `most` runs here, larger ones as single windows."""
 
     def refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -206,3 +206,43 @@ def test_hot_lines_join_as_the_others(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "HOT_KEYS", keys)
         out[keys] = sorted(tuple(r) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert out[1] == out[10**9] and sum(r[2] for r in out[1]) == 69 + 9
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    from palimpsest.llm.suffix_dedup import _BASES, _PRIME, _Substrings, _times
+
+    p = int(_PRIME)
+    rng = np.random.default_rng(1)
+    x, y = (rng.integers(0, p, 500, dtype=np.uint64) for _ in range(2))
+    assert [int(z) for z in _times(x, y)] == [int(a) * int(b) % p for a, b in zip(x, y)]
+    data = np.frombuffer(b"the same words, the same hashes; the same words, the others", np.uint8)
+    for which in (0, 1):
+        h = _Substrings(data, which)
+        assert h.sums[7] == sum((int(c) + 1) * pow(_BASES[which], k, p) for k, c in enumerate(data[:7])) % p
+        again = _Substrings(np.concatenate([data, data]), which, step=7)
+        a, b = np.array([0, 4]), np.array([14, 14])
+        assert (h(a, b) == h(a + 33, b + 33)).all() and (h(a, b) == again(a + len(data), b + len(data))).all() and len({*h(a, b).tolist()}) == 2
+    one = thue_morse(1024)
+    other = one.translate({97: 98, 98: 97})
+    docs = spark.createDataFrame([(0, one), (1, other), (2, f"{one} b c d e f"), (3, f"{other} b c d e f"), (4, one.upper())], "doc_id long, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_duplicates(docs).collect()}
+    assert got == {0: (0, True), 1: (1, True), 2: (2, True), 3: (3, True), 4: (0, False)}
+
+
+def test_groups_by_digits():
+    from palimpsest.llm.suffix_dedup import _groups
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 2, 3000).astype(np.uint8)
+    data[1000:1400] = data[:400]
+    for window in (3, 8, 21, 100):
+        begin = rng.permutation(len(data) - window + 1)
+        texts = [data[b : b + window].tobytes() for b in begin]
+        group = _groups(data, begin, window)
+        first = {}
+        assert [first.setdefault(t, g) for t, g in zip(texts, group.tolist())] == group.tolist() and len(first) == len(set(group.tolist()))
+    assert not len(_groups(np.zeros(2, np.uint8), np.zeros(0, np.int64), 100))
