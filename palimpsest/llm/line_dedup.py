@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import blocks, byte_view, ids_and_texts, kept_on_disk
+from .textblocks import blocks, byte_view, ids_and_texts, kept_on_disk, until_result_ends
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -152,6 +152,7 @@ def _drop(names: list[str], least_chars: int, with_text: bool):
     return drop
 
 
+@until_result_ends
 def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, keep: tuple[str, ...] = (), with_text: bool = True, most_bits: int = MOST_BITS) -> DataFrame:
     """Drop lines whose key at least `least_docs` documents hold, except in the largest doc_id that holds it.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_dedup import _MIX, _mixed, _Substrings
-from .textblocks import blocks, byte_view, checkpointed, ids_and_texts, kept_on_disk
+from .textblocks import blocks, byte_view, checkpointed, ids_and_texts, kept_on_disk, until_result_ends
 
 SHINGLE_WORDS = 5
 #: Link if 100 * intersection >= PERCENT * union.
@@ -256,6 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("id", "component")
 
 
+@until_result_ends
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, half_keys: int = HALF_KEYS, rows: int = ROWS_A_HALF, block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Groups of near-duplicate documents.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textblocks import blocks, byte_view, ids_and_texts, kept_on_disk
+from .textblocks import blocks, byte_view, ids_and_texts, kept_on_disk, until_result_ends
 
 WINDOW_BYTES = 100
 ANCHOR_BYTES = 32
@@ -350,6 +350,7 @@ def _apply(names: list[str], with_bytes: bool):
     return apply
 
 
+@until_result_ends
 def remove_repeats(docs: DataFrame, window: int = WINDOW_BYTES, anchor: int = ANCHOR_BYTES, keep: tuple[str, ...] = (), with_bytes: bool = True, most_runs: int = 20_000) -> DataFrame:
     """Remove each byte that lies in a `window`-byte string which also starts at an earlier place.
 

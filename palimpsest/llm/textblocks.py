@@ -7,11 +7,16 @@ the row offsets, and no per-document Python loop is needed in the hot parts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import weakref
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -64,11 +69,18 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int, text: str = "text") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share; one below the warehouse where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names, which all executors share; where it is unset, only a local master has one, below its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once into the shared folder."""
     context = df.sparkSession.sparkContext
@@ -77,24 +89,66 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_scopes: list[list[DataFrame]] = []
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("kept_on_disk", default=None)
 
 
 def kept_on_disk(df: DataFrame) -> DataFrame:
-    """df kept on the executors' disks with its lineage: what a lost executor held is computed again."""
+    """df kept on the executors' disks with its lineage: what a lost executor held is computed again. The scope it is made in gives it up."""
     df = df.persist(StorageLevel.DISK_ONLY)
-    if _scopes:
-        _scopes[-1].append(df)
+    held = _scope.get()
+    if held is not None:
+        held.append(df)
     return df
 
 
+def _give_up(held: list[DataFrame]) -> None:
+    # Last ones first: giving up what others are made from plans these anew.
+    while held:
+        df = held.pop()
+        if SparkContext._active_spark_context is not None:
+            df.unpersist()
+
+
 @contextmanager
 def released() -> Iterator[None]:
-    """On leaving, what kept_on_disk kept within is given up; tables that the caller cached stay."""
-    _scopes.append([])
+    """On leaving, what kept_on_disk kept within is given up, in this thread; tables that the caller cached stay."""
+    held: list[DataFrame] = []
+    token = _scope.set(held)
     try:
         yield
     finally:
-        # Last ones first: giving up what others are made from plans these anew.
-        for df in reversed(_scopes.pop()):
-            df.unpersist()
+        _scope.reset(token)
+        _give_up(held)
+
+
+def until_result_ends(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """What the operator keeps is given up with the DataFrame object that it returns; within released(), with that.
+
+    A result that is only a step of another one is kept with it by `with_sources`; where it isn't, what it kept is
+    computed again, not lost.
+    """
+
+    @wraps(operator)
+    def call(*args: Any, **named: Any) -> DataFrame:
+        if _scope.get() is not None:
+            return operator(*args, **named)
+        held: list[DataFrame] = []
+        token = _scope.set(held)
+        try:
+            result = operator(*args, **named)
+        except BaseException:
+            _give_up(held)
+            raise
+        finally:
+            _scope.reset(token)
+        if held:
+            weakref.finalize(result, _give_up, held).atexit = False
+        return result
+
+    return call
+
+
+def with_sources(result: DataFrame, *sources: DataFrame) -> DataFrame:
+    """The result, holding the DataFrame objects it is made from."""
+    result._sources = sources
+    return result

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import ids_and_texts, kept_on_disk
+from .textblocks import ids_and_texts, kept_on_disk, released
 
 SAMPLE_ROWS = 20_000
 #: A stem is the first 4 to 7 letters of a word, or a whole word (then with a `$`).
@@ -302,8 +302,14 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Learn insult stems and the model from at most sample_rows labelled rows outside the held-out fold.
 
     labels: doc_id and toxic (0 or 1; others are ignored). Where a label is missing or all labels are
-    the same, the seeds and default coefficients stay.
+    the same, the seeds and default coefficients stay. Rows that repeat a doc_id count once, with the least text; so do
+    documents of equal texts, as toxic if one of them is.
     """
+    with released():
+        return _fitted(docs, labels, sample_rows)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Grammar:
     spark = docs.sparkSession
     seeds = Grammar({w + "$": 4.0 for w in SEEDS})
     chosen = (
@@ -312,7 +318,8 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
-    rows = kept_on_disk(ids_and_texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    labelled = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = kept_on_disk(labelled.groupBy("text").agg(F.max("toxic").alias("toxic")))
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return seeds

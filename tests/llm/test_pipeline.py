@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -9,16 +10,56 @@ from .test_dedup import key, removed, shingles
 
 
 def test_stages_and_rows(spark, sf_dir):
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs
     callers = spark.range(5).cache()
+    before = kept().size()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "suffix_dedup", "packing"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ids = {r[0] for r in docs.select("doc_id").collect()}
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and {r["doc_id"] for r in rows} <= ids
-    assert callers.is_cached and spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= 1
+    assert callers.is_cached and kept().size() == before
     callers.unpersist()
 
 
+def test_operators_give_up_what_they_keep(spark, docs):
+    from palimpsest.llm.near_dedup import near_duplicates
+    from palimpsest.llm.textblocks import released
+
+    kept = spark.sparkContext._jsc.sc().getPersistentRDDs
+    before = kept().size()
+    result = near_duplicates(docs)
+    n = result.count()
+    assert kept().size() > before
+    derived = result.where("kept")
+    del result
+    assert kept().size() == before and 0 < derived.count() < n  # computed again where the result is gone
+    derived.unpersist()
+    with released():
+        inner = near_duplicates(docs)
+        assert inner.count() == n
+        now = kept().size()
+        del inner
+        assert kept().size() == now  # the scope ends it
+    spark.catalog.clearCache()
+
+
+def test_a_failing_stage_leaves_no_folder(spark, sf_dir, monkeypatch):
+    from pathlib import Path
+
+    from palimpsest.llm.textblocks import shared_folder
+
+    def fails(spark, docs, sf_dir):
+        raise RuntimeError("no")
+
+    folders = lambda: {p.name for p in Path(shared_folder(spark)).glob("pipeline-*")}
+    before = folders()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("as_it_is", lambda s, docs, d: docs), ("fails", fails), corpus_pipeline.STAGES[-1]])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf_dir)
+    assert folders() == before
+
+
 def test_each_stage_keeps_the_columns(spark, docs, sf_dir):
     docs = docs.where("doc_id is null or doc_id not in (20, 21)")
     columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
@@ -68,4 +109,4 @@ def test_near_copies_from_four_fifths_on_go(spark):
 
 
 def test_queries_are_named():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
