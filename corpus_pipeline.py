@@ -16,7 +16,7 @@ from palimpsest.llm.line_dedup import drop_repeated_lines
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.suffix_dedup import remove_repeats
-from palimpsest.llm.textblocks import released, shared_folder, tokenizer_file
+from palimpsest.llm.textblocks import released, remove_folder, shared_folder, tokenizer_file, with_sources
 from palimpsest.llm.toxicity import fit_grammar, score_toxicity
 
 #: Documents with this score or more are rejected.
@@ -41,18 +41,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents hold stay in one of them."""
-    return _documents(drop_repeated_lines(docs, keep=CARRIED), "kept")
+    left = drop_repeated_lines(docs, keep=CARRIED)
+    return with_sources(_documents(left, "kept"), left)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the least doc_id."""
-    gone = near_duplicates(docs, percent=NEAR_PERCENT, half_keys=NEAR_HALF_KEYS).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", *CARRIED, F.col("n_chars").cast("long").alias("n_chars"))
+    grouped = near_duplicates(docs, percent=NEAR_PERCENT, half_keys=NEAR_HALF_KEYS)
+    gone = grouped.where("not kept").select("doc_id")
+    return with_sources(docs.join(gone, "doc_id", "left_anti").select("doc_id", "text", *CARRIED, F.col("n_chars").cast("long").alias("n_chars")), grouped)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated windows go; a character that is cut goes with them."""
-    return _documents(remove_repeats(docs, keep=CARRIED), "kept_text")
+    left = remove_repeats(docs, keep=CARRIED)
+    return with_sources(_documents(left, "kept_text"), left)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,12 +76,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each one's rows are written to the shared folder and read again."""
+    """Apply the stages to documents; each one's rows are written to the shared folder and read again.
+
+    A stage's rows are deleted once the next one's are there, all of them where a stage fails; those that the result
+    is made from stay, as it is computed when the caller wants it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        with released():
-            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    before = None
+    try:
+        for name, stage in STAGES[:-1]:
+            with released():
+                stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove_folder(spark, f"{folder}/{before}")
+            before = name
+    except BaseException:
+        remove_folder(spark, folder)
+        raise
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
