@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,7 +231,7 @@ on_audit("archive_audit", f"SELECT record_id, field_name, changed_at, changed_at
 on_versions("prune_versions", "SELECT id, version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM versions) WHERE rn <= 2", lambda v: M.prune_versions(v, 2).select("id", "version"))
 on_versions("archive_versions", "SELECT id, version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC) AS rn FROM versions WHERE tenant_id = '1') WHERE rn > 2", lambda v: M.archive_versions(v, 2, "1")[1].select("id", "version"))
 on_versions("purge_deleted", f"SELECT id, version FROM versions WHERE id NOT IN (SELECT id FROM versions WHERE deleted_at < {AT})", lambda v: M.purge_deleted(v, NOW, VERSIONED).select("id", "version"))
-on_table("add_temporal", "customer", "SELECT c_custkey, 'acme' AS tenant_id, 1 AS version FROM customer", lambda t: M.add_temporal(t, VERSIONED, T1, "acme").where("valid_to is null and deleted_at is null").select("c_custkey", "tenant_id", "version"))
+on_table("add_temporal", "customer", "SELECT *, 'acme' AS tenant_id, CAST(NULL AS TIMESTAMP) AS deleted_at, CAST(NULL AS VARCHAR) AS deleted_by, TIMESTAMP '2024-01-10 00:00:00' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, 1 AS version FROM customer", lambda t: M.add_temporal(t, VERSIONED, T1, "acme").withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz")))
 query("audit_to_scd2", f"SELECT id, {USER}, valid_from, valid_to, version FROM (SELECT id, {USER}, change_ts AS valid_from, lead(change_ts) OVER w AS valid_to, CAST(row_number() OVER w AS INTEGER) AS version FROM kept WINDOW w AS (PARTITION BY id ORDER BY change_ts, seq))", chain=True)(lambda s, d: _from_audit(audited(s, d)["audit"]))
 
 
@@ -345,12 +345,37 @@ query("rejected_late", f"""SELECT CASE WHEN known THEN 'late' WHEN op = 'create'
     FROM (SELECT j.*, k.id IS NOT NULL AS known, row_number() OVER (PARTITION BY j.id ORDER BY change_ts, seq) AS n FROM judged j LEFT JOIN (SELECT DISTINCT id FROM feed WHERE change_ts > {AT}) k ON j.id = k.id WHERE change_ts <= {AT})
     WHERE known OR reason IS NOT NULL GROUP BY 1""", chain=True)(lambda s, d: _late(feed(s, d).withColumn("rn", F.row_number().over(Window.partitionBy(F.col("change_ts") > F.lit(NOW), "id").orderBy("change_ts", "seq")))))
 
-# Objects: the given tables' own files.
-_NAMES = ", ".join(f"('{n}.parquet')" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
-query("object_inventory", f"SELECT key, true AS has_size FROM (VALUES {_NAMES}) t(key)")(lambda s, d: O.object_inventory(s, d).select("key", (F.col("size") > 0).alias("has_size")))
-query("object_metadata", f"SELECT key, 0 AS entries FROM (VALUES {_NAMES}) t(key)")(lambda s, d: O.object_metadata(s, d).select("key", F.size("metadata").alias("entries")))
-query("object_chunks", f"SELECT key, true AS whole FROM (VALUES {_NAMES}) t(key)")(
-    lambda s, d: O.object_chunks(s, d, 65536).groupBy("key").agg(F.sum(F.length("bytes")).alias("n"), F.max("chunk").alias("last")).join(O.object_inventory(s, d, limit=None), "key").select("key", ((F.col("n") == F.col("size")) & (F.col("last") == F.floor((F.col("size") - 1) / 65536))).alias("whole"))
+# Objects: the given tables' own bytes, stored as objects with side-cars by a first step.
+def _store(s: SparkSession, d: str) -> str:
+    """`part`'s names as objects, one file for each brand's parts; side-cars for some."""
+    root = scratch(s, "store")
+    parts = table(s, d, "part").select(F.regexp_replace("p_brand", "#", "-").alias("folder"), "p_name", "p_partkey")
+    parts.orderBy("folder", "p_partkey").select("folder", F.concat_ws("|", "p_partkey", "p_name").alias("value")).repartition("folder").sortWithinPartitions("folder", F.substring_index("value", "|", 1).cast("long")).write.partitionBy("folder").text(f"{root}/objects")
+    names = O.object_inventory(s, f"{root}/objects", limit=None).where("key like 'folder=%'").select("key")
+    for key in (r["key"] for r in names.collect()):  # a file for each brand
+        if not key.startswith("folder=Brand-1"):
+            _put(s, f"{root}/objects/{key}{O.SIDE_CAR}", '{"brand": "%s", "by": "job"}' % key.split("/")[0].removeprefix("folder="))
+    return f"{root}/objects"
+
+
+def _put(s: SparkSession, path: str, text: str) -> None:
+    at = s._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(s._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _folder() -> Column:
+    return F.regexp_extract("key", "^folder=([^/]*)/", 1).alias("folder")
+
+
+_OBJECTS = "WITH lines AS (SELECT replace(p_brand, '#', '-') AS folder, p_partkey, CAST(p_partkey AS VARCHAR) || '|' || p_name || chr(10) AS line FROM part), objects AS (SELECT folder, string_agg(line, '' ORDER BY p_partkey) AS body FROM lines GROUP BY folder) "
+query("object_inventory", _OBJECTS + "SELECT folder, CAST(strlen(body) AS BIGINT) AS size FROM objects WHERE folder LIKE 'Brand-%'")(lambda s, d: O.object_inventory(s, _store(s, d), "folder=", limit=None).select(_folder(), "size"))
+query("object_metadata", _OBJECTS + "SELECT folder, CASE WHEN folder NOT LIKE 'Brand-1%' THEN folder END AS brand, CASE WHEN folder NOT LIKE 'Brand-1%' THEN 2 ELSE 0 END AS entries FROM objects")(
+    lambda s, d: O.object_metadata(s, _store(s, d)).where("key like 'folder=%'").select(_folder(), F.col("metadata")["brand"].alias("brand"), F.size("metadata").alias("entries"))
+)
+query("object_chunks", _OBJECTS + "SELECT folder, i AS chunk, md5(substr(body, i * 64 + 1, 64)) AS digest FROM (SELECT folder, body, unnest(range((strlen(body) + 63) // 64)) AS i FROM objects)")(
+    lambda s, d: O.object_chunks(s, _store(s, d), 64, 1024).where("key like 'folder=%'").select(_folder(), F.col("chunk").cast("long").alias("chunk"), F.md5("bytes").alias("digest"))
 )
 on_table("object_key", "part", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'docs/' || p_brand END AS key FROM part", lambda t: t.select("p_partkey", keys.object_key(F.concat(F.when(F.col("p_size") % 3 == 0, "a/../../docs/").otherwise("//docs/"), "p_brand")).alias("key")))
 on_table("metadata_keys", "part", "SELECT p_partkey, 'a_b_' || CAST(p_size AS VARCHAR) AS k, p_brand AS v FROM part", lambda t: t.select("p_partkey", F.explode(keys.metadata_keys(F.create_map(F.concat(F.lit("a-b."), F.col("p_size").cast("string")), "p_brand"))).alias("k", "v")))
@@ -368,11 +393,32 @@ def _appended(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "appended")
     for part in (table(s, d, "orders").where("o_orderstatus = 'O'"), table(s, d, "orders").where("o_orderstatus != 'O'")):
         S.bulk_write(part, path, ["o_orderstatus"])
-    return S.read_table(s, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return S.read_table(s, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.countDistinct("o_custkey").alias("customers"))
+
+
+def _pinned(s: SparkSession, d: str) -> DataFrame:
+    """A reader that began before a partition was replaced, and one that began after it."""
+    path = scratch(s, "pinned")
+    S.write_table(table(s, d, "orders"), path, ["o_orderstatus"])
+    before = S.read_table(s, path)
+    S.write_table(before.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0)), path, ["o_orderstatus"], since=1)
+    counts = lambda df, when: df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_totalprice") == 0, 1)).alias("zero")).select(F.lit(when).alias("seen"), "*")
+    return counts(before, "before").unionByName(counts(S.read_table(s, path), "after"))
+
+
+def _through_a_database(s: SparkSession, d: str) -> DataFrame:
+    """`customer` into a database in this process and back, in parts by the balance's quantiles; some balances are null, many the same."""
+    url = f"jdbc:derby:memory:{scratch(s, 'db').rsplit('-', 1)[1]};create=true"
+    c = table(s, d, "customer").withColumn("c_acctbal", F.when(F.col("c_custkey") % 10 == 0, None).when(F.col("c_custkey") % 3 == 0, 7.5).otherwise(F.col("c_acctbal")))
+    S.write_jdbc(c, url, "customer", "overwrite")
+    return S.read_jdbc_parts(s, url, "customer", '"c_acctbal"', 4).select("c_custkey", "c_name", "c_acctbal")
 
 
+query("read_jdbc", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 7.5 ELSE c_acctbal END AS c_acctbal FROM customer")(_through_a_database)
+query("read_snapshots", """SELECT 'before' AS seen, o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice = 0) AS zero FROM orders GROUP BY o_orderstatus
+    UNION ALL SELECT 'after', o_orderstatus, count(*), CASE WHEN o_orderstatus = 'F' THEN count(*) ELSE count(*) FILTER (WHERE o_totalprice = 0) END FROM orders GROUP BY o_orderstatus""")(_pinned)
 query("write_table", "SELECT * FROM customer WHERE c_acctbal > 0")(_written)
-query("bulk_write", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")(_appended)
+query("bulk_write", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderstatus")(_appended)
 
 
 def _in_order(s: SparkSession, f: DataFrame, run: Callable[[DataFrame, str], None]) -> str:

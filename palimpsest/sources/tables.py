@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import snapshots
 
-def read_table(spark: SparkSession, name: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table of the catalog, or a Parquet folder where the name is a path."""
+
+def read_table(spark: SparkSession, name: str, schema: T.StructType | None = None, snapshot: int | None = None) -> DataFrame:
+    """A table of the catalog; where the name is a path, the newest (or the given) snapshot of a written table, or a Parquet folder."""
     if "/" not in name:
         return spark.table(name)
-    recover_table(spark, name)
+    if snapshots.is_snapshot_table(spark, name):
+        return snapshots.read(spark, name, snapshot)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(name)
 
@@ -41,52 +46,51 @@ def read_jdbc(spark: SparkSession, *args: Any, **options: Any) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(*args, **options)).load()
 
 
-def bulk_write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Append rows to a Parquet folder."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+def jdbc_predicates(spark: SparkSession, url: str, table: str, column: str, partitions: int, accuracy: int = 10_000) -> list[str]:
+    """Conditions that cut a table into about equal parts by the quantiles of a column: each row meets exactly one.
+
+    One pass over the column alone. A value that fills a part has it for itself, and so have nulls.
+    """
+    values = read_jdbc(spark, url, f"(SELECT {column} FROM {table}) t").toDF("v")
+    kind = values.schema["v"].dataType
+    if not isinstance(kind, T.NumericType):
+        raise ValueError(f"{column} is no number")
+    fine, nulls = values.agg(F.percentile_approx("v", [k / (4 * partitions) for k in range(1, 4 * partitions)], accuracy), F.count(F.when(F.col("v").isNull(), 1))).first()
+    fine = fine or []
+    often = sorted(v for v, n in Counter(fine).items() if n >= 4) if partitions > 1 else []
+    edges = sorted({*fine[3::4], *often})
+    out = []
+    for low, high in zip([None, *edges], [*edges, None]):
+        ends = [f"{column} >= {low}" if low not in often else f"{column} > {low}"] if low is not None else []
+        ends += [f"{column} < {high}"] if high is not None else []
+        out.append(" AND ".join(ends) or f"{column} IS NOT NULL")
+    out += [f"{column} = {v}" for v in often]
+    return out + [f"{column} IS NULL"] * (nulls > 0)
+
+
+def read_jdbc_parts(spark: SparkSession, url: str, table: str, column: str, partitions: int, fetch_size: int = 10_000) -> DataFrame:
+    """Read a table in parts of about equal size, one task each, without being told the column's bounds."""
+    predicates = jdbc_predicates(spark, url, table, column, partitions)
+    return spark.read.jdbc(url, table, predicates=predicates, properties={"fetchsize": str(fetch_size)})
 
 
-def _folder(spark: SparkSession, path: str) -> tuple[Any, Any]:
-    """The file system of a path, and the path in its terms."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch_size: int = 1_000, **properties: str) -> None:
+    """Insert rows in batches, a connection for each task."""
+    df.write.mode(mode).jdbc(url, table, properties={"batchsize": str(batch_size), **properties})
 
 
-def recover_table(spark: SparkSession, path: str) -> bool:
-    """Whether the table is there; where a write_table was interrupted between its renames, the newest whole folder takes its place first."""
-    fs, at = _folder(spark, path)
-    if fs.exists(at):
-        return True
-    new, old = (_folder(spark, f"{path}.{x}")[1] for x in ("new", "old"))
-    if not fs.exists(old):
-        return False  # never written: a lone new folder may be half of a first write
-    whole = fs.exists(_folder(spark, f"{path}.new/_SUCCESS")[1])
-    return bool(fs.rename(new if whole else old, at))
+def bulk_write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
+    """Append rows to a table: the number of its new snapshot. Appends of several writers all stay."""
+    return snapshots.append(df, path, partition_by)
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a table: rows are written beside it, then the folders are swapped by renaming.
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), since: int | None = None) -> int:
+    """Replace a table, or with partition columns those partitions that df has, in one step: the number of its new snapshot.
 
-    The old folder is still there while the new one is computed, so df may read it. At every moment
-    the table, or the old folder and the whole new one, are there; recover_table, which every read
-    and write begins with, puts an interrupted one right. With partition columns only the
-    partitions that df has are replaced.
+    df may read the table itself; `since` makes sure that nobody has written in between. Readers see the rows before or
+    after, and what they began with stays until `snapshots.vacuum`.
     """
-    spark = df.sparkSession
-    if partition_by:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
-        return
-    there = recover_table(spark, path)
-    fs, table = _folder(spark, path)
-    new, gone = (_folder(spark, f"{path}.{x}")[1] for x in ("new", "old"))
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    if there:
-        fs.delete(gone, True)
-        if not fs.rename(table, gone):
-            raise OSError(f"{path} could not be set aside")
-    if not fs.rename(new, table):
-        raise OSError(f"{path}.new could not take the place of {path}")
-    fs.delete(gone, True)
+    return snapshots.overwrite(df, path, partition_by, since)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

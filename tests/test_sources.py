@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.keys import metadata_keys, metadata_keys_back, object_key, with_prefix, without_prefix
 from palimpsest.operators import stats as G
 from palimpsest.sources import objects as O
+from palimpsest.sources import snapshots as X
 from palimpsest.sources import tables as S
 
 
@@ -28,6 +29,23 @@ def test_inventory_and_metadata(spark, store):
 def test_chunks_rebuild_the_object(spark, store):
     chunks = O.object_chunks(spark, store, 1024).where("key = 'docs/file2.txt'").orderBy("chunk").collect()
     assert len(chunks) == 10 and b"".join(bytes(c["bytes"]) for c in chunks) == bytes(range(250)) * 40
+    whole = {k: v for k, v in (("docs/file1.txt", b"12345678"), ("docs/file2.txt", bytes(range(250)) * 40), ("images/pic.jpg", b"x"))}
+    for chunk, span in ((7, 100), (1000, 1000), (1, 4096), (20000, 1)):
+        parts = {}
+        for r in O.object_chunks(spark, store, chunk, span).collect():
+            parts[r["key"], r["chunk"]] = bytes(r["bytes"])
+        assert {k: b"".join(parts[k, n] for n in range(-(-len(v) // chunk))) for k, v in whole.items()} == whole and len(parts) == sum(-(-len(v) // chunk) for v in whole.values())
+
+
+def test_a_large_object_is_read_by_many_tasks(spark, tmp_path):
+    big = tmp_path / "odd name %20 é.bin"
+    with big.open("wb") as f:  # 3 GB, almost all of it a hole
+        f.seek((3 << 30) - 1)
+        f.write(b"\x01")
+    chunks = O.object_chunks(spark, str(tmp_path), 16 << 20, 256 << 20)
+    got = chunks.select("chunk", F.length("bytes").alias("n"), F.spark_partition_id().alias("task"), F.crc32(F.right("bytes", F.lit(1))).alias("last")).collect()
+    assert sorted(r["chunk"] for r in got) == list(range(192)) and sum(r["n"] for r in got) == 3 << 30 and len({r["task"] for r in got}) > 4
+    assert len({r["last"] for r in got if r["chunk"] < 191}) == 1 and {r["last"] for r in got if r["chunk"] == 191} != {r["last"] for r in got if r["chunk"] == 0}
 
 
 def test_keys(spark):
@@ -65,21 +83,80 @@ def test_pool_statistics(spark):
     assert got == {1: (50.0, 75.0, 1), 2: (0.0, 0.0, 1)}
 
 
-def test_interrupted_write_keeps_a_whole_table(spark, tmp_path):
-    import shutil
+def test_readers_see_the_table_before_or_after(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert S.write_table(spark.range(3), path) == 1
+    before = S.read_table(spark, path)
+    assert S.write_table(before.select((F.col("id") + 10).alias("id")), path, since=1) == 2
+    assert sorted(r["id"] for r in before.collect()) == [0, 1, 2]  # what was begun with
+    assert sorted(r["id"] for r in S.read_table(spark, path).collect()) == [10, 11, 12]
+    assert S.read_table(spark, path, snapshot=1).count() == 3
+    with pytest.raises(X.ConcurrentWrite):
+        S.write_table(spark.range(1), path, since=1)
+    with pytest.raises(ValueError):
+        S.read_table(spark, path, snapshot=9)
+    with pytest.raises(ValueError):
+        S.bulk_write(spark.range(1).toDF("other"), path)
+    assert S.read_table(spark, path).count() == 3
+
+
+def test_a_partition_overwrite_is_one_step(spark, tmp_path):
+    path = str(tmp_path / "p")
+    S.write_table(spark.range(6).selectExpr("id", "id % 3 as m", "if(id % 2 = 0, null, 'a b/c') as k"), path, ["m", "k"])
+    S.write_table(spark.range(10, 12).selectExpr("id", "id - 10 as m", "cast(null as string) as k"), path, ["m", "k"])
+    got = sorted((r["m"], r["k"] or "", r["id"]) for r in S.read_table(spark, path).collect())
+    assert got == [(0, "", 10), (0, "a b/c", 3), (1, "", 11), (1, "a b/c", 1), (2, "", 2), (2, "a b/c", 5)]
+    assert S.read_table(spark, path, snapshot=1).count() == 6
+    with pytest.raises(ValueError):
+        S.write_table(spark.range(1).selectExpr("id", "id as m", "'x' as k"), path, ["m"])
+
+
+@pytest.mark.parametrize("step", ["_add_folder", "_publish"])
+def test_a_crash_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    S.write_table(spark.range(3), path)
+
+    def crash(*args):
+        if step == "_add_folder":
+            spark.range(2).write.parquet(f"{path}/data/half")
+        raise OSError("lost")
+
+    monkeypatch.setattr(X, step, crash)
+    for write in (S.write_table, S.bulk_write):
+        with pytest.raises(Exception):
+            write(spark.range(9), path)
+    monkeypatch.undo()
+    assert S.read_table(spark, path).count() == 3
+    S.bulk_write(spark.range(2), path)
+    assert S.read_table(spark, path).count() == 5
+    X.vacuum(spark, path, keep=1, orphan_hours=-1)
+    assert S.read_table(spark, path).count() == 5 and len(list((tmp_path / "t/data").iterdir())) == 2
 
-    from palimpsest.sources.tables import read_table, recover_table, write_table
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
 
     path = str(tmp_path / "t")
-    assert not recover_table(spark, path)
-    write_table(spark.range(3), path)
-    # Between the renames: the old rows are set aside, the new ones whole.
-    spark.range(5).write.parquet(f"{path}.new")
-    shutil.move(path, f"{path}.old")
-    assert read_table(spark, path).count() == 5
-    # The same with a new folder that isn't whole.
-    shutil.rmtree(f"{path}.old")
-    shutil.move(path, f"{path}.old")
-    (tmp_path / "t.new").mkdir()
-    write_table(spark.range(7), path)
-    assert read_table(spark, path).count() == 7 and not (tmp_path / "t.old").exists()
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda k: S.bulk_write(spark.range(k * 10, k * 10 + 3), path), range(8)))
+    assert sorted(numbers) == list(range(1, 9)) and S.read_table(spark, path).distinct().count() == 24
+    assert X.compact(spark, path) == 9 and len(X.snapshot(spark, path).parts) == 1
+    old = S.read_table(spark, path, snapshot=8)
+    assert X.vacuum(spark, path, keep=2) == 0 and old.count() == 24  # the last but one has them all
+    assert X.vacuum(spark, path, keep=1) == 8 and S.read_table(spark, path).count() == 24 and X.snapshots(spark, path) == [9]
+
+
+def test_jdbc_parts_cover_every_row_once(spark):
+    url = "jdbc:derby:memory:parts;create=true"
+    rows = [(k, None if k % 10 == 0 else 7 if k % 3 == 0 else k) for k in range(1000)]
+    S.write_jdbc(spark.createDataFrame(rows, "id int, v int"), url, "numbers")
+    for column in ('"v"', '"id"'):  # as the database quotes them
+        predicates = S.jdbc_predicates(spark, url, "numbers", column, 5)
+        df = S.read_jdbc_parts(spark, url, "numbers", column, 5)
+        assert df.rdd.getNumPartitions() == len(predicates) and sorted(r["id"] for r in df.collect()) == list(range(1000))
+    sizes = df.rdd.glom().map(len).collect()
+    assert max(sizes) < 230
+    assert {'"v" = 7', '"v" IS NULL'} <= set(S.jdbc_predicates(spark, url, "numbers", '"v"', 5))
+    assert S.read_jdbc_parts(spark, url, "numbers", '"v"', 1).count() == 1000
+    with pytest.raises(ValueError):
+        S.write_jdbc(spark.createDataFrame([("a",)], "t string"), url, "texts") or S.jdbc_predicates(spark, url, "texts", '"t"', 2)
