@@ -435,33 +435,46 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
     return R.read_versions(s, f"{path}/table")
 
 
-def _sink(out: DataFrame, path: str) -> None:
-    out.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+def _streamed_audit(s: SparkSession, d: str) -> DataFrame:
+    path = _in_order(s, feed(s, d, days=True), lambda stream, p: R.stream_audit(stream, f"{p}/table", f"{p}/state", AUDITED_SPEC).awaitTermination())
+    return R.read_audit(s, f"{path}/table").select(*_AUDIT)
 
 
-def _streamed_audit(s: SparkSession, d: str) -> DataFrame:
-    f = feed(s, d).select("id", F.col("change_ts").cast("timestamp").alias("change_ts"), "event_type", "level").groupBy("id", "change_ts").agg(F.min("event_type").alias("event_type"), F.min("level").alias("level"))
-    path = _in_order(s, f, lambda stream, p: _sink(R.stream_audit(stream, TableSpec("t", ("event_type", "level"), AUDITED, multi_tenant=False)), p))
-    return s.read.parquet(f"{path}/out").select("record_id", "field_name", "old_value", "new_value", "operation", F.col("changed_at").cast("timestamp_ntz").alias("changed_at"))
+def _delayed(s: SparkSession, d: str) -> DataFrame:
+    """Transfers and all, the rows of each five days in any order over three runs; what may still be overtaken waits."""
+    f, path, delay = moving_feed(s, d), scratch(s, "stream"), dt.timedelta(days=40)
+    for k in range(3):
+        f.where(F.pmod(F.crc32(F.col("seq").cast("string")), F.lit(3)) == k).write.mode("append").parquet(f"{path}/in")
+        R.stream_table(s.readStream.schema(f.schema).parquet(f"{path}/in"), f"{path}/table", f"{path}/state", VERSIONED, delay=delay).awaitTermination()
+    R.flush(s, f"{path}/table", VERSIONED)
+    return R.read_versions(s, f"{path}/table").select(*_VERSION)
 
 
 def _streamed_stats(s: SparkSession, d: str) -> DataFrame:
-    log = query_log(s, d)
+    """Every tenth row comes in a second run; of its windows most have closed by then. On-time windows, and the late rows by operation."""
+    log = query_log(s, d).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     path = scratch(s, "stats")
-    log.withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(f"{path}/in")
-    stream = s.readStream.schema(s.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
-    stats = R.stream_query_stats(stream, "1 day", late="3650 days")
-    stats.writeStream.format("memory").queryName(name := f"stats_{path[-32:]}").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return s.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "operation", "total", "succeeded", "slow", "max_duration")
+    for part in (F.col("id") % 10 != 3, F.col("id") % 10 == 3):
+        log.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = s.readStream.schema(log.schema).parquet(f"{path}/in")
+        out = R.stream_query_stats(stream, "1 day").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        R.stream_late_rows(stream, f"{path}/late", f"{path}/late_state", "1 day").awaitTermination()
+    windows = s.read.parquet(f"{path}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "operation", "total", "succeeded", "slow", "max_duration")
+    late = R.read_late_rows(s, f"{path}/late").groupBy("operation").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("success"), 1)).alias("succeeded"), F.count(F.when(F.col("duration") > 1.0, 1)).alias("slow"), F.max("duration").alias("max_duration"))
+    return windows.unionByName(late.withColumn("window_start", F.lit(None).cast("timestamp_ntz")))
 
 
 query("stream_scd2", "SELECT * FROM versions", chain=True)(_streamed)
-query("stream_audit", """,
-    t AS (SELECT id, change_ts, min(event_type) AS event_type, CAST(min(level) AS VARCHAR) AS level FROM feed GROUP BY ALL),
-    e AS (SELECT id, change_ts, 'event_type' AS field_name, event_type AS new_value FROM t UNION ALL SELECT id, change_ts, 'level', level FROM t),
-    l AS (SELECT *, lag(new_value) OVER w AS old_value, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY id, field_name ORDER BY change_ts))
-    SELECT id AS record_id, field_name, old_value, new_value, CASE WHEN n = 1 THEN 'INSERT' ELSE 'UPDATE' END AS operation, change_ts AS changed_at FROM l WHERE n = 1 OR old_value <> new_value""", chain=True)(_streamed_audit)
-query("stream_query_stats", _LOG + """SELECT date_trunc('day', "timestamp") AS window_start, operation, count(*) AS total, count(*) FILTER (WHERE success) AS succeeded, count(*) FILTER (WHERE duration > 1.0) AS slow, max(duration) AS max_duration FROM log GROUP BY ALL""")(_streamed_stats)
+QUERIES["stream_audit"] = _streamed_audit
+ORACLE_SQL["stream_audit"] = DAYS_SQL + f"SELECT {AUDIT_COLUMNS} FROM audit"
+QUERIES["stream_transfers_delayed"] = _delayed
+ORACLE_SQL["stream_transfers_delayed"] = MOVES_SQL + f"SELECT {', '.join(_VERSION)} FROM versions"
+query("stream_query_stats", _LOG + """, t AS (SELECT *, date_trunc('day', "timestamp") AS window_start, date_trunc('day', "timestamp") + INTERVAL 1 DAY AS window_end, id % 10 = 3 AS second FROM log),
+    m AS (SELECT max("timestamp") FILTER (WHERE NOT second) - INTERVAL 10 MINUTE AS first_mark, max("timestamp") - INTERVAL 10 MINUTE AS last_mark FROM t),
+    j AS (SELECT t.*, second AND window_end <= first_mark AS late, last_mark FROM t, m)
+    SELECT window_start, operation, count(*) AS total, count(*) FILTER (WHERE success) AS succeeded, count(*) FILTER (WHERE duration > 1.0) AS slow, max(duration) AS max_duration FROM j WHERE NOT late AND window_end <= last_mark GROUP BY ALL
+    UNION ALL SELECT NULL, operation, count(*), count(*) FILTER (WHERE success), count(*) FILTER (WHERE duration > 1.0), max(duration) FROM j WHERE late GROUP BY operation""")(_streamed_stats)
 
 
 def entry(s: SparkSession, d: str) -> DataFrame:

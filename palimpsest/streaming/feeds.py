@@ -1,140 +1,294 @@
-"""Unbounded feeds: versions, audit rows and windowed query statistics as they arrive."""
+"""Unbounded feeds: versions, audited tables and windowed query statistics as they arrive.
+
+A streamed table is a log: what a batch adds is written once, into folders of the batch's own. Closed versions, audit rows and
+rejects are only ever appended. The records' current rows, which the next batch needs, are a log of deltas, one for each batch
+with the rows that it touched; deltas are merged two by two, as binary counting does, so a row is written again once for
+each doubling of the number of batches, and never more than one delta a binary digit is read. Bytes written
+follow the batches, not the table. A commit is written last and names how far the log goes: what a
+crash leaves behind it is not read, and a batch that is run again writes the same folders.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import datetime as dt
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
-from operator import or_
 from typing import Any
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.audit import apply_audited
+from ..operators.current import apply_none
 from ..operators.scd2 import apply_scd2
-from ..spec import TableSpec
-
+from ..spec import AUDITED, SCD2, TableSpec
 
-#: Parts of a streamed table; a batch rewrites only those that its records are in.
+#: Parts of the current rows; a batch reads those that its records are in.
 BUCKETS = 64
+#: Batches whose (id, seq) are remembered, for rows that a source delivers again.
+HORIZON = 100
+#: Batch numbers of flushes, beyond those of any stream.
+_FLUSHED = 10**11
+
+
+@dataclass(frozen=True)
+class Commit:
+    """That a batch is written: its place in the log, and the newest instant so far."""
+
+    batch: int
+    place: int
+    newest: str | None
+
+
+def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(place, batch) of the commits, in order."""
+    names = [n for n in _children(spark, f"{path}/commits") if n.count("-") == 1 and not n.startswith(".")]
+    return sorted((int(n.split("-")[0]), int(n.split("-")[1])) for n in names)
 
 
-def _latest(spark: SparkSession, path: str, before: int | None, buckets: Sequence[int] | None) -> list[tuple[int, int]]:
-    """(bucket, batch) of each bucket's newest committed state, from the commits of batches before one."""
-    if not _folder_exists(spark, f"{path}/commits"):
-        return []
-    commits = spark.read.schema("bucket int, batch long").parquet(f"{path}/commits")
-    commits = commits if before is None else commits.where(F.col("batch") < before)
-    commits = commits if buckets is None else commits.where(F.col("bucket").isin(list(buckets)))
-    return [tuple(r) for r in commits.groupBy("bucket").agg(F.max("batch")).collect()]  # BUCKETS rows at most
+def _commit_at(spark: SparkSession, path: str, place: int, batch: int) -> Commit:
+    fs, at = _fs(spark, f"{path}/commits/{place:012d}-{batch:012d}")
+    stream = fs.open(at)
+    try:
+        return Commit(batch, place, json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["newest"])
+    finally:
+        stream.close()
 
 
-def read_versions(spark: SparkSession, path: str, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
-    """The versions that a stream has written, as of its last committed batch (or the one before a batch); None before the first."""
-    latest = _latest(spark, path, before, buckets)
-    if not latest:
+def _write_commit(spark: SparkSession, path: str, commit: Commit) -> None:
+    fs, draft = _fs(spark, f"{path}/commits/.{commit.place}")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps({"newest": commit.newest}).encode()))
+    out.close()
+    final = _fs(spark, f"{path}/commits/{commit.place:012d}-{commit.batch:012d}")[1]
+    if not fs.exists(final) and not fs.rename(draft, final):
+        raise OSError(f"{final} could not be written")
+
+
+def runs_at(place: int) -> list[int]:
+    """The deltas that make up the current rows after so many batches, the newest first: the delta of batch n holds as many batches as n's lowest binary digit says."""
+    out = []
+    while place:
+        out.append(place)
+        place -= place & -place
+    return out
+
+
+def _newest(rows: DataFrame, key: str) -> DataFrame:
+    """Of each record the row of its latest batch; a hash aggregate."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "_place").alias("r")).select(key, "r.*")
+
+
+def _state(spark: SparkSession, path: str, runs: list[int], key: str, buckets: list[int] | None = None, ids: DataFrame | None = None) -> DataFrame | None:
+    """The newest rows among deltas, of some records only where ids are given; None without any rows."""
+    parts = []
+    for run in runs:
+        if not any(n.startswith("bucket=") for n in _children(spark, f"{path}/state/run={run}")):
+            continue  # no row: no bucket
+        rows = spark.read.option("basePath", f"{path}/state/run={run}").parquet(f"{path}/state/run={run}")
+        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+        parts.append(rows.drop("bucket") if ids is None else rows.drop("bucket").join(ids, key, "left_semi"))
+    return _newest(reduce(DataFrame.unionByName, parts), key) if parts else None
+
+
+def _appended(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The committed rows of an appended part; None before the first."""
+    commits = _commits(spark, path)
+    if not commits:
         return None
-    newest = reduce(or_, ((F.col("bucket") == b) & (F.col("batch") == n) for b, n in latest))  # pruned to these folders
-    return spark.read.parquet(f"{path}/versions").where(newest).drop("bucket", "batch")
+    return spark.read.parquet(f"{path}/{name}").where(F.col("place") <= commits[-1][0]).drop("place")
+
+
+def read_current(spark: SparkSession, path: str, key: str = "id") -> DataFrame | None:
+    """The records' current rows (open versions, tombstones among them) as of the last committed batch; None before the first of them."""
+    commits = _commits(spark, path)
+    rows = _state(spark, path, runs_at(commits[-1][0]), key) if commits else None
+    return None if rows is None else rows.where("not _gone").drop("_gone", "_place")
+
+
+def read_versions(spark: SparkSession, path: str, key: str = "id") -> DataFrame | None:
+    """All versions that a stream has written, as of its last committed batch; None before the first."""
+    current = read_current(spark, path, key)
+    return None if current is None else current.unionByName(_appended(spark, path, "versions"))
 
 
-def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """What was rejected, and why, by batch."""
-    return spark.read.parquet(f"{path}/seen").where("reason is not null").drop("bucket")
+def read_audit(spark: SparkSession, path: str) -> DataFrame | None:
+    return _appended(spark, path, "audit")
 
 
-def scd2_batch(path: str, spec: TableSpec) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: apply a batch to the versioned table at path.
+def read_rejects(spark: SparkSession, path: str) -> DataFrame | None:
+    """What was rejected, and why, of committed batches."""
+    return _appended(spark, path, "rejects")
 
-    Every bucket that the batch touches gets a new state, made from its last one before this batch;
-    commits are written last. So a batch that is run again, even after a crash between its writes,
-    gives the same table. Rows whose (id, seq) an earlier batch has had are passed over, in
-    whichever batch they come again; all other rows are applied, or are rejects with a reason.
+
+def table_batch(path: str, spec: TableSpec, delay: dt.timedelta | None = None, horizon: int = HORIZON, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: apply a batch to the streamed table at path.
+
+    Within a batch rows are applied by (change_ts, seq). With a delay, rows newer than the newest instant less
+    the delay wait for the next batch, so that rows which come late by less are applied in order; `flush` applies what
+    waits. Rows older than their record's current one are rejects (`late`). Of rows with the same (id, seq) in a batch the
+    first stays; those that one of the last `horizon` batches has had are passed over. A replay from
+    further back can't change the table: its rows are late, or repeat what is there, and are rejects or no changes.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(F.col(spec.key)), F.lit(BUCKETS)).cast("int")
-        batch = batch.withColumn("bucket", bucket).persist()
-        touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())
-        fresh = batch
-        if any(_latest(spark, path, number, touched)):
-            seen = spark.read.parquet(f"{path}/seen").where(F.col("bucket").isin(touched) & (F.col("batch") < number))
-            fresh = batch.join(seen.select(spec.key, "seq"), [spec.key, "seq"], "left_anti")
-        out = apply_scd2(read_versions(spark, path, number, touched), fresh.drop("bucket"), spec)
-        write = lambda df, name: df.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/{name}")
-        write(out["table"].withColumn("bucket", bucket).repartition("bucket"), "versions")
-        judged_as = out["rejects"].groupBy(spec.key, "seq").agg(F.min("reason").alias("reason"))
-        own = fresh.select(F.col(spec.key).alias("k"), F.col("seq").alias("s"), "op", "change_ts", "bucket")
-        noted = own.join(judged_as, F.col("k").eqNullSafe(F.col(spec.key)) & F.col("s").eqNullSafe(F.col("seq")), "left")
-        write(noted.select(F.col("k").alias(spec.key), F.col("s").alias("seq"), "op", "change_ts", "reason", "bucket").repartition("bucket"), "seen")
-        spark.createDataFrame([(b, number) for b in touched], "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/of={number}")
-        batch.unpersist()
+        commits = _commits(spark, path)
+        known = [place for place, n in commits if n == number]
+        if known and known[0] != commits[-1][0]:
+            return  # long written
+        place = known[0] if known else (commits[-1][0] + 1 if commits else 1)
+        before = _commit_at(spark, path, *commits[-2 if known else -1]) if len(commits) > len(known) else None
+        _apply(spark, batch, number, place, before, delay)
+
+    def _apply(spark: SparkSession, batch: DataFrame, number: int, place: int, before: Commit | None, wait: dt.timedelta | None) -> None:
+        kept: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return df
+
+        def write(df: DataFrame, name: str, *by: str) -> None:
+            df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+
+        bucket = F.pmod(F.xxhash64(F.col(spec.key)), F.lit(buckets)).cast("int")
+        try:
+            if place > 1 and f"place={place - 1}" in _children(spark, f"{path}/pending"):
+                batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/pending/place={place - 1}"))
+            batch = keep(batch)
+            newest = batch.agg(F.date_format(F.max("change_ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+            newest = max(filter(None, (newest, before.newest if before else None)), default=None)
+            ready = batch
+            if wait is not None and newest is not None:
+                waits = F.coalesce(F.col("change_ts") > F.lit(dt.datetime.fromisoformat(newest) - wait), F.lit(False))
+                write(batch.where(waits), f"pending/place={place}")
+                ready = batch.where(~waits)
+            once = Window.partitionBy(spec.key, "seq").orderBy("change_ts", F.xxhash64(*ready.columns))
+            fresh = ready.withColumn("_n", F.row_number().over(once)).where("_n = 1 or seq is null").drop("_n")
+            if before is not None:
+                seen = spark.read.parquet(f"{path}/seen").where(F.col("place").between(place - horizon, place - 1))
+                fresh = fresh.join(seen.select(spec.key, "seq").distinct(), [spec.key, "seq"], "left_anti").select(*batch.columns)
+            fresh = keep(fresh)
+            ids = fresh.select(spec.key).where(F.col(spec.key).isNotNull()).distinct()
+            touched = sorted(r[0] for r in ids.select(bucket).distinct().collect())  # BUCKETS numbers at most
+            base = _state(spark, path, runs_at(place - 1), spec.key, touched, ids)
+            base = None if base is None else keep(base.where("not _gone").drop("_gone", "_place"))
 
+            if spec.strategy == SCD2:
+                out = apply_scd2(base, fresh, spec)
+                built = keep(out["open"])
+                write(built.where("valid_to is not null"), f"versions/place={place}")
+                rows = built.where("valid_to is null").withColumn("_gone", F.lit(False))
+            else:
+                out = (apply_audited if spec.strategy == AUDITED else apply_none)(base, fresh, spec, keep)
+                rows = out["table"].withColumn("_gone", F.lit(False))
+                if base is not None and not spec.soft_delete:
+                    rows = rows.unionByName(base.join(rows.select(spec.key), spec.key, "left_anti").select(*base.columns).withColumn("_gone", F.lit(True)))
+                if spec.strategy == AUDITED:
+                    write(out["audit"], f"audit/place={place}")
+            write(out["rejects"], f"rejects/place={place}")
+            write(fresh.where("seq is not null").select(spec.key, "seq"), f"seen/place={place}")
+            rows = rows.withColumn("_place", F.lit(place).cast("long"))
+            first = place - (place & -place)  # the delta takes in those after it
+            merged = _state(spark, path, [r for r in runs_at(place - 1) if r > first], spec.key)
+            if merged is not None:
+                rows = _newest(rows.unionByName(merged), spec.key)
+            if not first:
+                rows = rows.where("not _gone")
+            write(rows.withColumn("bucket", bucket).repartition("bucket"), f"state/run={place}", "bucket")
+            _write_commit(spark, path, Commit(number, place, newest))
+            _clean(spark, place)
+        finally:
+            for df in reversed(kept):
+                df.unpersist()
+
+    def _clean(spark: SparkSession, place: int) -> None:
+        """Delete what neither the next batch nor this one, run again, reads."""
+        needed = {f"run={r}" for r in (*runs_at(place), *runs_at(place - 1))}
+        stale = [f"state/{n}" for n in _children(spark, f"{path}/state") if n not in needed]
+        stale += [f"seen/{n}" for n in _children(spark, f"{path}/seen") if int(n.removeprefix("place=")) < place - horizon]
+        stale += [f"pending/{n}" for n in _children(spark, f"{path}/pending") if int(n.removeprefix("place=")) < place - 1]
+        for name in stale:
+            fs, at = _fs(spark, f"{path}/{name}")
+            fs.delete(at, True)
+
+    def finish(spark: SparkSession) -> None:
+        commits = _commits(spark, path)
+        if not commits or f"place={commits[-1][0]}" not in _children(spark, f"{path}/pending"):
+            return
+        place, number = commits[-1]
+        waiting = spark.read.parquet(f"{path}/pending/place={place}")
+        _apply(spark, waiting.limit(0), _FLUSHED + place, place + 1, _commit_at(spark, path, place, number), None)
+
+    apply.flush = finish
     return apply
 
 
-def _folder_exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def flush(spark: SparkSession, path: str, spec: TableSpec, **options: Any) -> None:
+    """Apply the rows that still wait for older ones, once a stream with a delay has ended."""
+    table_batch(path, spec, **options).flush(spark)
 
 
-def stream_scd2(feed: DataFrame, path: str, checkpoint: str, spec: TableSpec, **trigger: Any):
-    return feed.writeStream.foreachBatch(scd2_batch(path, spec)).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+def stream_table(feed: DataFrame, path: str, checkpoint: str, spec: TableSpec, delay: dt.timedelta | None = None, horizon: int = HORIZON, buckets: int = BUCKETS, **trigger: Any):
+    """Apply a feed stream to the table at path, of any strategy."""
+    return feed.writeStream.foreachBatch(table_batch(path, spec, delay, horizon, buckets)).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-def stream_audit(feed: DataFrame, spec: TableSpec) -> DataFrame:
-    """Field-level changes of an update stream (id, change_ts, <user fields as text>), with the last state of each id kept.
+def stream_scd2(feed: DataFrame, path: str, checkpoint: str, spec: TableSpec, **options: Any):
+    """The versions of a feed stream; see read_versions."""
+    return stream_table(feed, path, checkpoint, spec, **options)
 
-    A row that is not newer than its id's last one is given back with the operation LATE; rows are put
-    in order within an Arrow batch. The state of an id is its user fields and last time only, and
-    no more of an id's rows than one Arrow batch is held.
-    """
-    fields = list(spec.user_fields)
-
-    def diff(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        for rows in frames:  # Arrow batches, of bounded size
-            rows = rows.sort_values("change_ts", kind="stable", ignore_index=True)
-            instant = rows["change_ts"].astype("int64")
-            floor = instant.cummax().shift(fill_value=np.iinfo("int64").min)
-            if last is not None:
-                floor = floor.clip(lower=last[0])
-            late = (instant <= floor) & ((last is not None) | (rows.index != rows.index[0]))
-            out = [pd.DataFrame({"changed_at": rows["change_ts"][late], "field_name": None, "old_value": None, "new_value": None, "operation": "LATE"})]
-            good = rows[~late]
-            for k, f in enumerate(fields):
-                new = good[f].astype(object).where(good[f].notna(), None)
-                old = new.shift()
-                if len(good):
-                    old.iloc[0] = None if last is None else last[1 + k]
-                differs = ~((new == old) | (new.isna() & old.isna()))
-                operation = pd.Series("UPDATE", good.index)
-                if last is None and len(good):
-                    differs.iloc[0], operation.iloc[0] = True, "INSERT"
-                out.append(pd.DataFrame({"changed_at": good["change_ts"], "field_name": f, "old_value": old, "new_value": new, "operation": operation})[differs])
-            if len(good):
-                tail = good.iloc[-1]
-                last = (tail["change_ts"].value, *(None if pd.isna(tail[f]) else tail[f] for f in fields))
-            found = pd.concat(out)
-            found.insert(0, "record_id", key[0])
-            yield found.astype(object).where(found.notna(), None)
-        if last is not None:
-            state.update(last)
-
-    kind = dict(feed.dtypes)[spec.key]
-    return feed.select(spec.key, F.col("change_ts").cast("timestamp").alias("change_ts"), *(F.col(f).cast("string").alias(f) for f in fields)).groupBy(spec.key).applyInPandasWithState(
-        diff, f"record_id {kind}, changed_at timestamp, field_name string, old_value string, new_value string, operation string", ", ".join(["last long", *(f"`{f}` string" for f in fields)]), "append", GroupStateTimeout.NoTimeout
-    )
+
+def stream_audit(feed: DataFrame, path: str, checkpoint: str, spec: TableSpec, **options: Any):
+    """The audited table of a feed stream; see read_audit and read_current."""
+    return stream_table(feed, path, checkpoint, spec, **options)
 
 
 def stream_query_stats(log: DataFrame, window: str = "60 minutes", slide: str | None = None, late: str = "10 minutes", slow: float = 1.0) -> DataFrame:
-    """Windowed statistics of a log stream (timestamp, operation, duration, success); rows beyond the watermark are dropped."""
+    """Windowed statistics of a log stream (timestamp, operation, duration, success); rows beyond the watermark are dropped: stream_late_rows has them."""
     span = F.window("timestamp", window, slide) if slide else F.window("timestamp", window)
     out = log.withWatermark("timestamp", late).groupBy(span, "operation").agg(
         F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("success"), 1)).alias("succeeded"), F.avg("duration").alias("avg_duration"),
         F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"), F.count(F.when(F.col("duration") > slow, 1)).alias("slow"),
     )
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "operation", "total", "succeeded", "avg_duration", "min_duration", "max_duration", "slow")
+
+
+def late_batch(path: str, window: str, slide: str | None, late: dt.timedelta) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: append the rows whose last window had closed before their batch: it ends at the newest instant of the batches before, less `late`, or earlier."""
+
+    def last_end() -> Column:
+        return F.window("timestamp", slide or window)["start"] + F.expr(f"INTERVAL {window}")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        commits = [c for c in _commits(spark, path) if c[1] < number]
+        newest = _commit_at(spark, path, *commits[-1]).newest if commits else None
+        own = batch.agg(F.date_format(F.max("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        gone = F.lit(False) if newest is None else last_end() <= F.to_timestamp(F.lit(str(dt.datetime.fromisoformat(newest) - late)))
+        batch.where(gone).write.mode("overwrite").parquet(f"{path}/late/place={number + 1}")
+        _write_commit(spark, path, Commit(number, number + 1, max(filter(None, (newest, own)), default=None)))
+
+    return apply
+
+
+def stream_late_rows(log: DataFrame, path: str, checkpoint: str, window: str = "60 minutes", slide: str | None = None, late: dt.timedelta = dt.timedelta(minutes=10), **trigger: Any):
+    """What stream_query_stats over the same log, in the same batches, drops; see read_late_rows."""
+    return log.writeStream.foreachBatch(late_batch(path, window, slide, late)).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+
+
+def read_late_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    return _appended(spark, path, "late")
