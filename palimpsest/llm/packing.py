@@ -35,8 +35,9 @@ PIECE_TOKENS = 512
 BLOCK_DOCS = 1024
 SLACK_TOKENS = 16
 END_ID = 2
-#: Words whose ids a worker remembers; at the bound it starts anew.
+#: Words whose ids a worker remembers, and their length; at the bound it starts anew.
 WORDS_KEPT = 1_000_000
+KEPT_CHARS = 64
 
 #: Texts of these characters only (ASCII and composed Latin letters) are split here as the tokenizer splits them.
 _LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
@@ -158,6 +159,8 @@ def word_ids(path: str) -> Callable[[str], bytes]:
         if len(known) > WORDS_KEPT:
             known.clear()
         new = [w for w in dict.fromkeys(parts) if w not in known]
+        if not new:
+            return
         if plain:  # each part gives one token with a word end, its last
             ids = np.array(tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * (np.flatnonzero(closes[ids]) + 1)).tolist()
@@ -176,7 +179,11 @@ def word_ids(path: str) -> Callable[[str], bytes]:
             return b"".join([known[w] for w in parts])
         except KeyError:
             learn(parts, plain)
-            return b"".join([known[w] for w in parts])
+            out = b"".join([known[w] for w in parts])
+            for w in parts:
+                if len(w) > KEPT_CHARS:
+                    known.pop(w, None)
+            return out
 
     return encode
 

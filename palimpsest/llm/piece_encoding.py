@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame
 from .textblocks import blocks, ids_and_texts
 
 SPACE = "▁"
-#: Words whose encodings a worker remembers; at the bound it starts anew.
+#: Words whose encodings a worker remembers, and their length; at the bound it starts anew.
 WORDS_KEPT = 600_000
+KEPT_CHARS = 64
 PAIRS_KEPT = 1_000_000
+#: Characters whose pieces are looked up together: a longer word is never looked up as a whole.
+STRETCH = 1 << 15
 
 
 class PieceModel:
@@ -53,6 +57,7 @@ class PieceModel:
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.ids), default=1)
         self.stable: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.letters = {p for p in self.ids if len(p) == 1}
@@ -100,8 +105,10 @@ class PieceModel:
         known = self.pairs[a << 32 | b] = self.merge(one + two) == [one, two]
         return known
 
-    def backtrack(self, text: str) -> list[int]:
+    def backtrack(self, text: str) -> list[int] | array:
         """Ids of a stretch of known characters."""
+        if len(text) > STRETCH:
+            return self._backtrack_long(text)
         size, stable, pairs = len(text), self.stable, self.pairs
         at: list[list[tuple[int, int]]] = [[] for _ in range(size)]
         for end, (length, i) in self.automaton.iter(text):
@@ -136,6 +143,50 @@ class PieceModel:
                 place = starts.pop()
         return tokens
 
+    def _pieces_from(self, text: str, low: int) -> list[list[tuple[int, int]]]:
+        """The pieces that start at each of the STRETCH characters from `low` on, as (end, id), the longest last."""
+        at: list[list[tuple[int, int]]] = [[] for _ in range(min(STRETCH, len(text) - low))]
+        for end, (length, i) in self.automaton.iter(text[low : low + STRETCH + self.longest]):
+            if end + 1 - length < len(at) and self.alone(i):
+                at[end + 1 - length].append((low + end + 1, i))
+        return at
+
+    def _backtrack_long(self, text: str) -> array:
+        """As backtrack, with the pieces of three stretches at a time; where it goes back beyond these, they are looked up again.
+
+        What has been tried at a place needs no memory: the options that are left there end before the token that was taken back.
+        """
+        size = len(text)
+        stretches: dict[int, list[list[tuple[int, int]]]] = {}
+        failed = bytearray(size // 8 + 1)
+        tokens, starts = array("l"), array("l")
+        place, below = 0, size + 1
+        while place < size:
+            number = place // STRETCH
+            if number not in stretches:
+                if len(stretches) > 2:
+                    del stretches[max(stretches, key=lambda k: abs(k - number))]
+                stretches[number] = self._pieces_from(text, number * STRETCH)
+            for end, i in reversed(stretches[number][place % STRETCH]):
+                if end >= below or failed[end >> 3] >> (end & 7) & 1:
+                    continue
+                if tokens:
+                    if (known := self.pairs.get(tokens[-1] << 32 | i)) is None:
+                        known = self.fits(tokens[-1], i)
+                    if not known:
+                        continue
+                tokens.append(i)
+                starts.append(place)
+                place, below = end, size + 1
+                break
+            else:
+                failed[place >> 3] |= 1 << (place & 7)
+                if not tokens:
+                    raise ValueError(f"no encoding of a word of {size} characters")
+                tokens.pop()
+                below, place = place, starts.pop()
+        return tokens
+
     def _fallback(self, text: str) -> list[int]:
         """Of a character that is no piece."""
         return [self.bytes[b] for b in text.encode()] if self.byte_of else [self.unknown]
@@ -205,11 +256,14 @@ class PieceModel:
         except KeyError:
             if len(known) > WORDS_KEPT:
                 known.clear()
+            found = []
             for w in words:
-                if w not in known:
+                if (both := known.get(w)) is None:
                     ids = self.encode_word(w)
-                    known[w] = b",".join([self.numbers[i] for i in ids]), self.decode_bytes(ids)
-            found = [known[w] for w in words]
+                    both = b",".join([self.numbers[i] for i in ids]), self.decode_bytes(ids)
+                    if len(w) <= KEPT_CHARS:
+                        known[w] = both
+                found.append(both)
         ids, decoded = zip(*found, strict=True)
         joined = b"".join(decoded)
         return b",".join(ids), (joined[1:] if joined[:1] == b" " else joined)

@@ -551,3 +551,54 @@ def test_urls(spark):
               (6, "x.a.example.net", "example.net/en/", "allow"), (7, "notnet", None, "allow"), (8, "example.net", None, "allow"), (9, "b:", None, "allow"), (3, "example.net", "example.net/en/", "allow")]
     assert got == Counter(wanted)
     assert judge_urls(pages, rules.limit(0)).where("rule is null and verdict = 'allow'").count() == 11
+
+
+@pytest.mark.parametrize("what", ["op2", "op5"])
+def test_memory_for_a_word_without_an_end(what):
+    """A word of 3 MB in a process of its own: what it adds to the process is bounded, and grows by less than 100 bytes a character."""
+    import subprocess
+    import sys
+
+    code = f"""
+import random, resource
+rng = random.Random(1)
+text = "".join(rng.choice(["an", "the", "ber", "q", "xx", "on", "ich", "z"]) for _ in range(2_000_000))[:3_000_000]
+import public_tokenizers
+from palimpsest.llm.language_model import SpellingModel
+from palimpsest.llm.piece_encoding import PieceModel
+model = SpellingModel() if {what == "op2"} else PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if {what == "op2"}:
+    assert model.log10([text.encode()])[0] < 0
+else:
+    assert model.digest_parts(text)[1].decode() == text
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split()[-1])
+    assert grown < 300_000
+
+
+def test_long_words_are_encoded_as_the_library_does(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    from palimpsest.llm import piece_encoding
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = piece_encoding.PieceModel(path)
+    monkeypatch.setattr(piece_encoding, "STRETCH", 16)
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["an", "the", "ber", "aa", "aaa", "q", "é", "ß", "on", "ich", "tion", "ing", "1", "00"]) for _ in range(rng.randrange(1, 120)))
+        assert model.encode(text) == library.encode(text), text
+
+
+def test_spellings_do_not_depend_on_slices():
+    from palimpsest.llm.language_model import gram_slices
+
+    words = [b"these", b"", b"are", b"w" * 50, b"of"]
+    whole, of = next(gram_slices(words))
+    for size in (1, 3, 7):
+        parts = list(gram_slices(words, size))
+        assert np.array_equal(np.concatenate([p for p, _ in parts]), whole) and np.array_equal(np.concatenate([w for _, w in parts]), of)
