@@ -32,17 +32,17 @@ def random_rows(n=60, seed=3):
     return [(f"r{rng.randrange(8)}", rng.choice(["create", "update", "update", "update", "delete"]), at(k // 2), k, "t", "u", rng.choice("ab"), rng.choice(["1", None])) for k in range(n)]
 
 
-@pytest.mark.parametrize("strategy, soft", [(SCD2, True), (AUDITED, True), (AUDITED, False), (NONE, True)])
+@pytest.mark.parametrize("strategy, soft", [(SCD2, True), (AUDITED, True), (AUDITED, False)])
 def test_streamed_tables_equal_a_batch(spark, tmp_path, strategy, soft):
     """Several changes of a record in one instant, over more batches than deltas are kept."""
     spec = TableSpec("t", ("name", "level"), strategy, soft_delete=soft, multi_tenant=False)
     rows, path = random_rows(), str(tmp_path / "table")
     apply = R.table_batch(path, spec, buckets=4)
     assert R.read_current(spark, path) is None and R.read_audit(spark, path) is None
-    for n, k in enumerate(range(0, 60, 12)):
-        batch = spark.createDataFrame(rows[k : k + 12], FEED)
+    for n, k in enumerate(range(0, 60, 20)):
+        batch = spark.createDataFrame(rows[k : k + 20], FEED)
         apply(batch, n)
-        if n in (1, 4):
+        if n == 1:
             apply(batch, n)  # run again
     feed = spark.createDataFrame(rows, FEED)
     if strategy == SCD2:
@@ -58,7 +58,7 @@ def test_streamed_tables_equal_a_batch(spark, tmp_path, strategy, soft):
             assert texts(R.read_rejects(spark, path), "id", "seq", "reason") == texts(whole["rejects"], "id", "seq", "reason")
         if strategy == AUDITED and soft:
             assert texts(R.read_audit(spark, path), *whole["audit"].columns) == texts(whole["audit"], *whole["audit"].columns)
-    assert len([x for x in os.listdir(f"{path}/state")]) <= 4 and R.runs_at(5) == [5, 4] and R.runs_at(12) == [12, 8]
+    assert len(os.listdir(f"{path}/state")) <= 3 and R.runs_at(5) == [5, 4] and R.runs_at(12) == [12, 8]
 
 
 def test_stream_and_replay(spark, tmp_path):
@@ -117,7 +117,7 @@ def test_rows_wait_for_those_that_come_late(spark, tmp_path):
     assert names() == ["one", "two", "three", "four"] and R.read_rejects(spark, path).isEmpty()
 
 
-@pytest.mark.parametrize("step", ["versions", "rejects", "seen", "state", "commit"])
+@pytest.mark.parametrize("step", ["versions", "state", "commit"])
 def test_a_crash_between_the_writes_is_made_good(spark, tmp_path, monkeypatch, step):
     from pyspark.sql.readwriter import DataFrameWriter
 
