@@ -175,6 +175,15 @@ _ASOF = " SELECT fact, record, happened, p.version AS parent_version, p.level AS
 query("get_many", "SELECT i.id, c.level FROM (SELECT DISTINCT id FROM raw) i LEFT JOIN (SELECT * FROM versions WHERE valid_to IS NULL AND deleted_at IS NULL) c ON i.id = c.id", chain=True)(lambda s, d: J.get_many(feed(s, d), J.current_view(versions(s, d))).select("id", "level"))
 query("join_current", "SELECT fact, record, p.level AS parent_level, p.version AS parent_version FROM facts JOIN versions p ON record = p.id AND valid_to IS NULL AND deleted_at IS NULL".join((_FACTS + " ", "")), chain=True)(lambda s, d: J.join_current(_facts(s, d), versions(s, d), "record").select("fact", "record", "parent_level", "parent_version"))
 query("join_at", f"{_FACTS} SELECT fact, record, p.version AS parent_version FROM facts JOIN versions p ON record = p.id AND valid_from <= {AT} AND (valid_to IS NULL OR valid_to > {AT}) AND (deleted_at IS NULL OR deleted_at > {AT}) WHERE happened <= {AT}", chain=True)(lambda s, d: J.join_at(_facts(s, d), versions(s, d), NOW, "record", "happened").select("fact", "record", "parent_version"))
+
+
+def _bucketed(s: SparkSession, d: str) -> DataFrame:
+    """The versions as a bucketed table of the catalog."""
+    path = scratch(s, "bucketed")
+    return S.save_bucketed(versions(s, d), f"versions_{path[-32:]}", path, buckets=int(s.conf.get("spark.sql.shuffle.partitions")))
+
+
+query("join_current_bucketed", "SELECT fact, record, p.level AS parent_level, p.version AS parent_version FROM facts JOIN versions p ON record = p.id AND valid_to IS NULL AND deleted_at IS NULL".join((_FACTS + " ", "")), chain=True)(lambda s, d: J.join_current(_facts(s, d), _bucketed(s, d), "record").select("fact", "record", "parent_level", "parent_version"))
 query("join_asof", _FACTS + _ASOF, chain=True)(lambda s, d: J.join_asof(_facts(s, d), versions(s, d), "record", "happened", ["version", "level"]))
 query("join_asof_skewed", _FACTS + _ASOF, chain=True)(lambda s, d: J.join_asof(_facts(s, d), versions(s, d), "record", "happened", ["version", "level"], skewed=True))
 query("orphans", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)")(lambda s, d: J.orphans(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").where("c_nationkey < 20"), "o_custkey", "c_custkey"))

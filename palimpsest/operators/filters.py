@@ -124,3 +124,8 @@ def escape_like(pattern: str) -> str:
 def like_literal(df: DataFrame, column: str, text: str) -> DataFrame:
     """Rows whose column contains the text literally."""
     return df.where(quoted(column).contains(text))
+
+
+def is_open(versions: DataFrame) -> Column:
+    """Which rows are the last of their record: by the partition of a table that has one for them, else by valid_to."""
+    return F.col("is_open") if "is_open" in versions.columns else F.col("valid_to").isNull()

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .filters import as_of
+from .filters import as_of, is_open
 
 
 def get_many(ids: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:
@@ -17,7 +17,7 @@ def get_many(ids: DataFrame, current: DataFrame, key: str = "id") -> DataFrame:
 
 def join_current(child: DataFrame, parent: DataFrame, child_key: str, key: str = "id", how: str = "inner") -> DataFrame:
     """Children with the live version of their parent; the parent's columns are prefixed with parent_."""
-    live = parent.where("valid_to is null and deleted_at is null")
+    live = parent.where(is_open(parent) & F.col("deleted_at").isNull()).drop("is_open")
     return child.join(_prefixed(live, child_key, key), child_key, how)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonval import audit_json
 from ..spec import SCD2, TableSpec, register_strategy
 from .changes import id_window, judged, rejected, united, with_states
-from .filters import quoted
+from .filters import is_open, quoted
 
 
 def _versions(rows: DataFrame, spec: TableSpec) -> DataFrame:
@@ -48,12 +48,12 @@ def apply_scd2(base: DataFrame | None, feed: DataFrame, spec: TableSpec) -> dict
     accepted from then on; a delete adds a tombstone, after which nothing is accepted. Closed versions of the base are
     passed through and never sorted.
     """
-    current = None if base is None else base.where("valid_to is null")
+    current = None if base is None else base.where(is_open(base))
     rows = judged(current, feed, spec)
     built = united(rows, lambda r: _versions(r, spec))
     table = built
     if base is not None:
-        closed = base.where("valid_to is not null")
+        closed = base.where(~is_open(base))
         untouched = current.join(feed.select(spec.key).distinct(), spec.key, "left_anti")
         table = built.unionByName(closed.select(*built.columns)).unionByName(untouched.select(*built.columns))
     return {"table": table, "open": built, "rejects": rejected(united(rows, lambda r: r), feed, spec)}

@@ -431,3 +431,31 @@ def test_new_not_null_column_needs_a_default(spark):
     with pytest.raises(ValueError, match="b is added NOT NULL"):
         evolve_table(df, wanted)
     assert {r["b"] for r in evolve_table(df, wanted, {"b": "x"}).collect()} == {"x"}
+
+
+def test_jobs_do_not_shuffle_a_bucketed_table(spark, tmp_path):
+    from palimpsest.operators import joins as J
+    from palimpsest.sources.tables import save_bucketed
+
+    f = random_feed(spark)
+    whole = H.apply_scd2(None, f, SPEC[SCD2])["table"]
+    base = save_bucketed(H.apply_scd2(None, f.where("seq < 250"), SPEC[SCD2])["table"], "bucketed_products", str(tmp_path / "t"), buckets=4)
+    facts = f.select(F.col("id").alias("product"), F.col("seq").alias("fact"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = J.join_current(facts, base, "product")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "is_open" in plan.split("PartitionFilters: ")[1].split("]")[0]
+        asof = J.join_asof(facts.withColumn("at", F.lit(at(100))), base, "product", "at", ["name"])
+        assert asof._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        out = H.apply_scd2(base, f.where("seq >= 250"), SPEC[SCD2])["table"]
+        lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        scans = [k for k, line in enumerate(lines) if "bucketed_products" in line and "FileScan" in line]
+        above = lambda k: next(line for line in reversed(lines[:k]) if not any(x in line for x in ("Filter", "Project", "ColumnarToRow")))
+        assert scans and all("Exchange" not in above(k) for k in scans)
+        assert sorted(map(str, out.collect())) == sorted(map(str, whole.select(*out.columns).collect()))
+        assert "parent_is_open" not in joined.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.sql("DROP TABLE bucketed_products")
