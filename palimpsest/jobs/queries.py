@@ -440,12 +440,12 @@ def _in_order(s: SparkSession, f: DataFrame, run: Callable[[DataFrame, str], Non
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
-    path = _in_order(s, feed(s, d), lambda stream, p: R.stream_scd2(stream, f"{p}/table", f"{p}/state", VERSIONED).awaitTermination())
+    path = _in_order(s, feed(s, d), lambda stream, p: R.stream_scd2(stream, f"{p}/table", f"{p}/state", VERSIONED, buckets=8).awaitTermination())
     return R.read_versions(s, f"{path}/table")
 
 
 def _streamed_audit(s: SparkSession, d: str) -> DataFrame:
-    path = _in_order(s, feed(s, d, days=True), lambda stream, p: R.stream_audit(stream, f"{p}/table", f"{p}/state", AUDITED_SPEC).awaitTermination())
+    path = _in_order(s, feed(s, d, days=True), lambda stream, p: R.stream_audit(stream, f"{p}/table", f"{p}/state", AUDITED_SPEC, buckets=8).awaitTermination())
     return R.read_audit(s, f"{path}/table").select(*_AUDIT)
 
 
@@ -454,8 +454,8 @@ def _delayed(s: SparkSession, d: str) -> DataFrame:
     f, path, delay = moving_feed(s, d), scratch(s, "stream"), dt.timedelta(days=40)
     for k in range(3):
         f.where(F.pmod(F.crc32(F.col("seq").cast("string")), F.lit(3)) == k).write.mode("append").parquet(f"{path}/in")
-        R.stream_table(s.readStream.schema(f.schema).parquet(f"{path}/in"), f"{path}/table", f"{path}/state", VERSIONED, delay=delay).awaitTermination()
-    R.flush(s, f"{path}/table", VERSIONED)
+        R.stream_table(s.readStream.schema(f.schema).parquet(f"{path}/in"), f"{path}/table", f"{path}/state", VERSIONED, delay=delay, buckets=8).awaitTermination()
+    R.flush(s, f"{path}/table", VERSIONED, buckets=8)
     return R.read_versions(s, f"{path}/table").select(*_VERSION)
 
 
