@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_dedup import _MIX, _mixed, _Substrings
-from .textblocks import blocks, byte_view, checkpointed, ids_and_texts, kept_on_disk, until_result_ends
+from .textblocks import blocks, byte_view, checkpointed, give_up, ids_and_texts, kept_on_disk, until_result_ends
 
 SHINGLE_WORDS = 5
 #: Link if 100 * intersection >= PERCENT * union.
@@ -252,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
         target = labels.select(F.col("id").alias("hooked"), F.col("component").alias("jump"))
         labels = checkpointed(hooked.join(target, "hooked", "left").select("id", F.least("hooked", F.coalesce("jump", "hooked")).alias("component"), F.col("component").alias("was")))
         if labels.where("component != was").isEmpty():
-            both.unpersist()  # the labels are checkpointed and need it no more
+            give_up(both)  # the labels are checkpointed and need it no more
             return labels.select("id", "component")
         labels = labels.select("id", "component")
 
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     texted = _dealt(grouped, block_bytes).join(own.select(F.col("doc_id").alias("id"), "text"), "id").select("task", "id", "component", "text")
     compared = texted.repartition("task").sortWithinPartitions("task").mapInArrow(_compare_blocks(words, percent, block_docs), "a long, b long")
     more = checkpointed(compared)
-    own.unpersist()
+    give_up(own)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     found = classes.select("set_1", "set_2", "id").join(labels, "id", "left").select("set_1", "set_2", F.coalesce("component", "id").alias("component"))

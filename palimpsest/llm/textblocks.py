@@ -109,6 +109,14 @@ def _give_up(held: list[DataFrame]) -> None:
             df.unpersist()
 
 
+def give_up(df: DataFrame) -> None:
+    """End what kept_on_disk keeps before its scope does; nothing of it, nor of what it is made from, is held any more."""
+    df.unpersist()
+    held = _scope.get()
+    if held is not None:
+        held[:] = [x for x in held if x is not df]
+
+
 @contextmanager
 def released() -> Iterator[None]:
     """On leaving, what kept_on_disk kept within is given up, in this thread; tables that the caller cached stay."""
