@@ -8,14 +8,14 @@ closed syncmer if its least s-mer, by hash, lies at its first or last place. Tha
 depends on the k-mer alone, so an edit changes no anchor but those over it, and
 equal stretches of two texts have equal anchors at a constant shift. A text whose k-mers
 are no syncmers has the k-mer with the least s-mer, a text under K tokens all its s-mers. The
-fingerprint is the sequence of anchors in text order. Texts are matched by position:
-the places where both first have an anchor are a pair, pairs stand in the order of one
-text, and a pair counts if a neighbour has the same shift between the texts. likeness is the share
-of distinct anchors that count: an insertion costs the anchors over it, the same anchors in
-another order count for nothing.
-
-The window minimum over the K - S + 1 s-mers of a k-mer takes two passes by
-doubling, on arrays within a row: there is no shuffle below the query's own.
+fingerprint is the sequence of anchors in text order. Texts are matched by position: a link is
+two anchors that follow each other (or the text's start and the first one) and the distance between
+their places, so two texts share it where both anchors lie at one shift between them. likeness is the share of
+distinct links that two texts have in common: an insertion costs the links over it, the
+same anchors in another order or at other distances have none.
+
+A k-mer's K - S + 1 = 4 s-mers are compared in one pass over arrays within a row: there is no
+shuffle below the query's own.
 """
 
 from __future__ import annotations
@@ -27,12 +27,11 @@ from pyspark.sql import functions as F
 
 _MARKS = r"!-/:-@B-DF-HJ-NP-TV-Z\[-`b-df-hj-np-tv-z{-~"
 TOKEN = rf"[{_MARKS}]*+[^\s{_MARKS}]|[{_MARKS}]++"
-#: Tokens of an s-mer and of a k-mer; the window of K - S + 1 = 4 s-mers is what the doubling below covers.
+#: Tokens of an s-mer and of a k-mer; the K - S + 1 = 4 s-mers of a k-mer are compared one by one below.
 S, K = 2, 5
 _WINDOW = K - S + 1
-#: Of a placed anchor's low 32 bits: the place, and, while two texts are matched, which of them it is from.
-_PLACE = (1 << 31) - 1
-_SIDE = 1 << 31
+#: The low bits of a placed anchor that hold its place.
+_PLACE = (1 << 32) - 1
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -50,27 +49,21 @@ def _paired(a: Column, by: int, use: Callable[[Column, Column], Column]) -> Colu
     return F.zip_with(F.slice(a, 1, size), _shift(a, by), use)
 
 
-def _lesser(a: Column, b: Column) -> Column:
-    return F.least(a, b)
-
-
 def _placed(anchor: Column, place: Column) -> Column:
     return F.shiftleft(anchor.cast("long"), 32).bitwiseOR(place.cast("long"))
 
 
 def _anchors_of(tokens: Column) -> Column:
     def of_smers(smers: Column) -> Column:
-        two = _paired(smers, 1, _lesser)
-        least = _let(two, lambda t: _paired(t, 2, _lesser))
-
-        def of_least(low: Column) -> Column:
-            at = F.filter(F.sequence(F.lit(1), F.size(low)), lambda i: (F.get(low, i - 1) == F.get(smers, i - 1)) | (F.get(low, i - 1) == F.get(smers, i + (_WINDOW - 2))))
-            anchor = lambda i: _placed(F.hash(*(F.get(smers, i + (j - 1)) for j in (0, 2, 3))), i)  # noqa: E731  s-mers that cover all K tokens
-            first_least = F.array(F.array_position(low, F.array_min(low)).cast("int"))
-            return F.transform(_let(at, lambda p: F.when(F.size(p) > 0, p).otherwise(first_least)), anchor)
-
+        kmers = F.slice(smers, 1, F.greatest(F.size(smers) - (_WINDOW - 1), F.lit(0)))  # each by its first s-mer
+        inner = lambda i: F.least(F.get(smers, i + 1), F.get(smers, i + 2))
+        anchor = lambda i: _placed(F.hash(*(F.get(smers, i + j) for j in (0, 2, 3))), i + 1)  # noqa: E731  s-mers that cover all K tokens
+        closed = F.filter(F.transform(kmers, lambda x, i: F.when(F.least(x, F.get(smers, i + 3)) <= inner(i), anchor(i))), F.isnotnull)
+        low = F.transform(kmers, lambda x, i: F.least(x, inner(i), F.get(smers, i + 3)))
+        least = _let(_let(low, lambda values: F.array_position(values, F.array_min(values)).cast("int") - 1), lambda i: F.array(anchor(i)))
         all_smers = F.transform(smers, lambda s, i: _placed(s, i + 1))
-        return F.when(F.size(smers) >= _WINDOW, _let(least, of_least)).when(F.size(smers) > 0, all_smers).when(F.size(tokens) > 0, F.array(_placed(F.hash(tokens), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+        found = _let(closed, lambda c: F.when(F.size(c) > 0, c).otherwise(least))
+        return F.when(F.size(smers) >= _WINDOW, found).when(F.size(smers) > 0, all_smers).when(F.size(tokens) > 0, F.array(_placed(F.hash(tokens), F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
 
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
     return _let(_let(hashes, lambda h: _paired(h, S - 1, lambda a, b: F.hash(a, b))), of_smers)
@@ -91,39 +84,26 @@ def anchors(text: Column) -> Column:
 
 def fingerprint(found: Column) -> Column:
     """Placed anchors as eight hex digits each, without their places."""
-    return F.array_join(F.transform(found, lambda a: F.lpad(F.lower(F.hex(F.shiftrightunsigned(a, 32))), 8, "0")), "")
+    return F.lower(F.array_join(F.transform(found, lambda a: F.lpad(F.hex(F.shiftrightunsigned(a, 32)), 8, "0")), ""))
 
 
-def likeness(a: Column, b: Column, equal: Column) -> Column:
-    """Share of the distinct placed anchors of both that are matched by position; where neither has any, 1 for equal texts and 0 for others.
+def links(found: Column) -> Column:
+    """Of placed anchors in text order: a hash of each two that follow each other and their distance; the text's start, place 0, comes before the first."""
+    # y without x's place: y's anchor above the distance.
+    link = lambda x, y: F.xxhash64(F.shiftright(x, 32), y - x.bitwiseAND(_PLACE))
+    return _let(F.concat(F.array(F.lit(0).cast("long")), found), lambda all_: _paired(all_, 1, link))
 
-    A sort brings both texts' anchors together: of equal ones those of `a` come first, by falling
-    place, those of `b` by rising place, so where the sides meet are the two first places. Of
-    the pairs, in the order of `a`, those count whose shift is the one of the pair before or after;
-    a pair that is alone counts.
-    """
-    anchor = lambda x: F.shiftright(x, 32)
-    of_b = lambda x: x.bitwiseAND(_SIDE) != 0
-    place = lambda x: x.bitwiseAND(_PLACE)
-    met = F.sort_array(F.concat(F.transform(a, lambda x: x.bitwiseXOR(_PLACE)), F.transform(b, lambda x: x.bitwiseOR(_SIDE))))
-
-    def pair(x: Column, y: Column) -> Column:
-        both = (anchor(x) == anchor(y)) & ~of_b(x) & of_b(y)
-        return F.when(both, F.shiftleft(place(x).bitwiseXOR(_PLACE), 32).bitwiseOR(place(y))).otherwise(F.lit(-1).cast("long"))
 
-    def matched(pairs: Column) -> Column:
-        def beside(same: Column) -> Column:
-            edges = F.concat(F.array(F.lit(False)), same, F.array(F.lit(False)))
-            return F.size(F.filter(_let(edges, lambda e: _paired(e, 1, lambda x, y: x | y)), lambda x: x))
+def _printed(text: Column) -> Column:
+    """A text's fingerprint and links, of anchors found once."""
+    return _let(placed_anchors(text), lambda found: F.struct(fingerprint(found).alias("fingerprint"), links(found).alias("links")))
 
-        shifts = F.transform(pairs, lambda p: anchor(p) - place(p))
-        return F.when(F.size(pairs) < 2, F.size(pairs)).otherwise(_let(_let(shifts, lambda s: _paired(s, 1, lambda x, y: x == y)), beside))
 
-    def share(all_: Column) -> Column:
-        distinct = F.size(F.filter(_paired(all_, 1, lambda x, y: anchor(x) != anchor(y)), lambda x: x)) + 1
-        return _let(F.sort_array(F.filter(_paired(all_, 1, pair), lambda p: p >= 0)), matched) / distinct
-
-    return F.when(F.size(a) + F.size(b) == 0, equal.cast("double")).otherwise(_let(met, share))
+def likeness(a: Column, b: Column, equal: Column) -> Column:
+    """Share of the distinct links of both that both have; where neither has any, 1 for equal texts and 0 for others."""
+    both = F.size(F.array_intersect(a, b))
+    all_ = F.size(F.array_union(a, b))
+    return F.when(all_ == 0, equal.cast("double")).otherwise(both / all_)
 
 
 def with_next(docs: DataFrame, columns: list[str], id_column: str = "doc_id", derived: dict[str, Column] | None = None) -> DataFrame:
@@ -168,12 +148,12 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """
     # A null id sorts first and may not bound a range, so it gets the id below all others.
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("place"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    paired = with_next(texts, ["text"], "place", {"anchors": placed_anchors(F.col("text"))})
+    paired = with_next(texts, ["text"], "place", {"print": _printed(F.col("text"))})
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_row.text", F.lit(1), half))
-    made = paired.select("own_id", F.length("text").cast("long").alias("n_chars"), "anchors", F.col("next_row.anchors").alias("next_anchors"), edited.alias("edited"), (F.col("text") == F.col("next_row.text")).alias("same_next"), (F.col("text") == edited).alias("same_edited"))
-    done = made.select("own_id", "n_chars", "anchors", "next_anchors", "same_next", "same_edited", F.sha2("edited", 256).alias("edited_sha256"), placed_anchors(F.col("edited")).alias("edited_anchors"))
+    made = paired.select("own_id", F.length("text").cast("long").alias("n_chars"), "print", F.col("next_row.print.links").alias("next_links"), edited.alias("edited"), (F.col("text") == F.col("next_row.text")).alias("same_next"), (F.col("text") == edited).alias("same_edited"))
+    done = made.select("own_id", "n_chars", "print", "next_links", "same_next", "same_edited", F.sha2("edited", 256).alias("edited_sha256"), _printed(F.col("edited")).alias("edited_print"))
     return done.select(
-        F.col("own_id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors"), F.col("same_edited")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors"), F.col("same_next")).alias("near_next"),
+        F.col("own_id").alias("doc_id"), "n_chars", "edited_sha256", F.col("print.fingerprint").alias("fingerprint"), F.col("edited_print.fingerprint").alias("edited_fingerprint"),
+        likeness(F.col("print.links"), F.col("edited_print.links"), F.col("same_edited")).alias("near_edited"), likeness(F.col("print.links"), F.col("next_links"), F.col("same_next")).alias("near_next"),
     )
