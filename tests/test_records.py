@@ -459,3 +459,21 @@ def test_jobs_do_not_shuffle_a_bucketed_table(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
         spark.sql("DROP TABLE bucketed_products")
+
+
+def test_transfers_where_a_join_is_broadcast_late(spark):
+    """The records with transfers turn out few: their join's shuffle is read as it lies, and the fold still needs a record's rows together."""
+    handed = [(f"r{k % 300}", op, k // 300, name, tenant, new) for k, (op, name, tenant, new) in enumerate(step for step in (("create", "a", "t1", None), ("transfer", None, "t1", "t2"), ("update", "b", "t2", None), ("transfer", None, None, "t3"), ("update", "c", "t3", None)) for _ in range(300))]
+    f = moves(spark, *handed).repartition(8, "id", "seq").cache()
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        out = H.apply_scd2(None, f, SPEC[SCD2])
+        plan = C.by_fold(C.with_base(None, f, SPEC[SCD2]), SPEC[SCD2])._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" in plan and "RepartitionByExpression" not in plan  # a window demands its rows' place, a repartition doesn't
+        assert out["rejects"].count() == 0
+        assert rows(out["table"].where("valid_to is null").groupBy("version", "tenant_id", "name").count(), "version", "tenant_id", "name", "count") == [(5, "t3", "c", 300)]
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
