@@ -12,6 +12,6 @@ def test_a_task_sorts_a_bounded_part_of_the_feed(spark, sf_dir, monkeypatch):
     assert dealt.rdd.getNumPartitions() == 10 and sorted(map(tuple, dealt.collect()), key=str) == whole
 
 
-@pytest.mark.parametrize("name", ["archive_audit"])
+@pytest.mark.parametrize("name", ["archive_audit", "apply_scd2_batches"])
 def test_what_is_read_several_times_is_built_once(spark, sf_dir, name):
     assert not [f for f in queries.QUERIES[name](spark, sf_dir).inputFiles() if "events" in f]
