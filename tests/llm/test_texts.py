@@ -633,3 +633,57 @@ def test_spellings_do_not_depend_on_slices():
     for size in (1, 3, 7):
         parts = list(gram_slices(words, size))
         assert np.array_equal(np.concatenate([p for p, _ in parts]), whole) and np.array_equal(np.concatenate([w for _, w in parts]), of)
+
+
+def test_contexts_are_learned_from_texts_of_all_blocks(spark, monkeypatch):
+    from palimpsest.llm import language_model
+
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 64)  # about a block for each text
+    rng = random.Random(4)
+    known = [f"{a}{b}" for a in "bcdfghklmn" for b in ("a", "ee", "oo", "ust", "ine", "orm")]
+    passage = rng.sample(known, 30)
+    train, held = ([k for k in range(400) if (zlib.crc32(str(k).encode()) % 7 == 2) is x] for x in (False, True))
+    table = [(k, " ".join([f"first{k}", *rng.choices(known, k=5), *passage, *rng.choices(known, k=5)])) for k in train[:120]]
+    table += [(held[0], " ".join(passage)), (held[1], " ".join(rng.sample(passage, len(passage))))]
+    scores = {r["doc_id"]: r["score"] for r in score_texts(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()}
+    assert scores[held[0]] > scores[held[1]] + 5
+
+
+def test_votes_merge_in_any_order_and_keep_majorities():
+    from palimpsest.llm.word_contexts import CONTEXT_ORDERS, Contexts, Votes, hash_words, voted
+
+    rng = random.Random(6)
+    texts = [[b"after", b"this" if k % 3 else b"that%d" % k, b"x%d" % rng.randint(0, 9)] for k in range(60)] + [[b"twice", b"here"] * 9]
+    for parts in (1, 4, 7):
+        total = Votes()
+        for part in range(parts):
+            own = Votes()
+            mine = texts[part::parts]
+            own.add(hash_words([w for t in mine for w in t]), np.cumsum([0, *map(len, mine[:-1])]))
+            for k in range(len(CONTEXT_ORDERS)):
+                total.pairs[k], total.counts[k] = voted(total.pairs[k], total.counts[k], own.pairs[k], own.counts[k])
+        word, number = next(Contexts(total.pairs, total.counts).said(hash_words([b"after", b"?", b"twice", b"?"]), np.array([0, 2])))
+        this, here = hash_words([b"this", b"here"]) >> np.uint64(24)
+        assert word[1] == this and 20 <= number[1] <= 40  # 40 votes of 60
+        assert word[3] == here and number[3] == 1  # once for each text
+
+
+def test_words_are_counted_and_cut_as_plain_ones(spark):
+    import pyarrow as pa
+
+    from palimpsest.llm.textblocks import byte_view
+    from palimpsest.llm.word_contexts import LONG, Votes, _add_texts, distinct_words, hash_words, token_hashes
+
+    texts = ["", "One two\x1cX ONE", "x" * (LONG + 1), "\x0b a", "b", " c \n", "", "Éa éA " + "y" * 8 + " " + "z" * 9, "w " * 300]
+    tokens = [w for t in texts for w in [*t.encode().lower().split(), b""]]
+    hashes, starts = token_hashes(*byte_view(pa.array(texts)))
+    assert hashes.tolist() == hash_words(tokens).tolist() and starts.tolist() == np.cumsum([0, *(len(t.encode().split()) + 1 for t in texts[:-1])]).tolist()
+    assert len({*tokens}) == len({*hashes.tolist()})
+    got = Counter()
+    for words, groups, number, _ in distinct_words(pa.array(texts), np.arange(len(texts)) % 2, 1 << 20):
+        for w, g, n in zip(words.to_pylist(), groups.tolist(), number.tolist(), strict=True):
+            got[w, g] += n
+    assert got == Counter((w, k % 2) for k, t in enumerate(texts) for w in t.encode().lower().split())
+    votes = Votes()
+    _add_texts(votes, pa.array(["p q " * 400_000, "p q"]), 1 << 20)  # two pieces of the first text
+    assert votes.counts.max() == 3
