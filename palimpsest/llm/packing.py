@@ -42,7 +42,7 @@ KEPT_CHARS = 64
 #: Texts of these characters only (ASCII and composed Latin letters) are split here as the tokenizer splits them.
 _LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _PLAIN = re.compile(f"[\t-\r -~{_LETTERS}]*")
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+_PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\s{_LETTERS}0-9]+")
 #: Others at white space. str.split() splits at these too, the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r ]+")
@@ -142,53 +142,84 @@ def _exactly_filled(pieces: list[Piece], capacity: int) -> Iterator[list[Piece]]
         yield out
 
 
-def word_ids(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids (as little-endian unsigned 32-bit) by the tokenizer file.
+class WordIds:
+    """Texts to ids (as little-endian unsigned 32-bit) by the tokenizer file.
 
-    The tokenizer drops white space and never joins over it, so ids are looked up by word.
+    The tokenizer drops white space and never joins over it, so ids are looked up by word; words
+    that several texts are the first to have are given to it together.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-    closes = np.zeros(tokenizer.get_vocab_size(), bool)
-    closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-
-    def learn(parts: list[str], plain: bool) -> None:
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = [w for w in dict.fromkeys(parts) if w not in known]
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        # Numbers of words and ids by number: for texts that are split here, and for others.
+        self.known = {True: _Numbers(), False: _Numbers()}
+        self.found: dict[bool, list[bytes]] = {True: [], False: []}
+
+    def __call__(self, text: str) -> bytes:
+        return self.texts([text])[0]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        if sum(x.next for x in self.known.values()) > WORDS_KEPT:
+            self._forget()
+        numbers = []
+        for text in texts:
+            if plain := _PLAIN.fullmatch(lower := text.lower()) is not None and "<|" not in text and len(lower) == len(text):
+                parts = _PARTS.findall(lower)
+            else:
+                parts = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
+            numbers.append((plain, list(map(self.known[plain].__getitem__, parts))))
+        long = {plain: self._learn(plain) for plain in self.known}
+        out = [b"".join(map(self.found[plain].__getitem__, own)) for plain, own in numbers]
+        for plain, words in long.items():
+            for word in words:
+                self.found[plain][self.known[plain].pop(word)] = b""
+        return out
+
+    def _learn(self, plain: bool) -> list[str]:
+        """Finds the ids of the words that are new, and returns the long ones among them."""
+        known, found = self.known[plain], self.found[plain]
+        new, known.new = known.new, []
         if not new:
-            return
+            return new
         if plain:  # each part gives one token with a word end, its last
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(closes[ids]) + 1)).tolist()
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             data = ids.tobytes()
-            known.update(zip(new, [data[i:j] for i, j in zip([0, *stops], stops)], strict=True))
+            found.extend([data[i:j] for i, j in zip([0, *stops], stops)])
         else:
-            for word, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+            found.extend(np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
+        return [word for word in new if len(word) > KEPT_CHARS]
 
-    def encode(text: str) -> bytes:
-        if plain := _PLAIN.fullmatch(lower := text.lower()) is not None and "<|" not in text and len(lower) == len(text):
-            parts = _PARTS.findall(lower)
-        else:
-            parts = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            learn(parts, plain)
-            out = b"".join([known[w] for w in parts])
-            for w in parts:
-                if len(w) > KEPT_CHARS:
-                    known.pop(w, None)
-            return out
 
-    return encode
+class _Numbers(dict):
+    """Numbers of words; one that is asked for and isn't there gets the next and is new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.next = 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = self.next
+        self.next += 1
+        self.new.append(word)
+        return k
+
+
+def word_ids(path: str) -> Callable[[str], bytes]:
+    """A function from a text to its ids by the tokenizer file."""
+    return WordIds(path)
 
 
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+_ENCODERS: dict[str, WordIds] = {}
 
 
 def _pack(path: str, end_id: int, capacity: int, block_docs: int):
@@ -197,7 +228,7 @@ def _pack(path: str, end_id: int, capacity: int, block_docs: int):
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
-            _ENCODERS[path] = word_ids(path)
+            _ENCODERS[path] = WordIds(path)
         encode = _ENCODERS[path]
         serial = TaskContext.get().partitionId() << 36
 
@@ -215,9 +246,9 @@ def _pack(path: str, end_id: int, capacity: int, block_docs: int):
 
         ids, encoded, size = [], [], 0
         for block in blocks(batches, 1 << 20):
-            for doc_id, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
+            for doc_id, own in zip(block.column(0).to_pylist(), encode.texts(block.column(1).to_pylist()), strict=True):
                 ids.append(doc_id)
-                encoded.append(encode(text) + end)
+                encoded.append(own + end)
                 size += len(encoded[-1])
                 if len(ids) >= block_docs or size > 64 << 20:
                     yield sequences(ids, encoded)

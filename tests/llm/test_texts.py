@@ -687,3 +687,19 @@ def test_words_are_counted_and_cut_as_plain_ones(spark):
     votes = Votes()
     _add_texts(votes, pa.array(["p q " * 400_000, "p q"]), 1 << 20)  # two pieces of the first text
     assert votes.counts.max() == 3
+
+
+def test_new_words_of_several_texts_go_to_the_tokenizer_together(monkeypatch):
+    from palimpsest.llm import packing
+
+    library = Tokenizer.from_file(WORDS)
+    encode = packing.WordIds(WORDS)
+    calls = []
+    inner = encode.tokenizer
+    encode.tokenizer = type("Counting", (), {"encode_batch_fast": lambda _, x, **named: calls.append(x) or inner.encode_batch_fast(x, **named)})()
+    monkeypatch.setattr(packing, "WORDS_KEPT", 8)
+    long = "longword" * 10
+    texts = ["", "it's one of these", "these it's 12 " + long, "中文 it's Σς", long, "one other", "it's 中文 <|x|>"]
+    for turn in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode.texts(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(calls) == 2 * (turn + 1) and all(long not in known for known in encode.known.values())
