@@ -193,7 +193,7 @@ class WordIds:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             data = ids.tobytes()
-            found.extend([data[i:j] for i, j in zip([0, *stops], stops)])
+            found.extend([data[i:j] for _, i, j in zip(new, [0, *stops[:-1]], stops, strict=True)])
         else:
             found.extend(np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
         return [word for word in new if len(word) > KEPT_CHARS]

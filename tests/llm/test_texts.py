@@ -703,3 +703,18 @@ def test_new_words_of_several_texts_go_to_the_tokenizer_together(monkeypatch):
     for turn in range(3):
         assert [np.frombuffer(x, "<u4").tolist() for x in encode.texts(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(calls) == 2 * (turn + 1) and all(long not in known for known in encode.known.values())
+
+
+def test_words_of_long_texts_are_counted_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from palimpsest.llm import word_contexts
+
+    monkeypatch.setattr(word_contexts, "COUNT_BYTES", 50)
+    monkeypatch.setattr(word_contexts, "COUNT_WORDS", 3)
+    texts = ["a b a c a a " * 20, "", "unbroken" * 9000 + " end", "short one", "a"]
+    got = Counter()
+    for words, groups, number, _ in word_contexts.distinct_words(pa.array(texts), np.arange(5), 40):
+        for w, g, n in zip(words.to_pylist(), groups.tolist(), number.tolist(), strict=True):
+            got[w, g] += n
+    assert got == Counter((w, k) for k, t in enumerate(texts) for w in t.encode().split())
