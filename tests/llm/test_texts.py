@@ -718,3 +718,49 @@ def test_words_of_long_texts_are_counted_in_slices(monkeypatch):
         for w, g, n in zip(words.to_pylist(), groups.tolist(), number.tolist(), strict=True):
             got[w, g] += n
     assert got == Counter((w, k) for k, t in enumerate(texts) for w in t.encode().split())
+
+
+def test_scores_of_texts_together_equal_those_of_single_ones(monkeypatch):
+    import pyarrow as pa
+
+    from palimpsest.llm import language_model
+
+    rng = random.Random(5)
+    words = [f"w{k}".encode() for k in range(300)]
+    counts = np.array([rng.randint(1, 40) for _ in words] + [90], np.float64)
+    codes = np.array([rng.randrange(1 << 19) for _ in range(301)], np.int64)
+    cells = {}
+    for code, n in zip(codes.tolist(), counts.tolist(), strict=True):
+        cells[code] = cells.get(code, 0.0) + n
+    shared = language_model.Shared(int(counts.sum()), 301, 20, np.array(list(cells)), np.array(list(cells.values())), [b"", *words[:200]], np.append(counts[-1], counts[:200]), np.append(codes[-1], codes[:200]), language_model.SpellingModel())
+    texts = ["", " W1 w2\x1cw3 \n", "\x0b", *(" ".join(rng.choice(["w%d", "W%d", "new%d"]) % rng.randrange(320) for _ in range(rng.randrange(90))) for _ in range(60)), "w5 " * 500]
+    held = [k % 7 == 2 for k in range(len(texts))]
+    monkeypatch.setattr(language_model, "TOKENS", 700)
+    for piece in (language_model.PIECE_BYTES, 1000):  # some texts together, the last in pieces
+        monkeypatch.setattr(language_model, "PIECE_BYTES", piece)
+        one, together = language_model.BlockScorer(shared), language_model.BlockScorer(shared)
+        for scorer in (one, together):
+            scorer.tell(words[190:], counts[190:300], codes[190:300])
+        for k, text in enumerate(texts):
+            one.add(k, held[k], text)
+        for low in range(0, len(texts), 9):
+            part = slice(low, low + 9)
+            together.add_texts([*range(len(texts))][part], held[part], pa.array(texts)[low : low + 9].cast(pa.binary()))
+        got, wanted = ([r for batch in scorer.rows() for r in batch.to_pylist()] for scorer in (together, one))
+        if piece > 1000:
+            assert got == wanted
+        else:
+            assert [r["n_tokens"] for r in got] == [r["n_tokens"] for r in wanted] and np.allclose([r["score"] for r in got], [r["score"] for r in wanted])
+
+
+def test_word_tables_keep_the_first_of_a_slot():
+    from palimpsest.llm.word_contexts import SLOT_BITS, WordTable
+
+    top = np.uint64(5) << np.uint64(64 - SLOT_BITS)
+    table = WordTable()
+    assert table.find(np.array([0, top], np.uint64)).tolist() == [-1, -1]
+    table.put(np.array([top, top + np.uint64(1)], np.uint64), np.array([7, 8]))
+    more = table.copy()
+    more.put(np.array([top + np.uint64(2), 0], np.uint64), np.array([9, 10]))
+    asked = np.array([0, top, top + np.uint64(1), top + np.uint64(2)], np.uint64)
+    assert more.find(asked).tolist() == [10, -1, 8, -1] and table.find(asked).tolist() == [-1, -1, 8, -1]
