@@ -764,3 +764,24 @@ def test_word_tables_keep_the_first_of_a_slot():
     more.put(np.array([top + np.uint64(2), 0], np.uint64), np.array([9, 10]))
     asked = np.array([0, top, top + np.uint64(1), top + np.uint64(2)], np.uint64)
     assert more.find(asked).tolist() == [10, -1, 8, -1] and table.find(asked).tolist() == [-1, -1, 8, -1]
+
+
+def test_votes_of_a_slot_are_the_most_less_the_next(monkeypatch):
+    from palimpsest.llm import word_contexts
+
+    rng = np.random.default_rng(3)
+    starts, text = np.arange(0, 6000, 30), np.arange(6000) // 30
+    hashes = rng.integers(0, 40, 6000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    real = word_contexts._slot_and_pair
+    for slots in (50, word_contexts.SLOTS):  # few slots have several pairs each
+        monkeypatch.setattr(word_contexts, "_slot_and_pair", lambda c, h, slots=slots: (real(c, h)[0] % slots, real(c, h)[1]))
+        votes = word_contexts.Votes()
+        votes.add(hashes, starts)
+        for k, context in enumerate(word_contexts.context_hashes(hashes, starts)):
+            found = {}
+            for slot, pair, _ in set(zip(*(x.tolist() for x in word_contexts._slot_and_pair(context, hashes)), text.tolist(), strict=True)):
+                found.setdefault(slot, Counter())[pair] += 1
+            for slot, pairs in found.items():
+                (best, n), (_, following) = [*pairs.most_common(2), (0, 0)][:2]
+                assert votes.counts[k, slot] == n - following and (n == following or votes.pairs[k, slot] == best)
+            assert np.count_nonzero(votes.counts[k]) <= len(found)
