@@ -336,6 +336,22 @@ def test_spellings_are_probabilities():
     assert 0 < first < 1 and sum(10 ** model.log10([bytes([b]) for b in range(256) if b != 32])) < 1 - first + 1e-6
 
 
+def test_spellings_are_learned_from_many_millions_of_words():
+    from palimpsest.llm.language_model import SpellingModel, grams
+
+    model = SpellingModel()
+    words = [b"these", b"are", b"words", b"of", b"thee"]
+    found, times = np.unique(grams(words * 40), return_counts=True)
+    model.count(found, times * 10**6)
+    model.learn(found, times * 10**6)
+    assert np.isfinite(model.weights).all() and np.isfinite(model.refined).all()
+    scores = model.log10([*words, b"q", "\u00df".encode()])
+    assert np.isfinite(scores).all() and min(scores[:5]) > max(scores[5:])
+    zeros, ones = (model.tables[0, k, :].astype(np.float64) for k in (0, 1))
+    x, _ = model.inputs([np.arange(zeros.size)] * 4)
+    assert np.allclose(x[:, 0], np.log((ones + 0.2) / (zeros + 0.2)), atol=1e-4)
+
+
 def _plain_bit(weights, cells, x, gate, bit, taught):
     """One bit's probability as it came, and what it teaches: added up in `cells` of the chunk."""
     z = sum(w[gate] * v for w, v in zip(weights, [*x, 1.0]))
