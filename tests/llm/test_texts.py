@@ -352,6 +352,39 @@ def test_spellings_are_learned_from_many_millions_of_words():
     assert np.allclose(x[:, 0], np.log((ones + 0.2) / (zeros + 0.2)), atol=1e-4)
 
 
+def test_spellings_do_not_depend_on_partitions(spark):
+    from palimpsest.llm.language_model import learn_spellings
+
+    rng = random.Random(8)
+    words = spark.createDataFrame([("".join(rng.choice(["an", "the", "ber", "q", "on"]) for _ in range(rng.randrange(1, 6))).encode(),) for _ in range(300)], "word binary").cache()
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        models = []
+        for n in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            models.append(learn_spellings(words))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        words.unpersist()
+    one, other = models
+    assert np.array_equal(one.tables, other.tables) and np.allclose(one.weights, other.weights, rtol=1e-12) and np.allclose(one.refined, other.refined, rtol=1e-12)
+
+
+def test_rows_of_tables_are_small():
+    import pyarrow as pa
+
+    from palimpsest.llm import language_model, word_contexts
+
+    found, times = np.unique(language_model.grams([b"these", b"are", b"words"]), return_counts=True)
+    spellings = language_model._count_spellings([pa.RecordBatch.from_arrays([pa.array(found), pa.array(times)], ["gram", "n"])])
+    votes = word_contexts._vote(1 << 20)([pa.RecordBatch.from_arrays([pa.array(["these are words"])], ["text"])])
+    # Spark sends 10,000 rows at once, and there are as many rows of a part as tasks.
+    for rows in (list(spellings), list(votes)):
+        assert rows and all(10_000 * row.nbytes < 1 << 27 for row in rows)
+
+
 def _plain_bit(weights, cells, x, gate, bit, taught):
     """One bit's probability as it came, and what it teaches: added up in `cells` of the chunk."""
     z = sum(w[gate] * v for w, v in zip(weights, [*x, 1.0]))
